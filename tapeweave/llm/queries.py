@@ -15,6 +15,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_suffix import repetition_rules
+
+    return repetition_rules(_documents(spark, sf_dir)).drop("longest_repeat")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -22,10 +28,39 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_repetition": op1_suffix_repetition,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+def _windows_sql(size: int, name: str) -> str:
+    """Distinct words that lie in windows of ``size`` words found twice or more."""
+    window = "w[i:i + %d]" % (size - 1)
+    return f"""
+      {name}_at AS (SELECT rid, i, list_aggregate({window}, 'string_agg', ' ') AS g
+                    FROM w, unnest(generate_series(1, len(w) - {size - 1})) AS s(i)),
+      {name}_re AS (SELECT rid, i FROM {name}_at QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+      {name} AS (SELECT rid, count(DISTINCT i + o) AS n FROM {name}_re, unnest(generate_series(0, {size - 1})) AS s(o) GROUP BY rid)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_repetition": f"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM d),
+        lines AS (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d),
+        dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines
+                WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY rid),
+        {_windows_sql(5, 'r5')}, {_windows_sql(10, 'r10')}, {_windows_sql(51, 'r51')},
+        m AS (
+          SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+            CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+            CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+            CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r5.n, 0) AS BIGINT) AS n_repeat_words,
+            CAST(coalesce(r10.n, 0) AS BIGINT) AS covered_words, r51.n IS NOT NULL AS long_repeat
+          FROM w LEFT JOIN dup USING (rid) LEFT JOIN r5 USING (rid) LEFT JOIN r10 USING (rid) LEFT JOIN r51 USING (rid)),
+        b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+          NOT base_failed AND 100 * covered_words <= 20 * n_words AND NOT long_repeat AS kept, covered_words
+        FROM b""",
     "op10_exact_dedup": """
         WITH t AS (
           SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
