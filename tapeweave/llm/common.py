@@ -162,5 +162,6 @@ def components(edges: DataFrame) -> DataFrame:
         now = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         state = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if state == before:
-            return now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
+            root = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
+            return root.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = state

@@ -21,6 +21,12 @@ def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(_documents(spark, sf_dir)).drop("longest_repeat")
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_dedup
+
+    return near_dedup(_documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -29,6 +35,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_repetition": op1_suffix_repetition,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
