@@ -27,6 +27,19 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_documents(spark, sf_dir))
 
 
+def learnable_languages(docs: DataFrame) -> DataFrame:
+    """Documents that language identification may learn from."""
+    return docs.where("crc32(cast(doc_id AS string)) % 4 <> 2 AND lang IS NOT NULL")
+
+
+def op8_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify, train
+
+    docs = _documents(spark, sf_dir)
+    got = identify(docs, train(learnable_languages(docs)))
+    return got.selectExpr("doc_id", "crc32(cast(doc_id AS string)) % 4 = 2 AS held_out", "lang_pred", "score")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -36,6 +49,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_repetition": op1_suffix_repetition,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op8_language_spans": op8_language_spans,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
