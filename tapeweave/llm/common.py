@@ -63,7 +63,9 @@ class Words:
     ``first``: index of each text's first word (one more entry than texts).
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, split_marks: bool = False):
+        """``split_marks``: also cut between an ASCII letter and an ASCII mark
+        (neither white, letter, digit nor apostrophe)."""
         self.data, self.bounds = text_bytes(texts)
         data = self.data
         if lower:
@@ -80,6 +82,12 @@ class Words:
         begins[inner] = word[inner]
         stops = white.copy()
         stops[inner] = True
+        if split_marks:
+            letter = np.subtract(data | 32, 97, dtype=np.uint8, casting="unsafe") < 26
+            mark = (data > 32) & (data < 127) & (data != 39) & ~letter & ~((data >= 48) & (data <= 57))
+            edge = (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
+            begins[1:-1] |= edge
+            stops[1:-1] |= edge
         self.starts = np.flatnonzero(begins)
         self.ends = np.flatnonzero(word[:-1] & stops[1:]) + 1
         self.first = np.searchsorted(self.starts, self.bounds).astype(np.int64)

@@ -27,6 +27,16 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_documents(spark, sf_dir))
 
 
+def op7_sstable_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .common import work_dir
+    from .sstable import shard_digests, write_shards
+
+    folder = f"{work_dir(spark)}/shards"
+    return shard_digests(write_shards(_documents(spark, sf_dir), folder, public_tokenizers.path("word_bpe_49k.json")))
+
+
 def learnable_languages(docs: DataFrame) -> DataFrame:
     """Documents that language identification may learn from."""
     return docs.where("crc32(cast(doc_id AS string)) % 4 <> 2 AND lang IS NOT NULL")
@@ -49,6 +59,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_repetition": op1_suffix_repetition,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op7_sstable_token_ids": op7_sstable_token_ids,
     "op8_language_spans": op8_language_spans,
     "op10_exact_dedup": op10_exact_dedup,
 }
