@@ -50,6 +50,14 @@ def op8_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.selectExpr("doc_id", "crc32(cast(doc_id AS string)) % 4 = 2 AS held_out", "lang_pred", "score")
 
 
+def op9_aho_viterbi_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .spm import encoding_digests
+
+    return encoding_digests(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -61,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op7_sstable_token_ids": op7_sstable_token_ids,
     "op8_language_spans": op8_language_spans,
+    "op9_aho_viterbi_pieces": op9_aho_viterbi_pieces,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
