@@ -205,7 +205,8 @@ def near_dedup(docs: DataFrame, params: NearDupParams | None = None, id_col: str
     blocks = placed.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / F.lit(p.block)).cast("int").alias("blocks"))
     want = placed.join(blocks, "cluster")
     wanted = want.select("class", F.col("head").alias("doc_id"), "cluster")
-    sets = cut(base.join(wanted, "doc_id").mapInArrow(_fetch(p.words), "cluster binary, class binary, shingles binary"))
+    # the clustered classes grow with the input: one plan at every size
+    sets = cut(base.join(wanted.hint("merge"), "doc_id").mapInArrow(_fetch(p.words), "cluster binary, class binary, shingles binary"))
     dealt = sets.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     pairs = "u binary, v binary"
     local = cut(dealt.withColumn("side", F.lit(0)).groupBy("cluster", "block").applyInPandas(_verifier(p), pairs))
