@@ -27,6 +27,23 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_documents(spark, sf_dir))
 
 
+def op3_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import chat_format
+
+    return chat_format(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+#: Target weights of the mixing query: languages are set, sources and topics
+#: are tempered from their own shares.
+LANG_TARGETS = {"en": 0.5, "de": 0.2, "fr": 0.18, "es": 0.12}
+
+
+def op6_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import MixParams, mix
+
+    return mix(_documents(spark, sf_dir), MixParams(targets={"lang": LANG_TARGETS}))
+
+
 def op7_sstable_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,6 +84,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_repetition": op1_suffix_repetition,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_snapshot_collapse": op3_snapshot_collapse,
+    "op6_raked_mixture": op6_raked_mixture,
     "op7_sstable_token_ids": op7_sstable_token_ids,
     "op8_language_spans": op8_language_spans,
     "op9_aho_viterbi_pieces": op9_aho_viterbi_pieces,
@@ -83,7 +102,56 @@ def _windows_sql(size: int, name: str) -> str:
       {name} AS (SELECT rid, count(DISTINCT i + o) AS n FROM {name}_re, unnest(generate_series(0, {size - 1})) AS s(o) GROUP BY rid)"""
 
 
+def _rake_sql(rounds: int) -> str:
+    """One common table expression per raking step."""
+    steps, last = [], "w0"
+    for k in range(rounds):
+        for dim in ("source", "lang", "topic"):
+            name = f"w{k}_{dim}"
+            steps.append(
+                f"{name} AS (SELECT * REPLACE (coalesce(weight * to_{dim} / nullif(sum(weight) OVER (PARTITION BY {dim}), 0), 0) AS weight) FROM {last})"
+            )
+            last = name
+    return ",\n        ".join(steps) + f",\n        raked AS (SELECT * FROM {last})"
+
+
+def _share_sql(dim: str, wish: str) -> str:
+    return f"""{dim}_own AS (SELECT {dim}, sum(tokens) / sum(sum(tokens)) OVER () AS own FROM cells GROUP BY {dim}),
+        {dim}_to AS (SELECT {dim}, ({wish}) / sum({wish}) OVER () AS to_{dim} FROM {dim}_own)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_snapshot_collapse": """
+        WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+                   WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+        c AS (SELECT conv_id, list(r || chr(1) || x ORDER BY turn) AS l, count(*) AS n FROM t GROUP BY conv_id),
+        u AS (SELECT l, min(conv_id) AS conv_id, count(*) AS n_copies, any_value(n) AS n FROM c GROUP BY l),
+        kept AS (SELECT * FROM u a WHERE NOT EXISTS (SELECT 1 FROM u b WHERE b.n > a.n AND b.l[1:a.n] = a.l))
+        SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn // 256) - 1 AS part,
+          any_value(n) AS n_turns, any_value(n_copies) AS n_copies,
+          string_agg('<|' || replace(r, '<|', '< |') || '|>' || chr(10) || replace(x, '<|', '< |') || '<|end|>' || chr(10), '' ORDER BY turn) AS text
+        FROM t JOIN kept USING (conv_id) GROUP BY conv_id, turn // 256""",
+    "op6_raked_mixture": f"""
+        WITH d AS (SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang, coalesce(text, '') AS t FROM documents),
+        rows AS (
+          SELECT doc_id, source, lang,
+            CASE WHEN length(t) = 0 THEN 'prose' WHEN (length(t) - length(translate(t, '|', ''))) * 50 >= length(t) THEN 'table'
+              WHEN (length(t) - length(translate(t, '0123456789', ''))) * 50 >= length(t) THEN 'data'
+              WHEN (length(t) - length(translate(t, '#*$%&', ''))) * 50 >= length(t) THEN 'symbols'
+              WHEN (length(t) - length(translate(t, chr(10), ''))) * 60 >= length(t) THEN 'list' ELSE 'prose' END AS topic,
+            CASE WHEN t = '' THEN 0 ELSE length(t) - length(translate(t, ' ' || chr(10), '')) + 1 END AS tokens
+          FROM d),
+        cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM rows GROUP BY ALL),
+        {_share_sql("source", "pow(own, 0.8)")},
+        {_share_sql("lang", "CASE lang " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in LANG_TARGETS.items()) + " ELSE own END")},
+        {_share_sql("topic", "pow(own, 0.8)")},
+        w0 AS (SELECT *, tokens AS weight FROM cells JOIN source_to USING (source) JOIN lang_to USING (lang) JOIN topic_to USING (topic)),
+        {_rake_sql(6)},
+        odds AS (SELECT source, lang, topic,
+                   round(least(1.0, coalesce(0.8 * sum(tokens) OVER () * weight / nullif(tokens, 0), 0)), 9) AS probability FROM raked)
+        SELECT doc_id, source, lang, topic, tokens::BIGINT AS tokens, probability,
+          CAST('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8) AS BIGINT) / 4294967296.0 < probability AS sampled
+        FROM rows JOIN odds USING (source, lang, topic)""",
     "op1_suffix_repetition": f"""
         WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
         w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM d),
