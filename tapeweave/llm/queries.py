@@ -33,6 +33,13 @@ def op3_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymise
+
+    key = spark.conf.get("spark.tapeweave.pii.key", "registered-query-key")
+    return pseudonymise(_documents(spark, sf_dir), key)
+
+
 #: Target weights of the mixing query: languages are set, sources and topics
 #: are tempered from their own shares.
 LANG_TARGETS = {"en": 0.5, "de": 0.2, "fr": 0.18, "es": 0.12}
@@ -85,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_repetition": op1_suffix_repetition,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_snapshot_collapse": op3_snapshot_collapse,
+    "op4_feistel_pseudonyms": op4_feistel_pseudonyms,
     "op6_raked_mixture": op6_raked_mixture,
     "op7_sstable_token_ids": op7_sstable_token_ids,
     "op8_language_spans": op8_language_spans,
