@@ -244,6 +244,7 @@ def _answer(seen: DataFrame, answer: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame, params: NearDupParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each near-duplicate group; same columns."""
+    """``docs`` with one document of each near-duplicate group; same columns.
+    Rows with a null identifier cannot be named as copies and stay."""
     gone = near_dedup(docs, params, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

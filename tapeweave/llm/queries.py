@@ -40,6 +40,15 @@ def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(_documents(spark, sf_dir), key)
 
 
+def op5_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score, train
+
+    docs = _documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("crc32(cast(doc_id AS string)) % 3 <> 1")
+    got = score(docs, train(docs, labels))
+    return got.selectExpr("doc_id", "crc32(cast(doc_id AS string)) % 3 = 1 AS held_out", "score", "CASE WHEN score >= 0.7 THEN 1 ELSE 0 END AS predicted")
+
+
 #: Target weights of the mixing query: languages are set, sources and topics
 #: are tempered from their own shares.
 LANG_TARGETS = {"en": 0.5, "de": 0.2, "fr": 0.18, "es": 0.12}
@@ -93,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_snapshot_collapse": op3_snapshot_collapse,
     "op4_feistel_pseudonyms": op4_feistel_pseudonyms,
+    "op5_lexicon_toxicity": op5_lexicon_toxicity,
     "op6_raked_mixture": op6_raked_mixture,
     "op7_sstable_token_ids": op7_sstable_token_ids,
     "op8_language_spans": op8_language_spans,
