@@ -18,7 +18,7 @@ ASCII_LOWER = ASCII_UPPER.lower()
 WHITE = " \t\n\x0b\x0c\r"
 #: Bytes of text that one step of a vectorised operator holds at once.  A
 #: longer single text is a step of its own.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 
 
 def work_dir(spark: SparkSession) -> str:

@@ -115,8 +115,8 @@ def train(docs: DataFrame, params: LangIdParams | None = None, id_col: str = "do
         for frame in batches:
             for lang, group in frame.groupby("lang"):
                 row = totals.setdefault(lang, np.zeros(BUCKETS + len(SCRIPTS)))
-                for at in range(0, len(group), 100):
-                    points, owner, letter = _letters(" ".join(group["text"].iloc[at : at + 100]).split())
+                for at in range(0, len(group), 20):
+                    points, owner, letter = _letters(" ".join(group["text"].iloc[at : at + 20]).split())
                     for bucket, _ in _grams(points, owner, letter):
                         row[:BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
                     row[BUCKETS:] += np.bincount(_SCRIPT_OF[np.searchsorted(_STARTS, points[letter], side="right")], minlength=len(SCRIPTS))

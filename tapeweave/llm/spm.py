@@ -37,7 +37,7 @@ UNKNOWN_PENALTY = 10.0
 class PieceModel:
     """Vocabulary, automaton and segment memory of one model file."""
 
-    MOST = 250_000
+    MOST = 60_000
 
     def __init__(self, path: str):
         import sentencepiece

@@ -286,7 +286,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, params: ShardPara
             writer.close()
             done.append((part, len(done), f"{folder}/{name}", writer.n_docs, writer.n_ids, writer.at))
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 3 << 20):
             ids, bounds = coder.encode(batch.column("text"), p.end_id)
             raw, w = memoryview(ids.tobytes()), coder.width
             for ident, a, b in zip(batch.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):

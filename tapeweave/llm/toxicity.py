@@ -186,7 +186,7 @@ N_FEATURES = 8
 class Scorer:
     """Features of texts under a model; remembers matches in bounded memory."""
 
-    MOST = 300_000
+    MOST = 100_000
 
     def __init__(self, model: ToxicityModel):
         self.model = model
