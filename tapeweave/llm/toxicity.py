@@ -20,13 +20,16 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, slices
+from .common import Words, cut, slices
 
 #: Digits and marks that stand for letters.
 LOOKALIKES = str.maketrans("013457@$!", "oieastasi")
+#: Marks that a word sheds at either end.
+MARKS = ".,;:!?*$%&#|<>()[]{}'\"`~^_+=/\\-“”„«»‘’…–—¡¿"
 #: Quotation marks; words of reporting; words of address.
 QUOTES = "\"“”„«»‘’"
 REPORTING = frozenset("said says quoted quote called wrote word term reported dijo dit disait sagte genannt zitiert mot wort palabra".split())
@@ -37,12 +40,14 @@ ADDRESS = frozenset("you your you're ur u du dich dein tu toi vous ton tú eres"
 class ToxicityParams:
     """``sample``: most labelled documents to learn from, those with the least
     hashes of their identifiers.  ``min_z``: standard errors by which a term's
-    log odds must exceed 0.  ``window``: words on each side of a hit.
+    log odds must exceed 0; from ``fuzzy_z`` on its misspellings count too.
+    ``window``: words on each side of a hit.
     ``stems``: lengths of stems.  ``min_family``: learned words that must begin
     with a stem.  ``max_terms``: most terms, by significance."""
 
-    sample: int = 20_000
+    sample: int = 12_000
     min_z: float = 3.2
+    fuzzy_z: float = 4.2
     window: int = 6
     stems: tuple[int, ...] = (4, 5, 6)
     min_family: int = 3
@@ -50,14 +55,9 @@ class ToxicityParams:
     ridge: float = 1.0
 
 
-def plain(word: str) -> str:
-    """Lower case, without marks at either end."""
-    a, b = 0, len(word)
-    while a < b and not word[a].isalnum():
-        a += 1
-    while b > a and not word[b - 1].isalnum():
-        b -= 1
-    return word[a:b].lower()
+def plain(words: pa.Array) -> list[str]:
+    """Words in lower case, without marks at either end."""
+    return pc.utf8_trim(pc.utf8_lower(words), characters=MARKS).to_pylist()
 
 
 def edits(term: str) -> int:
@@ -70,14 +70,15 @@ class LexiconAutomaton:
 
     MOST_STATES = 50_000
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float]):
-        self.words, self.stems = words, stems
+    def __init__(self, words: dict[str, float], stems: dict[str, float], exact: frozenset[str] = frozenset()):
+        """``exact``: words whose misspellings don't count."""
+        self.allowed = {w: 0 if w in exact else edits(w) for w in words}
         self.next: list[dict[str, int]] = [{}]
         self.word_at: list[str | None] = [None]
         self.stem_at: list[str | None] = [None]
         self.reach = [0]  # most edits that any term below a node allows
         for term in [*words, *stems]:
-            node, most = 0, edits(term) if term in words else 0
+            node, most = 0, self.allowed.get(term, 0)
             self.reach[0] = max(self.reach[0], most)
             for c in term:
                 if c not in self.next[node]:
@@ -120,7 +121,7 @@ class LexiconAutomaton:
             self.states[positions] = len(self.sets)
             self.sets.append(positions)
             self.moves.append({})
-            ends = [(used, self.word_at[n]) for n, used, wait in positions if not wait and self.word_at[n] and used <= edits(self.word_at[n])]
+            ends = [(used, self.word_at[n]) for n, used, wait in positions if not wait and self.word_at[n] and used <= self.allowed[self.word_at[n]]]
             self.accepts.append(min(ends) if ends else None)
             stems = [self.stem_at[n] for n, used, wait in positions if used == 0 and not wait and self.stem_at[n]]
             self.stem_hit.append(stems[0] if stems else None)
@@ -171,10 +172,12 @@ class LexiconAutomaton:
 
 @dataclass
 class ToxicityModel:
-    """Lexicon, misspellings known to be innocent, and regression weights."""
+    """Lexicon, which of its words match exactly only, misspellings known to be
+    innocent, and regression weights."""
 
     words: dict[str, float]
     stems: dict[str, float]
+    exact: frozenset[str] = frozenset()
     innocent: frozenset[str] = frozenset()
     weights: np.ndarray | None = None
     params: ToxicityParams = field(default_factory=ToxicityParams)
@@ -184,53 +187,45 @@ N_FEATURES = 8
 
 
 class Scorer:
-    """Features of texts under a model; remembers matches in bounded memory."""
-
-    MOST = 100_000
+    """Features of texts under a model."""
 
     def __init__(self, model: ToxicityModel):
         self.model = model
-        self.automaton = LexiconAutomaton(model.words, model.stems)
-        self.seen: dict[str, tuple[str, int, str, str] | None] = {}
-
-    def lookup(self, raw: str) -> tuple[str, int, str, str] | None:
-        """``(kind, edits, term, form)`` for a word as it stands in a text."""
-        if raw in self.seen:
-            return self.seen[raw]
-        form = plain(raw)
-        got = self.automaton.match(form) if form else None
-        if (got is None or got[1]) and any(c in "013457@$!" for c in raw) and any(c.isalpha() for c in raw):
-            other = plain(raw.translate(LOOKALIKES))
-            again = self.automaton.match(other)
-            if again and again[0] == "word" and (got is None or again[1] < got[1]):
-                got = ("word", max(1, again[1]), again[2])
-        if got and got[1] and form in self.model.innocent:
-            got = None
-        if len(self.seen) >= self.MOST:
-            self.seen = {}
-        self.seen[raw] = got and (*got, form)
-        return self.seen[raw]
+        self.automaton = LexiconAutomaton(model.words, model.stems, model.exact)
+
+    def lookup(self, distinct: pa.Array) -> dict[int, tuple[str, int, str, str]]:
+        """``(kind, edits, term, form)`` by place, of the words with a match."""
+        match, innocent = self.automaton.match, self.model.innocent
+        forms = plain(distinct)
+        found = {i: (*got, f) for i, f in enumerate(forms) if (got := match(f)) and not (got[1] and f in innocent)}
+        odd = pc.match_substring_regex(distinct, r"[A-Za-z].*[013457@$!]|[013457@$!].*[A-Za-z]").to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(odd).tolist():
+            got = match(forms[i].translate(LOOKALIKES))
+            if got and got[0] == "word" and (i not in found or found[i][1] > max(1, got[1])) and forms[i] not in innocent:
+                found[i] = ("word", max(1, got[1]), got[2], forms[i])
+        return found
 
     def hits(self, texts: pa.Array) -> tuple[Words, np.ndarray, list]:
         """Word positions with a match, and the matches."""
         words = Words(texts)
         codes, distinct = words.coded()
-        raw = distinct.to_pylist()
-        found = [self.lookup(w) for w in raw]
-        is_hit = np.array([x is not None for x in found], dtype=bool)
+        found = self.lookup(distinct)
+        is_hit = np.zeros(len(distinct), dtype=bool)
+        is_hit[list(found)] = True
         at = np.flatnonzero(is_hit[codes]) if len(codes) else np.zeros(0, dtype=np.int64)
-        self._raw, self._codes = raw, codes
+        self._distinct, self._codes = distinct, codes
         return words, at, [found[c] for c in codes[at].tolist()]
 
     def context(self, at: int, begin: int, end: int) -> tuple[float, bool]:
         """Weight factor of a hit from the words around it, and whether it
         stands in a quotation."""
         w = self.model.params.window
-        near = [self._raw[c] for c in self._codes[max(begin, at - w) : min(end, at + w + 1)].tolist()]
-        own = self._raw[self._codes[at]]
-        before = [x for x in (self._raw[c] for c in self._codes[max(begin, at - w) : at].tolist())]
+        since = max(begin, at - w)
+        near = self._distinct.take(pa.array(self._codes[since : min(end, at + w + 1)]))
+        raw = near.to_pylist()
+        own, before = raw[at - since], raw[: at - since]
         quoted = own[:1] in QUOTES and own[-1:] in QUOTES or sum(c in QUOTES for x in before for c in x) % 2 == 1
-        forms = {plain(x) for x in near}
+        forms = set(plain(near))
         factor = (0.4 if quoted else 1.0) * (0.6 if forms & REPORTING else 1.0) * (1.2 if forms & ADDRESS else 1.0)
         return factor, quoted
 
@@ -276,11 +271,45 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     return w
 
 
-def _terms(words: list[str], stems: tuple[int, ...]) -> set[tuple[str, bool]]:
-    forms = {plain(w) for w in words} - {""}
+def _terms(text: str, stems: tuple[int, ...]) -> set[tuple[str, bool]]:
+    forms = set(plain(pa.array(text.split(), pa.string()))) - {""}
     return {(f, False) for f in forms} | {(f[:k], True) for f in forms for k in stems if len(f) > k}
 
 
+def _counts(rows: DataFrame, stems: tuple[int, ...], only: frozenset | None, name: str) -> DataFrame:
+    """``term, stem, <name>``: documents that hold each term (of ``only``)."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for at in range(0, len(frame), 500):
+                own: Counter = Counter()
+                for text in frame["text"].iloc[at : at + 500]:
+                    own.update(t for t in _terms(text, stems) if only is None or t in only)
+                yield pd.DataFrame({"term": [t for t, _ in own], "stem": [s for _, s in own], name: list(own.values())})
+
+    return rows.select("text").mapInPandas(count, f"term string, stem boolean, {name} long").groupBy("term", "stem").agg(F.sum(name).alias(name))
+
+
+def _lexicon(rows: DataFrame, n_toxic: int, n_clean: int, p: ToxicityParams) -> ToxicityModel:
+    """Significant words and stems.  Terms are proposed by the toxic documents
+    of the sample, and only those are counted in the clean ones."""
+    bad = _counts(rows.where("toxic = 1"), p.stems, None, "bad").where("bad >= 3").toPandas()
+    only = frozenset(zip(bad["term"], bad["stem"]))
+    good = _counts(rows.where("toxic = 0"), p.stems, only, "good").toPandas()
+    table = bad.merge(good, on=["term", "stem"], how="left").fillna({"good": 0})
+    table["odds"] = np.log((table["bad"] + 0.5) / (n_toxic + 1)) - np.log((table["good"] + 0.5) / (n_clean + 1))
+    table["z"] = table["odds"] / np.sqrt(1 / (table["bad"] + 0.5) + 1 / (table["good"] + 0.5))
+    table = table[(table["z"] > p.min_z) & (table["odds"] > 1.5)].sort_values(["z", "term"], ascending=[False, True]).head(p.max_terms)
+    words, stems = (dict(zip(t["term"], t["odds"])) for t in (table[~table["stem"]], table[table["stem"]]))
+    # a stem must stand for several words, not repeat the evidence of one; the
+    # shortest such stem stands for its words and for longer stems
+    stems = {k: v for k, v in sorted(stems.items()) if sum(w.startswith(k) for w in words) >= p.min_family}
+    stems = {k: v for k, v in stems.items() if not any(k != o and k.startswith(o) for o in stems)}
+    words = {w: v for w, v in words.items() if not any(w.startswith(k) for k in stems)}
+    sure = set(table[~table["stem"] & (table["z"] >= p.fuzzy_z)]["term"])
+    return ToxicityModel(words, stems, frozenset(words) - sure, params=p)
+
+
 def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Learn from ``labels`` (identifier, 0 or 1; null labels are left out) of
     at most ``params.sample`` rows.  Counting runs on executors; the driver
@@ -289,33 +318,14 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = No
     p = params or ToxicityParams()
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("toxic"))
     known = known.groupBy("__id").agg(F.max("toxic").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("__id")).limit(p.sample)  # at most `sample` rows: a bounded broadcast
-    rows = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), docs[id_col] == F.col("__id")).select(F.col(text_col).cast("string").alias("text"), "toxic")
-    totals = dict(chosen.groupBy("toxic").count().collect())
+    chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(p.sample)  # at most `sample` rows: a bounded broadcast
+    found = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), docs[id_col] == F.col("__id")).select(F.col(text_col).cast("string").alias("text"), "toxic")
+    rows = cut(found)  # the documents are read for it once
+    totals = dict(rows.groupBy("toxic").count().collect())
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     if not n_toxic or not n_clean:
         raise ValueError("learning needs toxic and clean examples")
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            for at in range(0, len(frame), 500):
-                counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
-                for text, toxic in frame.iloc[at : at + 500].itertuples(index=False):
-                    counts[int(toxic)].update(_terms(text.split(), p.stems))
-                every = sorted(counts[0].keys() | counts[1].keys())
-                yield pd.DataFrame({"term": [t for t, _ in every], "stem": [s for _, s in every], "bad": [counts[1][t] for t in every], "good": [counts[0][t] for t in every]})
-
-    odds = F.log((F.col("bad") + 0.5) / F.lit(n_toxic + 1.0)) - F.log((F.col("good") + 0.5) / F.lit(n_clean + 1.0))
-    z = F.col("odds") / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    table = (
-        rows.mapInPandas(count, "term string, stem boolean, bad long, good long").groupBy("term", "stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-        .where("bad >= 3").withColumn("odds", odds).withColumn("z", z).where((F.col("z") > p.min_z) & (F.col("odds") > 1.5))
-        .orderBy(F.desc("z"), "term", "stem").limit(p.max_terms).toPandas()
-    )
-    words, stems = (dict(zip(t["term"], t["odds"])) for t in (table[~table["stem"]], table[table["stem"]]))
-    # a stem must stand for several words, not repeat the evidence of one
-    stems = {k: v for k, v in stems.items() if sum(w.startswith(k) for w in words) >= p.min_family}
-    model = ToxicityModel(words, stems, params=p)
+    model = _lexicon(rows, n_toxic, n_clean, p)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model)
@@ -323,10 +333,13 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = No
             for at in range(0, len(frame), 500):
                 part = frame.iloc[at : at + 500]
                 texts = pa.array(part["text"], pa.string())
-                words_of, pos, found = scorer.hits(texts)
-                doc = np.searchsorted(words_of.first, pos, side="right") - 1
-                forms = [sorted({m[3] for m, d in zip(found, doc) if d == k and m[1]}) for k in range(len(part))] if len(pos) else [[]] * len(part)
-                yield pd.DataFrame({"toxic": part["toxic"].to_numpy(), "forms": forms, "x": list(scorer.features(texts))})
+                words, pos, found = scorer.hits(texts)
+                doc = np.searchsorted(words.first, pos, side="right") - 1
+                forms: list[list[str]] = [[] for _ in range(len(part))]
+                for m, k in zip(found, doc.tolist()):
+                    if m[1]:
+                        forms[k].append(m[3])
+                yield pd.DataFrame({"toxic": part["toxic"].to_numpy(), "forms": [sorted(set(f)) for f in forms], "x": list(scorer.features(texts))})
 
     seen = rows.mapInPandas(measure, "toxic int, forms array<string>, x array<double>").toPandas()
     bad, good = Counter(), Counter()
@@ -350,7 +363,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scorer.score(batch.column("text")), pa.float64())], names=["doc_id", "score"])
 
     rows = docs.selectExpr(f"cast(`{id_col}` as long) AS doc_id", f"cast(`{text_col}` as string) AS text")
