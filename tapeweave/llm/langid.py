@@ -99,8 +99,8 @@ def word_scores(words: list[str], model: LangModel) -> tuple[np.ndarray, np.ndar
 def train(docs: DataFrame, params: LangIdParams | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LangModel:
     """Learn from the labelled ``docs``; rows with a null text or language are
     left out.  The sample's n-grams are counted on executors and only the
-    counts (languages x buckets) reach the driver.  Raises ``ValueError``
-    without a labelled row."""
+    counts (languages x buckets) reach the driver.  Without a labelled row the
+    model has no language, and every text is ``und``."""
     p = params or LangIdParams()
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
@@ -108,7 +108,7 @@ def train(docs: DataFrame, params: LangIdParams | None = None, id_col: str = "do
     # identifiers first, so that texts beyond the sample are never moved
     limit = labelled.select(F.xxhash64("id").alias("h")).orderBy("h").limit(p.sample).agg(F.max("h")).first()[0]
     if limit is None:
-        raise ValueError("no labelled document to learn a language from")
+        return LangModel([], np.zeros((BUCKETS, 0)), np.zeros((len(SCRIPTS), 0), dtype=bool), p)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, np.ndarray] = {}
@@ -169,11 +169,11 @@ def label_batch(texts: pa.Array, model: LangModel) -> dict[str, np.ndarray]:
     """Language and score of each text, and the label and letters of each word."""
     words = Words(texts)
     codes, distinct = words.coded()
-    table, size = word_scores(distinct.to_pylist(), model)
     n_lang = len(model.langs)
-    if len(codes) == 0:
-        none = np.full(len(texts), -1)
+    if len(codes) == 0 or n_lang == 0:
+        none, codes = np.full(len(texts), -1), np.zeros(0, dtype=np.int64)
         return {"lang": none, "score": np.zeros(len(texts)), "label": codes.astype(np.int8), "size": codes, "first": words.first}
+    table, size = word_scores(distinct.to_pylist(), model)
     label = viterbi(table[codes], words.first, model.params.switch)
     weight = size[codes]
     doc = words.doc_of()

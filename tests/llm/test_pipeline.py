@@ -40,7 +40,17 @@ def test_stages_keep_their_columns_and_clean_documents(spark):
     assert docs.columns == ["doc_id", "n_tokens", "ids"] and docs.where("n_tokens <> size(ids)").count() == 0
 
 
-def test_stages_take_an_empty_table_after_the_first(spark):
+def test_stages_take_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
-    for name, stage in corpus_pipeline.STAGES[1:]:
+    for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0, name
+
+
+def test_stages_take_odd_rows_and_clashing_columns(spark):
+    rows = [(1, None, "en", "a"), (2, "", "en", "a"), (3, "hello there my friend", None, None), (3, "hello there my friend", None, None), (None, "hello there my friend", "en", "b"), (4, "word " * 30_000, "en", "a")]
+    docs = spark.createDataFrame([(i, t, lang, src, len(t or ""), 1.0, True, "x", 2, 3) for i, t, lang, src in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, class string, tokens int, n_tokens int")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = cut(stage(spark, docs, SF))
+        assert out.columns == docs.columns and out.count() <= 6, name
+    ids = corpus_pipeline.STAGES[4][1](spark, docs, SF)
+    assert ids.count() == 6 and ids.where("doc_id = 1").first().n_tokens == 0
