@@ -65,6 +65,17 @@ def weighted(trades: DataFrame, weight: str) -> DataFrame:
     )
 
 
+def capture(trades: DataFrame, offered: str = "mfe_r") -> DataFrame:
+    """Mean R, mean R on offer, and the share of it that was kept."""
+    mean, on_offer = F.avg("pnl_r"), F.avg(offered)
+    return trades.agg(mean.alias("mean_r"), on_offer.alias("offered_r"), F.try_divide(mean, F.nullif(on_offer, F.lit(0.0))).alias("captured"))
+
+
+def beaten_share(samples: DataFrame, real: float, value: str = "mean_value") -> DataFrame:
+    """Share of the samples that are below ``real``."""
+    return samples.agg(F.avg((F.col(value) < real).cast("double")).alias("share_below"))
+
+
 def control_summary(runs: DataFrame, real: float, value: str = "mean_r") -> DataFrame:
     """Mean, least and most of the control runs, and how many reach ``real``."""
     return runs.agg(F.count("*").alias("n_runs"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.sum((F.col(value) >= real).cast("int")).alias("n_reaching"))

@@ -75,6 +75,24 @@ def profiles(candles: DataFrame, ranges: DataFrame, config: ProfileConfig | None
     )
 
 
+def graded_profiles(ranges: DataFrame, decision: DataFrame, by_grade: dict[str, DataFrame], config: ProfileConfig | None = None) -> DataFrame:
+    """Profiles built from finer candles the shorter a range is.  ``by_grade``
+    has the candles for ``fine``, ``middle`` and ``coarse``; a grade that is
+    missing raises ``KeyError``."""
+    if missing := {"fine", "middle", "coarse"} - set(by_grade):
+        raise KeyError(f"no candles for {sorted(missing)}")
+    inside = in_intervals(decision.select("symbol", "ts"), ranges.select("range_id", "symbol", "start", "end"))
+    grades = inside.groupBy("range_id").agg(granularity(F.count("*")).alias("grade"))
+    graded = ranges.join(grades, "range_id")
+    parts = [profiles(candles, graded.where(F.col("grade") == grade), config) for grade, candles in sorted(by_grade.items())]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def in_view(rows: DataFrame, start, end) -> DataFrame:
+    """Rows with ``start, end`` that reach into a span of time."""
+    return rows.where((F.col("end") >= start) & (F.col("start") <= end))
+
+
 def rebinned(profile: DataFrame, bins: int, groups: int = 90) -> DataFrame:
     """A profile in long form (``range_id, bin, volume, low, high``) in fewer
     bins for display: mean price and summed volume of each group."""

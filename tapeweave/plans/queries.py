@@ -338,6 +338,27 @@ def w10(spark, d):
     return _shown(structure.divergences(indicators.macd(v.bars(spark, d)), "histogram"), "divergence", "strength")
 
 
+_DIV_SQL = (*_MACD_SQL, "h AS (SELECT symbol, ts, macd - signal AS m FROM m)", _PIVOT_SQL, *[
+    f"""{s}_p AS (SELECT symbol, pos, close, m, lag(pos) OVER w AS p0, lag(close) OVER w AS c0, lag(m) OVER w AS m0 FROM piv JOIN h USING (symbol, ts) WHERE pivot_{s} WINDOW w AS (PARTITION BY symbol ORDER BY pos)),
+    {s}_d AS (SELECT symbol, pos + 3 AS pos, '{n}' AS divergence, coalesce(abs(m - m0) / nullif(abs(m) + abs(m0), 0), 0) AS strength FROM {s}_p WHERE pos - p0 <= 40 AND close {op} c0 AND m {back} m0)"""
+    for s, n, op, back in (("low", "bullish", "<", ">"), ("high", "bearish", ">", "<"))], "found AS (SELECT p.symbol, p.pos, coalesce(b.divergence, a.divergence) AS divergence FROM piv p LEFT JOIN low_d a USING (symbol, pos) LEFT JOIN high_d b USING (symbol, pos))")
+
+
+@query("w11_standing_divergence", _bars(*_DIV_SQL) + """SELECT p.symbol, epoch(p.ts)::BIGINT AS ts_s, CASE WHEN p.pos - f.pos < 12 THEN f.divergence ELSE '' END AS divergence_alive
+  FROM piv p ASOF LEFT JOIN (SELECT * FROM found WHERE divergence IS NOT NULL) f ON p.symbol = f.symbol AND p.pos >= f.pos""")
+def w11(spark, d):
+    return _shown(structure.standing_divergence(structure.divergences(indicators.macd(v.bars(spark, d)), "histogram")), "divergence_alive")
+
+
+_line(
+    "w22_display_scaling", (f"c AS (SELECT *, close - {_full('avg(close)', 'close', 20)} AS m FROM bars)", f"q AS (SELECT *, CASE WHEN count(m) OVER ({W} ROWS 499 PRECEDING) >= 50 THEN quantile_cont(abs(m), 0.95) OVER ({W} ROWS 499 PRECEDING) END AS q FROM c)"),
+    f"SELECT {OUT}, {_r('CASE WHEN m IS NOT NULL AND q IS NOT NULL THEN greatest(-100, least(100, 100 * m / nullif(q, 0))) END', 'scaled')} FROM q",
+    lambda df: indicators.display_scaled(df.withColumn("m", F.col("close") - indicators.sma("close", 20)), "m"), ("scaled",),
+)
+_line(
+    "w27_relative_atr", (f"t AS (SELECT *, {TR} AS tr FROM bars)",), f"SELECT {OUT}, {_r(_full('avg(tr)', 'tr', 14) + ' / nullif(close, 0)', 'atr_relative')} FROM t",
+    lambda df: indicators.atr(df).withColumn("atr_relative", F.try_divide("atr", F.nullif(F.col("close"), F.lit(0.0)))), ("atr_relative",),
+)
 # gaps
 
 _GAP_SQL = f"""g0 AS (SELECT *, lag(high, 2) OVER ({W}) AS h1, lag(low, 2) OVER ({W}) AS l1 FROM walk),
@@ -487,9 +508,12 @@ def r14(spark, d):
 
 def range_levels(spark: SparkSession, d: str, causal: bool = False) -> DataFrame:
     """The level grid of the selected ranges, profiled on the fine candles."""
-    found = _ranges(spark, d)
-    chosen = ranges.numbered(ranges.select_causally(found, DETECTION) if causal else ranges.select(found, DETECTION))
-    return profile.level_grid(chosen, profile.profiles(v.walk(spark, d, 900), chosen, _PROFILE), SIMULATION.kinds)
+    hourly = v.walk(spark, d).cache()
+    found = ranges.detect(hourly, DETECTION)
+    # a few rows that five plans below start from
+    chosen = ranges.numbered(ranges.select_causally(found, DETECTION) if causal else ranges.select(found, DETECTION)).cache()
+    levels = profile.graded_profiles(chosen, hourly, {"fine": v.walk(spark, d, 900), "middle": hourly, "coarse": v.walk(spark, d, 4 * HOUR)}, _PROFILE)
+    return profile.level_grid(chosen, levels, SIMULATION.kinds)
 
 
 @query("v06_level_grid")
@@ -503,7 +527,7 @@ def v07(spark, d):
 
 
 def _simulated(spark: SparkSession, d: str, levels: DataFrame, variants: dict | None = None, config: BacktestConfig = SIMULATION) -> DataFrame:
-    w = v.walk(spark, d)
+    w = v.walk(spark, d).cache()
     feats = backtest.features(w, config)
     zones = gaps.target_points(gaps.detect(v.walk(spark, d, WEEK), WEEK), w)
     bars = backtest.decision_bars(feats, v.walk(spark, d, 900), HOUR, zones, config)
@@ -554,9 +578,43 @@ def b22(spark, d):
     return _shown(backtest.entry_quality(indicators.atr(w), profile.touches(w, _weekly_levels(spark, d))), "range_id", "level", "mfe", "mae", "efficiency")
 
 
+@query("a07_entry_quality_by_side", ORACLE_SQL["b22_entry_quality"].replace("SELECT symbol, ts_s, range_id, level,", "SELECT direction, level, count(*) AS n,").replace("round(mfe, 6) + 0.0 AS mfe", "round(avg(mfe), 5) + 0.0 AS mfe").replace("round(mae, 6) + 0.0 AS mae", "round(avg(mae), 5) + 0.0 AS mae")
+       .split(", round(CASE WHEN mfe IS NOT NULL")[0] + " FROM m GROUP BY ALL")
+def a07(spark, d):
+    w = v.walk(spark, d)
+    rows = backtest.entry_quality(indicators.atr(w), profile.touches(w, _weekly_levels(spark, d)))
+    return rounded(rows.groupBy("direction", "level").agg(F.count("*").alias("n"), F.avg("mfe").alias("mfe"), F.avg("mae").alias("mae")), 5)
+
+
+@query("f_structure_gate", _walk(_LEVEL_SQL, _TOUCH_SQL) + """, t AS (SELECT CASE abs(ts_s // 3600) % 3 WHEN 0 THEN 'bullish' WHEN 1 THEN 'bearish' ELSE 'undefined' END AS regime, direction AS d FROM touch)
+  SELECT regime, d AS direction, (regime = 'bullish' AND d > 0) OR (regime = 'bearish' AND d < 0) AS with_trend, NOT ((regime = 'bullish' AND d < 0) OR (regime = 'bearish' AND d > 0)) AS not_against, count(*) AS n FROM t GROUP BY ALL""")
+def f_gate(spark, d):
+    t = profile.touches(v.walk(spark, d), _weekly_levels(spark, d))
+    k = F.floor(F.unix_seconds("ts") / 3600) % 3
+    t = t.withColumn("regime", F.when(k == 0, "bullish").when(k == 1, "bearish").otherwise("undefined"))
+    return t.groupBy("regime", "direction", sig.permitted("regime", "direction", "with").alias("with_trend"), sig.permitted("regime", "direction", "not_against").alias("not_against")).agg(F.count("*").alias("n"))
+
+
+@query("f8_spans_in_view", f"""WITH {_SPANS_SQL} SELECT range_id FROM spans WHERE epoch("end") >= 1705276800 AND epoch("start") <= 1705449600""")
+def f8(spark, d):
+    at = lambda s: F.timestamp_seconds(F.lit(s))
+    return profile.in_view(_spans(spark), at(_AT), at(_AT + 172_800)).select("range_id")
+
+
+@query("f9_halves", f"WITH {SQL_TRADES} SELECT CASE WHEN epoch(exit_ts) <= 800000000 THEN 'h1' ELSE 'h2' END AS half, count(*) AS n, round(avg(pnl_r), 6) AS mean_r FROM trades GROUP BY ALL")
+def f9(spark, d):
+    t = backtest.halves(v.trades(spark, d).withColumnRenamed("exit_ts", "entry_ts"), F.timestamp_seconds(F.lit(800_000_000)))
+    return rounded(t.groupBy("half").agg(F.count("*").alias("n"), F.avg("pnl_r").alias("mean_r")))
+
+
 # metrics
 
 
+@query("a13_capture", f"WITH {SQL_TRADES} SELECT round(avg(pnl_r), 6) AS mean_r, round(avg(mfe_atr / 1.5), 6) AS offered_r, round(avg(pnl_r) / avg(mfe_atr / 1.5), 6) AS captured FROM trades")
+def a13(spark, d):
+    return rounded(metrics.capture(v.trades(spark, d).withColumn("mfe_r", F.col("mfe_atr") / 1.5)))
+
+
 @query("a01_trade_summary", f"WITH {SQL_TRADES}, dd AS (SELECT *, greatest(10000.0, max(capital_after) OVER (ORDER BY seq)) AS peak FROM trades) SELECT count(*) AS n_trades, round(avg(CASE WHEN pnl_pct > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS win_rate,"
   " round(arg_max(capital_after, seq) / 10000.0 - 1, 6) AS total_return, round(avg(pnl_r), 6) AS mean_r, round(median(pnl_r), 6) AS median_r, round(sum(pnl_r), 6) AS total_r, round(sum(CASE WHEN pnl_pct > 0 THEN pnl_pct END) / sum(CASE WHEN pnl_pct < 0 THEN -pnl_pct END), 6) AS profit_factor,"
   " round(min(least(0, (capital_after - peak) / peak)), 6) AS max_drawdown, round(avg(mae_pct), 6) AS mean_mae, round(avg(mfe_pct), 6) AS mean_mfe, round(median(bars) * 0.25, 6) AS median_hours FROM dd")
@@ -674,6 +732,23 @@ def m02(spark, d):
     return rounded(metrics.acceptance(judged, "ok", "logistic").unionByName(metrics.acceptance(judged.withColumn("all", F.lit(True)), "all", "unfiltered")))
 
 
+@query("m06_coefficients")
+def m06(spark, d):
+    from ..operators import learning
+
+    rows = QUERIES["m01_trade_sample"](spark, d).cache()
+    return rounded(learning.coefficients(learning.logistic(rows.count()).fit(rows), spark))
+
+
+@query("m07_walk_forward_sizing")
+def m07(spark, d):
+    from ..operators import learning
+
+    rows = QUERIES["m01_trade_sample"](spark, d).cache()
+    sized = learning.walk_forward(rows, 40, 20)
+    return rounded(metrics.weighted(sized, "multiplier"))
+
+
 @query("st01_streamed_candles", "WITH " + SQL_BARS.replace("1 HOUR", "4 HOUR") + "SELECT symbol, epoch(ts)::BIGINT AS ts_s, open, high, low, close, volume FROM bars WHERE ts + INTERVAL 4 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
 def st01(spark, d):
     import os
