@@ -13,6 +13,7 @@ gives the score.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -42,15 +43,15 @@ class ToxicityParams:
     hashes of their identifiers.  ``min_z``: standard errors by which a term's
     log odds must exceed 0; from ``fuzzy_z`` on its misspellings count too.
     ``window``: words on each side of a hit.
-    ``stems``: lengths of stems.  ``min_family``: learned words that must begin
-    with a stem.  ``max_terms``: most terms, by significance."""
+    ``stems``: lengths of stems.  ``min_family``: different words
+    that a stem must begin.  ``max_terms``: most terms, by significance."""
 
     sample: int = 12_000
-    min_z: float = 3.2
+    min_z: float = 3.6
     fuzzy_z: float = 4.2
     window: int = 6
     stems: tuple[int, ...] = (4, 5, 6)
-    min_family: int = 3
+    min_family: int = 4
     max_terms: int = 4000
     ridge: float = 1.0
 
@@ -181,6 +182,7 @@ class ToxicityModel:
     innocent: frozenset[str] = frozenset()
     weights: np.ndarray | None = None
     params: ToxicityParams = field(default_factory=ToxicityParams)
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
 N_FEATURES = 8
@@ -256,6 +258,18 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(x @ self.model.weights[1:] + self.model.weights[0], -30, 30)))
 
 
+_scorers: dict[str, Scorer] = {}
+
+
+def scorer_of(model: ToxicityModel) -> Scorer:
+    """The worker's scorer for ``model``, kept from task to task."""
+    key = f"{model.name}/{model.weights is not None}/{len(model.innocent)}"
+    if key not in _scorers:
+        _scorers.clear()
+        _scorers[key] = Scorer(model)
+    return _scorers[key]
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     """Weights (intercept first) of a ridge logistic regression, by Newton steps."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -271,39 +285,54 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     return w
 
 
-def _terms(text: str, stems: tuple[int, ...]) -> set[tuple[str, bool]]:
-    forms = set(plain(pa.array(text.split(), pa.string()))) - {""}
-    return {(f, False) for f in forms} | {(f[:k], True) for f in forms for k in stems if len(f) > k}
+def _terms(text: str, stems: tuple[int, ...]) -> set[tuple[str, bool, str]]:
+    """Terms of a text, each once, with the first context it stands in: the word
+    before, and for a stem also its own word."""
+    forms = plain(pa.array(text.split(), pa.string()))
+    out: dict[tuple[str, bool], str] = {}
+    for before, f in zip(["", *forms], forms):
+        if f and (f, False) not in out:
+            out[f, False] = before
+            for k in stems:
+                if len(f) > k:
+                    out.setdefault((f[:k], True), f"{before} {f}")
+    return {(*term, context) for term, context in out.items()}
+
 
+def _counts(rows: DataFrame, stems: tuple[int, ...], only: frozenset | None) -> DataFrame:
+    """``term, stem, n, effective, family``: documents that hold each term (of
+    ``only``), how many they are worth, and the different words of a stem.
 
-def _counts(rows: DataFrame, stems: tuple[int, ...], only: frozenset | None, name: str) -> DataFrame:
-    """``term, stem, <name>``: documents that hold each term (of ``only``)."""
+    Copies and near copies of one document repeat its words in the same
+    contexts.  ``n`` squared over the sum of the squared counts of the contexts
+    is about 1 for them, and near ``n`` for a word used freely.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             for at in range(0, len(frame), 500):
                 own: Counter = Counter()
                 for text in frame["text"].iloc[at : at + 500]:
-                    own.update(t for t in _terms(text, stems) if only is None or t in only)
-                yield pd.DataFrame({"term": [t for t, _ in own], "stem": [s for _, s in own], name: list(own.values())})
+                    own.update(t for t in _terms(text, stems) if only is None or t[:2] in only)
+                yield pd.DataFrame({"term": [t for t, _, _ in own], "stem": [s for _, s, _ in own], "context": [c for _, _, c in own], "n": list(own.values())})
 
-    return rows.select("text").mapInPandas(count, f"term string, stem boolean, {name} long").groupBy("term", "stem").agg(F.sum(name).alias(name))
+    n = F.col("n").cast("double")
+    found = rows.select("text").mapInPandas(count, "term string, stem boolean, context string, n long").groupBy("term", "stem", "context").agg(F.sum("n").alias("n"))
+    return found.groupBy("term", "stem").agg(F.sum("n").alias("n"), (F.sum(n) * F.sum(n) / F.sum(n * n)).alias("effective"), F.count_distinct(F.substring_index("context", " ", -1)).alias("family"))
 
 
 def _lexicon(rows: DataFrame, n_toxic: int, n_clean: int, p: ToxicityParams) -> ToxicityModel:
     """Significant words and stems.  Terms are proposed by the toxic documents
     of the sample, and only those are counted in the clean ones."""
-    bad = _counts(rows.where("toxic = 1"), p.stems, None, "bad").where("bad >= 3").toPandas()
+    bad = _counts(rows.where("toxic = 1"), p.stems, None).where(f"effective >= 3 AND (NOT stem OR family >= {p.min_family})").select("term", "stem", F.col("effective").alias("bad")).toPandas()
     only = frozenset(zip(bad["term"], bad["stem"]))
-    good = _counts(rows.where("toxic = 0"), p.stems, only, "good").toPandas()
+    good = _counts(rows.where("toxic = 0"), p.stems, only).select("term", "stem", F.col("n").alias("good")).toPandas()
     table = bad.merge(good, on=["term", "stem"], how="left").fillna({"good": 0})
     table["odds"] = np.log((table["bad"] + 0.5) / (n_toxic + 1)) - np.log((table["good"] + 0.5) / (n_clean + 1))
     table["z"] = table["odds"] / np.sqrt(1 / (table["bad"] + 0.5) + 1 / (table["good"] + 0.5))
     table = table[(table["z"] > p.min_z) & (table["odds"] > 1.5)].sort_values(["z", "term"], ascending=[False, True]).head(p.max_terms)
     words, stems = (dict(zip(t["term"], t["odds"])) for t in (table[~table["stem"]], table[table["stem"]]))
-    # a stem must stand for several words, not repeat the evidence of one; the
-    # shortest such stem stands for its words and for longer stems
-    stems = {k: v for k, v in sorted(stems.items()) if sum(w.startswith(k) for w in words) >= p.min_family}
+    # the shortest stem stands for its words and for longer stems
     stems = {k: v for k, v in stems.items() if not any(k != o and k.startswith(o) for o in stems)}
     words = {w: v for w, v in words.items() if not any(w.startswith(k) for k in stems)}
     sure = set(table[~table["stem"] & (table["z"] >= p.fuzzy_z)]["term"])
@@ -320,7 +349,7 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = No
     known = known.groupBy("__id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(p.sample)  # at most `sample` rows: a bounded broadcast
     found = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), docs[id_col] == F.col("__id")).select(F.col(text_col).cast("string").alias("text"), "toxic")
-    rows = cut(found)  # the documents are read for it once
+    rows = cut(found.dropDuplicates(["text"]))  # the documents are read for it once
     totals = dict(rows.groupBy("toxic").count().collect())
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     if not n_toxic or not n_clean:
@@ -328,7 +357,7 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = No
     model = _lexicon(rows, n_toxic, n_clean, p)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(model)
+        scorer = scorer_of(model)
         for frame in batches:
             for at in range(0, len(frame), 500):
                 part = frame.iloc[at : at + 500]
@@ -362,7 +391,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        scorer = scorer_of(model)
         for batch in slices(batches, "text", 2 << 20):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scorer.score(batch.column("text")), pa.float64())], names=["doc_id", "score"])
 
