@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schema import require_columns
+from .asof import positions
 from .indicators import KEY, series
 
+#: Bars per block.
+BLOCK = 256
+
 
 def detect(candles: DataFrame, seconds: int) -> DataFrame:
     """``symbol, kind, top, bottom, formed_at, confirmed_at, gap_id``: bullish
@@ -29,11 +33,18 @@ def evolution(gaps: DataFrame, candles: DataFrame) -> DataFrame:
     edge, alive``.  Wicks erode the edge; the gap dies in the bar that takes
     it to the far side, which is its last row here.
 
-    Gaps are few beside bars (bars far apart in time make them); a gap meets
-    its symbol's bars through an equi-join on the symbol.
+    A gap first meets blocks of ``BLOCK`` bars by their extremes, up to the
+    block that fills it, and then only the bars of those blocks.
     """
-    bars = candles.select(KEY, "ts", "high", "low")
-    later = gaps.join(bars, KEY).where(F.col("ts") >= F.col("confirmed_at"))
+    bars = positions(candles.select(KEY, "ts", "high", "low")).withColumn("block", F.floor(F.col("pos") / BLOCK)).drop("pos")
+    blocks = bars.groupBy(KEY, "block").agg(F.min("ts").alias("since"), F.max("ts").alias("until"), F.min("low").alias("least"), F.max("high").alias("most"))
+    met = gaps.join(blocks, KEY).where(F.col("until") >= F.col("confirmed_at"))
+    fills = F.when(F.col("kind") == "bullish", F.col("least") <= F.col("bottom")).otherwise(F.col("most") >= F.col("top"))
+    earlier = Window.partitionBy("gap_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # a block that begins before the gap is known decides nothing
+    filled = F.sum((fills & (F.col("since") >= F.col("confirmed_at"))).cast("int")).over(earlier)
+    near = met.withColumn("filled", F.coalesce(filled, F.lit(0))).where("filled = 0").select(KEY, "block", *[c for c in gaps.columns if c != KEY])
+    later = near.join(bars, [KEY, "block"]).where(F.col("ts") >= F.col("confirmed_at"))
     path = Window.partitionBy("gap_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     bull = F.col("kind") == "bullish"
     worn = F.when(bull, F.min("low").over(path)).otherwise(F.max("high").over(path))

@@ -6,15 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Trades per block of a running peak.
+BLOCK = 4096
+
 
 def summary(trades: DataFrame, capital: float, by: tuple[str, ...] = (), hours_per_bar: float = 0.25) -> DataFrame:
     """One row (per group of ``by``): count, win rate, total return, mean, median
     and total R, profit factor (infinite without losses), deepest drawdown of
     the capital in closing order (``seq``), mean adverse and favourable move,
     median duration.  Without ``by``, no trades give the defaults."""
-    order = Window.partitionBy(*(by or (F.lit(1),))).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    peak = F.greatest(F.lit(capital), F.max("capital_after").over(order))
-    rows = trades.withColumn("__dd", F.least(F.lit(0.0), (F.col("capital_after") - peak) / peak))
+    # the running peak in two levels: inside blocks of trades, and over blocks
+    rows = trades.withColumn("__b", F.floor(F.col("seq") / BLOCK))
+    inner = Window.partitionBy(*by, "__b").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*(by or (F.lit(1),))).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    heads = rows.groupBy(*by, "__b").agg(F.max("capital_after").alias("__top")).select(*by, "__b", F.max("__top").over(before).alias("__before"))
+    peak = F.greatest(F.lit(capital), F.max("capital_after").over(inner), F.col("__before"))
+    rows = rows.join(heads, [*by, "__b"]).withColumn("__dd", F.least(F.lit(0.0), (F.col("capital_after") - peak) / peak))
     gain, loss = F.sum(F.when(F.col("pnl_pct") > 0, F.col("pnl_pct"))), F.sum(F.when(F.col("pnl_pct") < 0, -F.col("pnl_pct")))
     n = F.count("*")
     return rows.groupBy(*by).agg(

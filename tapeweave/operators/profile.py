@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import ProfileConfig
 from ..schema import OHLCV, require_columns
@@ -142,13 +143,15 @@ def pick_targets(entry: Column, direction: Column, grid: Column, apart: float, m
 
 def touches(candles: DataFrame, levels: DataFrame) -> DataFrame:
     """Every touch of a level: a decision bar after ``valid_from`` whose next
-    bar spans the price, unless the close lies on it.  An equi-join on the
-    symbol; levels are three per range."""
-    from pyspark.sql.window import Window
-
+    bar spans the price, unless the close lies on it.  Prices, which must be
+    positive, are cut into buckets of one percent, so a bar meets only the
+    levels in the few buckets it spans."""
     w = Window.partitionBy("symbol").orderBy("ts")
+    bucket = lambda c: F.floor(F.ln(c) * 100)
     bars = candles.select("symbol", "ts", "close", F.lead("ts").over(w).alias("next_ts"), F.lead("low").over(w).alias("low"), F.lead("high").over(w).alias("high")).where("next_ts IS NOT NULL")
-    found = bars.join(levels.select("symbol", "range_id", "level", "price", "valid_from"), "symbol").where(
+    bars = bars.withColumn("bucket", F.explode(F.sequence(bucket("low"), bucket("high"))))
+    levels = levels.withColumn("bucket", bucket("price"))
+    found = bars.join(levels.select("symbol", "bucket", "range_id", "level", "price", "valid_from"), ["symbol", "bucket"]).where(
         (F.col("ts") >= F.col("valid_from")) & F.col("price").between(F.col("low"), F.col("high")) & (F.col("price") != F.col("close"))
     )
     return found.select("symbol", "ts", "next_ts", "range_id", "level", "price", F.when(F.col("close") > F.col("price"), 1).otherwise(-1).alias("direction"))
