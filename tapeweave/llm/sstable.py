@@ -25,6 +25,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -214,21 +215,19 @@ class WordTokenizer:
         self.old: dict[str, bytes] = {}
 
     def _words(self, words: list[str]) -> list[bytes]:
-        new, old = self.new, self.old
-        out = [new.get(w) for w in words]
+        new, old, kind = self.new, self.old, "H" if self.width == 2 else "I"
+        out = list(map(new.get, words))
         todo = []
-        for i, got in enumerate(out):
+        for i in [i for i, x in enumerate(out) if x is None]:
+            got = old.get(words[i])
             if got is None:
-                got = out[i] = old.get(words[i])
-                if got is None:
-                    todo.append(i)
-                else:
-                    new[words[i]] = got
-        kind = f"<u{self.width}"
+                todo.append(i)
+            else:
+                out[i] = new[words[i]] = got
         for at in range(0, len(todo), 5000):
             part = todo[at : at + 5000]
             for i, e in zip(part, self.tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False)):
-                out[i] = new[words[i]] = np.array(e.ids, dtype=kind).tobytes()
+                out[i] = new[words[i]] = array(kind, e.ids).tobytes()
         if len(new) > self.MOST:
             self.old, self.new = new, {}
         return out
@@ -246,7 +245,7 @@ class WordTokenizer:
             each.append(np.array([end_id], dtype=kind).tobytes())
             codes = np.insert(codes, words.first[1:], len(each) - 1)
         first = words.first + np.arange(len(texts) + 1) * (end_id is not None)
-        sizes = np.array([len(x) for x in each], dtype=np.int64) // self.width
+        sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // self.width
         flat = np.frombuffer(b"".join(each), dtype=kind)
         n = sizes[codes]
         ends = np.cumsum(n)
@@ -286,7 +285,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, params: ShardPara
             writer.close()
             done.append((part, len(done), f"{folder}/{name}", writer.n_docs, writer.n_ids, writer.at))
 
-        for batch in slices(batches, "text", 3 << 20):
+        for batch in slices(batches, "text", 5 << 20):
             ids, bounds = coder.encode(batch.column("text"), p.end_id)
             raw, w = memoryview(ids.tobytes()), coder.width
             for ident, a, b in zip(batch.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
