@@ -54,11 +54,15 @@ def integer_walk(events: DataFrame, symbol: str = "ALL") -> DataFrame:
     Values become whole cents, less their integer mean, and are summed along
     ``ts, event_id``: exact in any order of execution.
     """
-    cents = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.round(F.col("value") * 100).cast("long").alias("cents"))
-    mean = cents.agg(F.expr("sum(cents) div count(*)").alias("mu"))
-    steps = cents.join(F.broadcast(mean)).withColumn("step", F.col("cents") - F.col("mu"))  # one row
-    walk = cumulative(steps, "step", "level", F.floor(F.unix_seconds("ts") / 3600), ["ts", "event_id"])
-    return walk.select(F.lit(symbol).alias("symbol"), "ts", "event_id", (F.lit(10000) + F.col("level") / F.lit(100.0)).alias("price"))
+    rows = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.round(F.col("value") * 100).cast("long").alias("cents"))
+    rows = rows.withColumn("hour", F.floor(F.unix_seconds("ts") / 3600))
+    # one row per hour gives the mean and what each hour starts from
+    hours, past = Window.partitionBy(F.lit(1)), Window.partitionBy(F.lit(1)).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    heads = rows.groupBy("hour").agg(F.sum("cents").alias("c"), F.count("*").alias("n")).withColumns({"all_c": F.sum("c").over(hours), "all_n": F.sum("n").over(hours)}).withColumn("mu", F.expr("all_c div all_n"))
+    heads = heads.select("hour", "mu", F.coalesce(F.sum(F.col("c") - F.col("mu") * F.col("n")).over(past), F.lit(0)).alias("before"))
+    inner = Window.partitionBy("hour").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    level = F.col("before") + F.sum(F.col("cents") - F.col("mu")).over(inner)
+    return rows.join(heads, "hour").select(F.lit(symbol).alias("symbol"), "ts", "event_id", (F.lit(10000) + level / F.lit(100.0)).alias("price"))
 
 
 def landed(raw: DataFrame, seconds: int, now: Column, arrival: str = "arrival") -> DataFrame:
