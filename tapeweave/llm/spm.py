@@ -17,6 +17,7 @@ gives back every text exactly.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -57,10 +58,11 @@ class PieceModel:
                 score = sp.get_score(i)
                 scores.append(score)
                 self.automaton.add_word(piece, (i, len(piece), score))
-                pairs.update(piece[k : k + 2] for k in range(len(piece) - 1))
+                pairs.update(zip(piece, piece[1:]))
                 surface[-1] = piece.replace(SPACE, " ").encode()
         self.automaton.make_automaton()
         self.pairs = frozenset(pairs)
+        self.single = frozenset(p for p in self.automaton.keys() if len(p) == 1)  # characters that are pieces
         self.unknown = min(scores) - UNKNOWN_PENALTY
         self.surface = b"".join(surface)
         self.surface_size = np.array([len(x) for x in surface], dtype=np.int64)
@@ -69,54 +71,56 @@ class PieceModel:
 
     def solve(self, segment: str) -> list[int]:
         """The best path over ``segment`` (spaces already U+2581)."""
-        n = len(segment)
-        best = [0.0] + [-1e300] * n
-        back: list[tuple[int, int]] = [(-1, 0)] * (n + 1)
-        done = 0  # positions up to here have their final score
-
-        def fill(to: int) -> None:
-            nonlocal done
-            while done < to:
-                done += 1
-                if self._bare(segment, done - 1) and best[done - 1] + self.unknown > best[done]:
-                    best[done], back[done] = best[done - 1] + self.unknown, (-1, 1)
-
-        for end, (piece, size, score) in self.automaton.iter(segment):
-            if end > done:
-                fill(end)
-            at = best[end + 1 - size] + score
-            if at > best[end + 1]:
-                best[end + 1], back[end + 1] = at, (piece, size)
-        fill(n)
+        n, best = len(segment), [0.0]
+        best += [-1e300] * n
+        took: list[tuple[int, int, float] | None] = [None] * (n + 1)  # (piece, size, score); None: one bare character
+        if self.single.issuperset(segment):
+            for end, hit in self.automaton.iter(segment):
+                at = best[end + 1 - hit[1]] + hit[2]
+                if at > best[end + 1]:
+                    best[end + 1], took[end + 1] = at, hit
+        else:
+            ending: dict[int, list] = {}
+            for end, hit in self.automaton.iter(segment):
+                ending.setdefault(end + 1, []).append(hit)
+            for to in range(1, n + 1):
+                for hit in ending.get(to, ()):
+                    at = best[to - hit[1]] + hit[2]
+                    if at > best[to]:
+                        best[to], took[to] = at, hit
+                if segment[to - 1] not in self.single and best[to - 1] + self.unknown > best[to]:
+                    best[to], took[to] = best[to - 1] + self.unknown, None
         path, at = [], n
         while at:
-            piece, size = back[at]
-            if piece >= 0:
-                path.append(piece)
+            hit = took[at]
+            if hit:
+                path.append(hit[0])
+                at -= hit[1]
             else:
                 raw = SPACE if segment[at - 1] == _LITERAL else segment[at - 1]
                 path.extend(int(self.byte[b]) for b in reversed(raw.encode()))
-            at -= size
+                at -= 1
         return path[::-1]
 
-    def _bare(self, segment: str, at: int) -> bool:
-        """Whether no piece is the single character at this place."""
-        return not self.automaton.exists(segment[at])
-
     def segment_ids(self, segment: str) -> bytes:
         """Ids of a run of spaces and other characters, as 32-bit integers."""
         text = segment.replace(SPACE, _LITERAL).replace(" ", SPACE)
-        cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in self.pairs]
+        got = self.new.get(text)
+        if got is not None:
+            return got
+        pairs = self.pairs
+        cuts = [k for k, pair in enumerate(zip(text, text[1:]), 1) if pair not in pairs]
         if not cuts:
             return self._remembered(text)
-        return b"".join(self._remembered(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)]))
+        got = self.new[text] = b"".join(self._remembered(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)]))
+        return got
 
     def _remembered(self, text: str) -> bytes:
         got = self.new.get(text)
         if got is None:
             got = self.old.get(text)
             if got is None:
-                got = np.array(self.solve(text), dtype="<i4").tobytes()
+                got = array("i", self.solve(text)).tobytes()
             self.new[text] = got
             if len(self.new) > self.MOST:
                 self.old, self.new = self.new, {}
