@@ -142,7 +142,7 @@ def q01(spark, d):
 
 @query("q02_impossible_values", _bars(_DIRTY_SQL) + f"SELECT {OUT}, open, high, low, close, volume FROM dirty WHERE {_BAD_SQL}")
 def q02(spark, d):
-    return _shown(quality.impossible(_dirty(spark, d)), "open", "high", "low", "close", "volume")
+    return seconds(quality.impossible(_dirty(spark, d)).select("symbol", "ts", "open", "high", "low", "close", "volume"), "ts")
 
 
 @query("q03_gaps", _bars("lim AS (SELECT symbol, min(ts) AS a, max(ts) AS b FROM bars GROUP BY symbol)", "grid AS (SELECT symbol, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS ts FROM lim)") + f"SELECT {OUT} FROM grid ANTI JOIN bars USING (symbol, ts)")
