@@ -188,8 +188,9 @@ def near_dedup(docs: DataFrame, params: NearDupParams | None = None, id_col: str
 
     Null, empty or blank text: an empty set, linked with nothing, its own
     component.  Null identifier: never names a component unless all of the
-    component's are null.  Repeated rows get the same answer each.  Other
-    columns are ignored.
+    component's are null; a set that only rows with null identifiers have is
+    linked with its equals alone, as its text can't be fetched by name.
+    Repeated rows get the same answer each.  Other columns are ignored.
     """
     p = params or NearDupParams()
     base = docs.selectExpr(f"cast(`{id_col}` as long) AS doc_id", f"cast(`{text_col}` as string) AS text")
