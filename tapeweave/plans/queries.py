@@ -483,7 +483,7 @@ SIMULATION = BacktestConfig(kinds=("primary", "secondary"), max_adx=60.0, min_im
 
 
 def _ranges(spark: SparkSession, d: str) -> DataFrame:
-    return ranges.detect(v.walk(spark, d), DETECTION)
+    return ranges.detect(v.walk(spark, d), DETECTION).cache()  # few rows, which selections read several times
 
 
 @query("r01_flat_windows", _walk(f"p AS (SELECT *, (row_number() OVER ({W}))::DOUBLE AS x FROM walk)", f"q AS (SELECT symbol, {_full('regr_r2(close, x)', 'close', 60)} AS r2 FROM p)") + "SELECT symbol, count(r2) AS n_full, CAST(sum(CASE WHEN r2 < 0.3 THEN 1 ELSE 0 END) AS BIGINT) AS n_flat FROM q GROUP BY symbol")
