@@ -30,8 +30,12 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group, the smallest ``doc_id``."""
-    return neardup.without_near_duplicates(docs)
+    """Keeps one document of each near-duplicate group, the smallest ``doc_id``.
+
+    Links from a Jaccard similarity of 0.80 on; 48 bands of 6 miss a pair at
+    0.80 with probability ``(1 - 0.8 ** 6) ** 48`` = 5e-7.
+    """
+    return neardup.without_near_duplicates(docs, neardup.NearDupParams(percent=80, bands=48))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
