@@ -18,9 +18,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents written in a language that was learned.
 
     ``lang`` stays as given.  Texts that are null, empty or without letters go,
-    and so do those of which no language has 40 % of the letters.
+    and so do those of which no language has 40 % of the letters; letters of
+    scripts that were not learned count for none.  That language's words must be
+    about as likely as in labelled documents: other languages and junk go.
     """
-    model = langid.train(learnable_languages(docs))
+    model = langid.train(learnable_languages(docs), floors=True)
     return langid.accepted(docs, model)
 
 

@@ -6,6 +6,10 @@ language is the sum of its n-grams' log probabilities; languages that are not
 written in the word's script are out.  Over the words of a text a Viterbi pass
 with a penalty for each switch of language finds the best labelling, so
 mixed-language texts come out as spans.
+
+Whether a text is in a learned language at all is another question: letters of
+scripts that no language was learned from belong to none, and the winning
+label's words must be about as likely, per letter, as labelled documents are.
 """
 
 from __future__ import annotations
@@ -54,6 +58,10 @@ class LangModel:
     scores: np.ndarray
     scripts: np.ndarray
     params: LangIdParams = field(default_factory=LangIdParams)
+    #: By language: the least log-probability a letter of long texts, and the
+    #: variance a letter by which short ones may miss it.
+    floors: np.ndarray | None = None
+    noise: np.ndarray | None = None
 
 
 def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,33 +85,47 @@ def _grams(points: np.ndarray, owner: np.ndarray, letter: np.ndarray) -> Iterato
             yield (mix(key[same], n) % np.uint64(BUCKETS)).astype(np.int64), owner[: len(key)][same]
 
 
-def word_scores(words: list[str], model: LangModel) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probability of each word by language, and its number of letters."""
+def _fits(words: list[str], scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Log-probability of each word by language; its code points by word."""
     points, owner, letter = _letters(words)
-    out = np.zeros((len(words), len(model.langs)), dtype=np.float64)
+    out = np.zeros((len(words), scores.shape[1]), dtype=np.float64)
     for bucket, at in _grams(points, owner, letter):
-        for k in range(len(model.langs)):
-            out[:, k] += np.bincount(at, weights=model.scores[bucket, k], minlength=len(words))
+        for k in range(scores.shape[1]):
+            out[:, k] += np.bincount(at, weights=scores[bucket, k], minlength=len(words))
+    return out, points, owner, letter
+
+
+def word_scores(words: list[str], model: LangModel) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Log-probability of each word by language, less the best one's; its number
+    of letters; the log-probabilities as they are; whether a language was
+    learned in its script."""
+    fit, points, owner, letter = _fits(words, model.scores)
+    out = fit.copy()
     script = _SCRIPT_OF[np.searchsorted(_STARTS, points, side="right")]
     seen = np.zeros((len(words), len(SCRIPTS)))
     np.add.at(seen, (owner[letter], script[letter]), 1)
     main = seen.argmax(axis=1)
     size = seen.sum(axis=1)
     allowed = model.scripts[main]
-    allowed[~allowed.any(axis=1)] = True
+    known = allowed.any(axis=1)
+    allowed[~known] = True
     out[~allowed] = -1e3
     out[size == 0] = 0
-    return out - out.max(axis=1, keepdims=True), size.astype(np.int64)
+    return out - out.max(axis=1, keepdims=True), size.astype(np.int64), fit, known
 
 
-def train(docs: DataFrame, params: LangIdParams | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LangModel:
+def train(docs: DataFrame, params: LangIdParams | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", floors: bool = False) -> LangModel:
     """Learn from the labelled ``docs``; rows with a null text or language are
     left out.  The sample's n-grams are counted on executors and only the
     counts (languages x buckets) reach the driver.  Without a labelled row the
-    model has no language, and every text is ``und``."""
+    model has no language, and every text is ``und``.
+
+    ``floors``: also learn how likely documents of each language are.  Each half
+    of the sample is scored by the counts of the other, so that no document is
+    judged by itself; see ``_floors``."""
     p = params or LangIdParams()
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
+        F.col(id_col).cast("string").alias("id"), F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("half")), F.lit(2)).cast("int").alias("half"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
     )
     # identifiers first, so that texts beyond the sample are never moved
     limit = labelled.select(F.xxhash64("id").alias("h")).orderBy("h").limit(p.sample).agg(F.max("h")).first()[0]
@@ -111,27 +133,73 @@ def train(docs: DataFrame, params: LangIdParams | None = None, id_col: str = "do
         return LangModel([], np.zeros((BUCKETS, 0)), np.zeros((len(SCRIPTS), 0), dtype=bool), p)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[str, np.ndarray] = {}
+        totals: dict[tuple[str, int], np.ndarray] = {}
         for frame in batches:
-            for lang, group in frame.groupby("lang"):
-                row = totals.setdefault(lang, np.zeros(BUCKETS + len(SCRIPTS)))
+            for key, group in frame.groupby(["lang", "half"]):
+                row = totals.setdefault(key, np.zeros(BUCKETS + len(SCRIPTS)))
                 for at in range(0, len(group), 20):
                     points, owner, letter = _letters(" ".join(group["text"].iloc[at : at + 20]).split())
                     for bucket, _ in _grams(points, owner, letter):
                         row[:BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
                     row[BUCKETS:] += np.bincount(_SCRIPT_OF[np.searchsorted(_STARTS, points[letter], side="right")], minlength=len(SCRIPTS))
-        for lang, row in totals.items():
+        for (lang, half), row in totals.items():
             at = np.flatnonzero(row)
-            yield pd.DataFrame({"lang": lang, "bucket": at, "n": row[at]})
+            yield pd.DataFrame({"lang": lang, "half": half, "bucket": at, "n": row[at]})
 
-    counted = labelled.where(F.xxhash64("id") <= limit).select("lang", "text").mapInPandas(count, "lang string, bucket long, n double")
-    table = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    sample = labelled.where(F.xxhash64("id") <= limit).select("lang", "half", "text")
+    counted = sample.mapInPandas(count, "lang string, half int, bucket long, n double")
+    table = counted.groupBy("lang", "half", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(table["lang"].unique())
-    raw = np.zeros((BUCKETS + len(SCRIPTS), len(langs)))
-    raw[table["bucket"], [langs.index(x) for x in table["lang"]]] = table["n"]
-    counts = raw[:BUCKETS] + p.smoothing
+    halves = np.zeros((2, BUCKETS + len(SCRIPTS), len(langs)))
+    halves[table["half"], table["bucket"], [langs.index(x) for x in table["lang"]]] = table["n"]
+
+    def logs(n: np.ndarray) -> np.ndarray:
+        counts = n[:BUCKETS] + p.smoothing
+        return np.log(counts / counts.sum(axis=0))
+
+    raw = halves.sum(axis=0)
     scripts = raw[BUCKETS:] > 0.01 * raw[BUCKETS:].sum(axis=0, keepdims=True)
-    return LangModel(langs, np.log(counts / counts.sum(axis=0)), scripts, p)
+    model = LangModel(langs, logs(raw), scripts, p)
+    if floors:
+        model.floors, model.noise = _floors(sample, langs, [logs(halves[1]), logs(halves[0])])
+    return model
+
+
+#: Letters of a document that counts for floors, documents a
+#: language needs for one, deviations of chance that a text may lie below it.
+FLOOR_LETTERS, FLOOR_DOCS, FLOOR_SDS = 200, 40, 3.0
+
+
+def _floors(sample: DataFrame, langs: list[str], others: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Floor and noise of each language from the labelled ``sample``, whose half
+    ``k`` is scored by ``others[k]``.
+
+    The floor lies twice as far below the median document as the lowest
+    hundredth does, so that a few documents with a wrong label do not move it.
+    The noise is the variance of a word's log-probability, by letter.  A
+    language with fewer than 40 documents of 200 letters has no floor: it can
+    not be told what is unlikely in it.
+    """
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            out = []
+            for lang, half, text in zip(frame["lang"], frame["half"], frame["text"]):
+                fit, _, owner, letter = _fits(text.split(), others[half][:, [langs.index(lang)]])
+                size = np.bincount(owner[letter], minlength=len(fit))
+                n = int(size.sum())
+                if n >= FLOOR_LETTERS:
+                    mean = fit[size > 0, 0].sum() / n
+                    out.append((lang, mean, ((fit[:, 0] - mean * size)[size > 0] ** 2).sum() / n))
+            yield pd.DataFrame(out, columns=["lang", "mean", "noise"])
+
+    docs = sample.mapInPandas(measure, "lang string, mean double, noise double").toPandas()
+    floors, noise = np.full(len(langs), -np.inf), np.zeros(len(langs))
+    for lang, group in docs.groupby("lang"):
+        if len(group) >= FLOOR_DOCS:
+            middle, low = group["mean"].quantile(0.5), group["mean"].quantile(0.01)
+            floors[langs.index(lang)], noise[langs.index(lang)] = middle - 2 * (middle - low), group["noise"].median()
+    return floors, noise
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
@@ -173,7 +241,7 @@ def label_batch(texts: pa.Array, model: LangModel) -> dict[str, np.ndarray]:
     if len(codes) == 0 or n_lang == 0:
         none, codes = np.full(len(texts), -1), np.zeros(0, dtype=np.int64)
         return {"lang": none, "score": np.zeros(len(texts)), "label": codes.astype(np.int8), "size": codes, "first": words.first}
-    table, size = word_scores(distinct.to_pylist(), model)
+    table, size, fit, known = word_scores(distinct.to_pylist(), model)
     label = viterbi(table[codes], words.first, model.params.switch)
     weight = size[codes]
     doc = words.doc_of()
@@ -183,9 +251,30 @@ def label_batch(texts: pa.Array, model: LangModel) -> dict[str, np.ndarray]:
         "lang": np.where(total > 0, mass.argmax(axis=1), -1),
         "score": np.where(total > 0, mass.max(axis=1) / np.maximum(total, 1), 0.0),
         "label": label, "size": weight, "first": words.first, "words": words,
+        "fit": fit[codes, label], "known": known[codes],
     }
 
 
+def learned(texts: pa.Array, model: LangModel, min_score: float) -> np.ndarray:
+    """Whether each text is written in a learned language: one label has
+    ``min_score`` of all letters by words of learned scripts, and these words
+    are, per letter, as likely as the label's floor asks for."""
+    got, n_lang = label_batch(texts, model), len(model.langs)
+    if "words" not in got:
+        return np.zeros(len(texts), dtype=bool)
+    at = got["words"].doc_of() * n_lang + got["label"]
+    by_label = lambda x: np.bincount(at, weights=x, minlength=len(texts) * n_lang).reshape(-1, n_lang)
+    mine = got["size"] * got["known"]
+    mass, total = by_label(mine), by_label(got["size"]).sum(axis=1)
+    best = (np.arange(len(texts)), mass.argmax(axis=1))
+    n = np.maximum(mass[best], 1)
+    good = (mass[best] > 0) & (mass[best] >= min_score * total)
+    if model.floors is not None:
+        fit = by_label(np.where(mine > 0, got["fit"], 0.0))[best] / n
+        good &= fit >= model.floors[best[1]] - FLOOR_SDS * np.sqrt(model.noise[best[1]] / n)
+    return good
+
+
 def _named(got: dict[str, np.ndarray], langs: list[str]) -> pa.Array:
     return pa.array(np.array([*langs, "und"], dtype=object)[got["lang"]], pa.string())
 
@@ -235,12 +324,13 @@ def spans(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col: s
 
 def accepted(docs: DataFrame, model: LangModel, min_score: float = 0.4, text_col: str = "text") -> DataFrame:
     """``docs`` whose text has a language with at least ``min_score`` of its
-    letters; rows pass through with all their columns, without a shuffle."""
+    letters, where letters of unlearned scripts have none; if ``model`` has
+    floors, that language must also be as likely as they ask for.  Rows pass
+    through with all their columns, without a shuffle."""
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
-            got = label_batch(batch.column(text_col), model)
-            yield batch.filter(pa.array((got["lang"] >= 0) & (got["score"] >= min_score)))
+            yield batch.filter(pa.array(learned(batch.column(text_col), model, min_score)))
 
     return docs.mapInArrow(run, schema)

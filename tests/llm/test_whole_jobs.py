@@ -50,3 +50,21 @@ def test_near_stage_links_from_80_percent(spark):
     assert kept[80] < kept[85]
     got = corpus_pipeline.near_dedup_stage(spark, documents(spark, texts), SF)
     assert {r.doc_id for r in got.collect()} == kept[80]
+
+
+def test_language_stage_rejects_what_was_not_learned(spark):
+    corpus = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    by = {r.lang: r.text for r in corpus.where("length(text) BETWEEN 1500 AND 3000 AND doc_id > 20").orderBy("doc_id").collect()}
+    rng = random.Random(1)
+    russian = "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства. "
+    thai = "มนุษย์ทั้งหลายเกิดมามีอิสระและเสมอภาคกันในเกียรติศักดิ์และสิทธิ "
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. "
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. "
+    junk = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 10))) for _ in range(80))
+    gone = [russian, russian * 5, thai, thai * 5, polish, polish * 5, finnish, finnish * 5, junk, russian * 4 + by["en"][:200], by["de"][:100] + " " + junk * 2]
+    stay = [*by.values(), by["en"][:700] + " " + by["de"][:700], by["fr"][:500] + "\n" + by["es"][:700], by["en"][:900] + " " + russian, by["en"][:60].rsplit(" ", 1)[0], by["de"][:900] + " " + polish]
+    planted = documents(spark, [(10**9 + i, t) for i, t in enumerate(gone + stay)])
+    got = corpus_pipeline.language_id(spark, corpus.select(*planted.columns).unionByName(planted.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang", "source", "n_chars")), SF)
+    left = {r.doc_id - 10**9 for r in got.where("doc_id >= 1000000000").select("doc_id").collect()}
+    assert left == set(range(len(gone), len(gone) + len(stay)))
+    assert got.where("doc_id < 1000000000").count() >= 0.998 * corpus.count()
