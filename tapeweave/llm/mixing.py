@@ -11,6 +11,7 @@ documents do not) and the documents are never exchanged for their texts.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -27,11 +28,17 @@ class MixParams:
     """``targets``: weight by level, by dimension; a dimension without them is
     aimed at its own token shares to the power ``temper``, which lifts small
     levels.  A level that ``targets`` do not name keeps its own share.
-    ``rounds``: raking rounds.  ``budget``: share of all tokens to sample.
-    ``seed``: changes the draw."""
+    ``tolerance``: raking goes on until every marginal is as close as that to
+    its target; then the budget is lowered, if it must be, to the largest one
+    that no cell needs a probability above 1 for, so that the sample's expected
+    shares are the targets.  Targets that cannot be reached are warned of.
+    ``rounds``: with ``tolerance=None``, raking takes just so many rounds, and
+    probabilities are cut off at 1 whatever the shares become.
+    ``budget``: share of all tokens to sample.  ``seed``: changes the draw."""
 
     targets: dict[str, dict[str, float]] = field(default_factory=dict)
     temper: float = 0.8
+    tolerance: float | None = 1e-7
     rounds: int = 6
     budget: float = 0.8
     seed: str = "mix"
@@ -72,23 +79,47 @@ def target_shares(cells: DataFrame, dim: str, params: MixParams) -> DataFrame:
         wish = F.coalesce(F.create_map(*[F.lit(x) for kv in given.items() for x in kv])[F.col(dim)], F.col("own"))
     else:
         wish = F.pow("own", F.lit(params.temper))
+    if params.tolerance is not None:
+        wish = F.when(F.col("t") > 0, wish).otherwise(0.0)  # a level without tokens has no share to give
     return level.withColumn("wish", wish).select(dim, F.try_divide("wish", F.sum("wish").over(total)).alias("share"))
 
 
+#: Fixed value: rounds in which the largest gap must fall by a tenth.
+STALL = 10
+
+
+def _gap(full: DataFrame) -> float:
+    """The largest distance of a level's weights from its target share."""
+    level = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).alias("level"), F.col(f"to_{d}").alias("to"), "weight") for d in DIMS]))
+    sums = full.select(level.alias("x")).select("x.*").groupBy("dim", "level").agg(F.sum("weight").alias("w"), F.first("to").alias("to"))
+    return sums.agg(F.max(F.abs(F.col("w") - F.col("to")))).first()[0] or 0.0
+
+
 def rake(cells: DataFrame, params: MixParams | None = None) -> DataFrame:
     """``cells`` (the dimensions and ``tokens``) with ``weight``: raked so that
     each level's weights sum to its target share.  Cells without tokens stay
-    at weight 0; a level whose cells are all empty cannot be raised."""
+    at weight 0; a level whose cells are all empty cannot be raised.  Warns of
+    targets that no weights can meet together."""
     p = params or MixParams()
     full = cells
     for dim in DIMS:
         full = full.join(F.broadcast(target_shares(cells, dim, p).withColumnRenamed("share", f"to_{dim}")), dim)
     full = cut(full.withColumn("weight", F.col("tokens").cast("double")))
-    for _ in range(p.rounds):
+    gaps: list[float] = []
+    while len(gaps) < p.rounds or p.tolerance is not None:
         for dim in DIMS:
             now = F.sum("weight").over(Window.partitionBy(dim))
             full = full.withColumn("weight", F.coalesce(F.col("weight") * F.try_divide(F.col(f"to_{dim}"), now), F.lit(0.0)))
         full = cut(full)  # keeps the plan of a round small
+        if p.tolerance is None:
+            gaps.append(0.0)
+            continue
+        gaps.append(_gap(full))
+        if gaps[-1] <= p.tolerance:
+            break
+        if len(gaps) > STALL and gaps[-1] > 0.9 * gaps[-1 - STALL]:
+            warnings.warn(f"mixing targets contradict each other or have no exact solution: after {len(gaps)} rounds a share is still off by {gaps[-1]:.3g}", stacklevel=2)
+            break
     return full.select(*DIMS, "tokens", "weight")
 
 
@@ -102,7 +133,7 @@ def mix(docs: DataFrame, params: MixParams | None = None, id_col: str = "doc_id"
     probability, sampled``.
 
     ``probability`` is ``budget * all tokens * weight / tokens of the cell``,
-    at most 1, rounded to 9 places.  Null identifiers all draw the same number,
+    at most 1, rounded to 9 places; see ``MixParams`` for the budget.  Null identifiers all draw the same number,
     as do repeated rows.  Documents without tokens take their cell's
     probability; a cell without any token has probability 0.  An empty table
     gives an empty result.  Other columns are ignored.
@@ -111,7 +142,11 @@ def mix(docs: DataFrame, params: MixParams | None = None, id_col: str = "doc_id"
     rows = cut(measured(docs, id_col, text_col, source_col, lang_col))
     raked = rake(rows.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")), p)
     all_tokens = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
-    odds = F.round(F.least(F.lit(1.0), F.coalesce(F.try_divide(F.lit(p.budget) * all_tokens * F.col("weight"), F.col("tokens")), F.lit(0.0))), 9)
+    asked = F.try_divide(F.lit(p.budget) * all_tokens * F.col("weight"), F.col("tokens"))
+    if p.tolerance is not None:
+        highest = F.lit(p.budget) * all_tokens * F.max(F.try_divide("weight", "tokens")).over(Window.partitionBy(F.lit(1)))
+        asked = asked / F.greatest(F.lit(1.0), highest)
+    odds = F.round(F.least(F.lit(1.0), F.coalesce(asked, F.lit(0.0))), 9)
     cells = raked.select(*DIMS, odds.alias("probability"))
     # cells are bounded by the product of the level counts; Spark broadcasts
     # them only while they are below its own size limit

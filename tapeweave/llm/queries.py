@@ -57,7 +57,8 @@ LANG_TARGETS = {"en": 0.5, "de": 0.2, "fr": 0.18, "es": 0.12}
 def op6_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import MixParams, mix
 
-    return mix(_documents(spark, sf_dir), MixParams(targets={"lang": LANG_TARGETS}))
+    # as the query's SQL has it: six rounds, probabilities cut off at 1
+    return mix(_documents(spark, sf_dir), MixParams(targets={"lang": LANG_TARGETS}, tolerance=None))
 
 
 def op7_sstable_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

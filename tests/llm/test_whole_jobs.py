@@ -10,6 +10,10 @@ import pytest
 pytest.importorskip("public_tokenizers")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
+from pyspark.sql import functions as F  # noqa: E402
+
+from tapeweave.llm import mixing  # noqa: E402
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -68,3 +72,33 @@ def test_language_stage_rejects_what_was_not_learned(spark):
     left = {r.doc_id - 10**9 for r in got.where("doc_id >= 1000000000").select("doc_id").collect()}
     assert left == set(range(len(gone), len(gone) + len(stay)))
     assert got.where("doc_id < 1000000000").count() >= 0.998 * corpus.count()
+
+
+def expected_shares(got, dim):
+    """Each level's share of the tokens that a sample is expected to hold."""
+    expected = F.col("tokens") * F.col("probability")
+    rows = got.groupBy(dim).agg(F.sum(expected).alias("t"), F.sum("tokens").alias("all")).collect()
+    total = sum(r.t for r in rows)
+    return {r[dim]: r.t / total for r in rows}, total / sum(r["all"] for r in rows)
+
+
+def test_samples_have_the_target_shares(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    targets = corpus_pipeline.LANG_TARGETS
+    shares, budget = expected_shares(mixing.mix(docs, mixing.MixParams(targets={"lang": targets})), "lang")
+    assert all(abs(shares[k] - v) < 1e-4 for k, v in targets.items()) and 0 < budget <= 0.8
+
+
+def test_a_rare_level_raised_severalfold_gets_its_share(spark):
+    rows = [(i, "w " * 50, "de" if i % 20 == 0 else "en", "big" if i % 3 == 0 else f"s{i % 7}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mix(docs, mixing.MixParams(targets={"lang": {"de": 0.3, "en": 0.7}}))
+    assert got.agg(F.max("probability")).first()[0] <= 1
+    assert abs(expected_shares(got, "lang")[0]["de"] - 0.3) < 1e-4
+
+
+def test_contradicting_targets_are_reported(spark):
+    rows = [("a", "en", "prose", 100), ("b", "de", "prose", 100)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    with pytest.warns(UserWarning, match="contradict"):
+        mixing.rake(cells, mixing.MixParams(targets={"lang": {"en": 0.5, "de": 0.5}, "source": {"a": 0.9, "b": 0.1}}))
