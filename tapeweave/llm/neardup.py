@@ -12,14 +12,16 @@
    smallest class of that bucket.  Connected ties make *candidate clusters*.
 4. Only clustered classes fetch their full sets, once, dealt by cluster in
    blocks of bounded size, and every pair inside a block is verified exactly.
-   Clusters of several blocks then compare the classes outside their largest
-   verified component with every block, so that no pair is left out while
-   members that are already tied together are not compared again.
+   Clusters of several blocks then deal the classes outside their largest
+   verified component in blocks too, and compare these with every block of the
+   component and with one another, two blocks at a time: no pair is left out,
+   members that are already tied together are not compared again, and no task
+   holds more than two blocks.
 5. Verified links give the final components.
 
 No pair is ever sent through a shuffle: what is exchanged are band keys, one
-star edge per class and bucket, shingle sets (once, or once a block for
-stragglers of a large cluster), and verified spanning links.
+star edge per class and bucket, shingle sets (once, or once a pair of blocks
+for large clusters with stragglers), and verified spanning links.
 """
 
 from __future__ import annotations
@@ -123,8 +125,8 @@ def _profiles(p: NearDupParams):
 
 
 def _verify_block(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Spanning links among ``sets``.  Pairs of two ``sides`` 1 members are not
-    asked for; the others are all compared on their full sets."""
+    """Spanning links among ``sets``, compared on their full sets: members of
+    ``sides`` 0 with each other, and those of 2 with those of 1."""
     sizes = np.array([len(x) for x in sets], dtype=np.int64)
     flat = np.concatenate(sets)
     _, codes = np.unique(flat, return_inverse=True)
@@ -137,7 +139,7 @@ def _verify_block(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> li
     group = np.arange(len(sets))
     links = []
     for i in range(len(sets)):
-        if sides[i]:
+        if sides[i] == 1:
             continue
         mine = codes[ends[i] - sizes[i] : ends[i]]
         shared = mine[heads[mine + 1] - heads[mine] > 1]
@@ -148,7 +150,7 @@ def _verify_block(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> li
         common = np.bincount(holders[at], minlength=len(sets))
         union = sizes + sizes[i] - common
         near = np.flatnonzero(100 * common >= percent * union)
-        for j in near[(near > i) | (sides[near] == 1)].tolist():
+        for j in near[(near > i) & (sides[near] == 0) if sides[i] == 0 else sides[near] == 1].tolist():
             if group[i] != group[j]:
                 group[group == group[j]] = group[i]
                 links.append((i, j))
@@ -179,6 +181,30 @@ def _fetch(size: int):
     return fetch
 
 
+def _meetings(wide: DataFrame, part: DataFrame, block: int) -> DataFrame:
+    """Pairs of blocks, by ``cluster, i, j``, of the clusters in ``wide`` (of
+    several blocks) whose verified components are ``part``: the stragglers'
+    blocks with the main component's, and the stragglers' with one another.
+
+    The main component's blocks have the numbers below ``blocks``, the
+    stragglers' those from there on.
+    """
+    sited = wide.join(part, wide["class"] == part["node"], "left").withColumn("root", F.coalesce("root", "class")).drop("node")
+    most = sited.groupBy("cluster", "root").count().groupBy("cluster").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+    sited = sited.join(most, "cluster")
+    stray = sited.where("root <> main")
+    dealt = stray.groupBy("cluster").agg(F.ceil(F.sum(F.octet_length("shingles")) / F.lit(8 * block)).cast("int").alias("strays"))
+    stray = stray.join(dealt, "cluster").withColumn("own", F.pmod(F.xxhash64("class"), F.col("strays")).cast("int"))
+    at = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own, first = F.col("own"), F.col("blocks")
+    with_main = F.transform(every("blocks"), lambda k: at(k, own, 2))
+    with_strays = F.transform(every("strays"), lambda k: F.when(k == own, at(first + own, own, 0)).when(k < own, at(first + k, own, 1)).otherwise(at(first + own, k, 2)))
+    stray = stray.select("cluster", "class", "shingles", F.explode(F.concat(with_main, with_strays)).alias("at"))
+    main = sited.where("root = main").join(dealt, "cluster").select("cluster", "class", "shingles", F.explode(F.transform(every("strays"), lambda k: at(F.col("block"), k, 1))).alias("at"))
+    return main.unionByName(stray).select("cluster", "class", "shingles", "at.*")
+
+
 def near_dedup(docs: DataFrame, params: NearDupParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Group documents whose shingle sets are near-duplicates.
 
@@ -214,14 +240,8 @@ def near_dedup(docs: DataFrame, params: NearDupParams | None = None, id_col: str
     links = local
     wide = dealt.where("blocks > 1")
     if not wide.isEmpty():
-        part = components(local)
-        sited = wide.join(part, wide["class"] == part["node"], "left").withColumn("root", F.coalesce("root", "class")).drop("node")
-        most = sited.groupBy("cluster", "root").count().groupBy("cluster").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-        sited = sited.join(most, "cluster")
-        roaming = sited.where("root <> main").select("cluster", "class", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"))
-        # in each block: its own members, and all of the cluster's stragglers
-        meet = sited.where("root = main").select("cluster", "class", "shingles", "block", F.lit(1).alias("side")).unionByName(roaming)
-        links = local.unionByName(cut(meet.groupBy("cluster", "block").applyInPandas(_verifier(p), pairs)))
+        meet = _meetings(wide, components(local), p.block)
+        links = local.unionByName(cut(meet.groupBy("cluster", "i", "j").applyInPandas(_verifier(p), pairs)))
     final = components(links)
     named = classes.join(final, classes["class"] == final["node"], "left").select("class", "head", F.coalesce("root", "class").alias("root"))
     names = named.groupBy("root").agg(F.min("head").alias("component_id"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import itertools
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -12,7 +14,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from tapeweave.llm import mixing  # noqa: E402
+from tapeweave.llm import mixing, neardup  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -102,3 +104,37 @@ def test_contradicting_targets_are_reported(spark):
     cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
     with pytest.warns(UserWarning, match="contradict"):
         mixing.rake(cells, mixing.MixParams(targets={"lang": {"en": 0.5, "de": 0.5}, "source": {"a": 0.9, "b": 0.1}}))
+
+
+def chained_texts(n):
+    """Texts that share a passage with each other, but few of them 85 %."""
+    rng, passage, out = random.Random(5), [f"p{i}" for i in range(70)], []
+    for k in range(n):
+        own = [f"o{k}-{i}" for i in range(rng.choice([12, 20, 30]))]
+        out.append((3 * k, " ".join(passage + own)))
+        if k % 6 == 0:
+            out.append((3 * k + 1, " ".join([*passage, *own[:-1], "end"])))
+    return out
+
+
+def test_stragglers_meet_in_bounded_blocks(spark):
+    rng = np.random.default_rng(2)
+    rows = [("c", f"n{k:03}", rng.integers(0, 2**62, 50).tobytes(), 8, k % 8) for k in range(80)]
+    wide = spark.createDataFrame(rows, "cluster string, class string, shingles binary, blocks int, block int")
+    part = spark.createDataFrame([(f"n{k:03}", "n000") for k in range(24)], "node string, root string")
+    groups = {}
+    for r in neardup._meetings(wide, part, 500).collect():
+        groups.setdefault((r.cluster, r.i, r.j), []).append(r)
+    assert max(len(g) for g in groups.values()) * 50 <= 4 * 500  # two blocks, dealt by hash
+    pairs = Counter()
+    for g in groups.values():
+        pairs.update(frozenset((a["class"], b["class"])) for a, b in itertools.combinations(g, 2) if {a.side, b.side} in ({0}, {1, 2}))
+    main = {f"n{k:03}" for k in range(24)}
+    want = {frozenset(x) for x in itertools.combinations([r[1] for r in rows], 2) if not set(x) <= main}
+    assert set(pairs) == want and set(pairs.values()) == {1}
+
+
+def test_chained_texts_equal_brute_force(spark):
+    texts = chained_texts(60)
+    got = neardup.near_dedup(documents(spark, texts), neardup.NearDupParams(block=700)).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_groups(texts, 85)
