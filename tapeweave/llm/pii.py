@@ -31,17 +31,27 @@ LAST_DAY = date(9999, 12, 31).toordinal()
 #: The classes of characters that keep their class.
 CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
+#: A value's borders: no word character, and no mark behind which its run of
+#: digits goes on.  A slash only carries on what has slashes itself; secrets,
+#: whose ends may become digits, end at any other mark next to a digit.  A date
+#: may be followed by a time.
 _NUMBER = re.compile(
-    r"""(?<![\w.+/-])(?:
-      (?P<date>\d{4}(?P<sep>[-/.])\d{1,2}(?P=sep)\d{1,2} | \d{1,2}(?P<sep2>[-/.])\d{1,2}(?P=sep2)\d{4})
-    | (?P<ip>\d{1,3}(?:\.\d{1,3}){3})
-    | (?P<ssn>\d{3}-\d{2}-\d{4})
-    | (?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]?\d{4} | \+\d{8,15})
-    | (?P<card>\d{4}(?P<sep3>[ -])\d{4}(?P=sep3)\d{4}(?P=sep3)\d{1,7})
-    | (?P<iban>[A-Z]{2}\d{2}[A-Z0-9]{11,30})
-    | (?P<secret>[0-9a-f]{32,128} | [0-9A-F]{32,128})
-    | (?P<number>\d{9,40})
-    )(?![\w/]|[-+.]\d)""",
+    r"""(?<!\w)(?<!\d[-+.])(?:
+      (?:
+        (?P<date>\d{4}(?P<sep>[-.])\d{1,2}(?P=sep)\d{1,2} | \d{1,2}(?P<sep2>[-.])\d{1,2}(?P=sep2)\d{4}
+          | (?<!\d/)(?<![0-9A-Fa-f]{32}/)(?:\d{4}/\d{1,2}/\d{1,2} | \d{1,2}/\d{1,2}/\d{4})(?!/\d|/[0-9A-Fa-f]{32}))
+        (?: (?=[Tt]\d{2}:?\d{2}) | (?!\w|[-+.]\d) )
+      )
+    | (?:
+        (?P<ip>\d{1,3}(?:\.\d{1,3}){3})
+      | (?P<ssn>\d{3}-\d{2}-\d{4})
+      | (?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]?\d{4} | \+\d{8,15})
+      | (?P<card>\d{4}(?P<sep3>[ -])\d{4}(?P=sep3)\d{4}(?P=sep3)\d{1,7})
+      | (?P<iban>[A-Z]{2}\d{2}[A-Z0-9]{11,30})
+      | (?P<secret>[0-9a-f]{32,128} | [0-9A-F]{32,128})
+      | (?P<number>\d{9,40})
+      )(?!\w|[-+.]\d)
+    )""",
     re.VERBOSE | re.ASCII,
 )
 _EMAIL_LEFT = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z", re.ASCII)
@@ -205,9 +215,11 @@ class Pseudonyms:
             left, right = _EMAIL_LEFT.search(text, max(0, m.start() - 64), m.start()), _EMAIL_RIGHT.match(text, m.end())
             if left and right and (not found or left.start() >= found[-1][1]):
                 found.append((left.start(), right.end(), "email"))
-        emails = list(found)
+        emails, k = list(found), 0
         for m in _NUMBER.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b, _ in emails[:1000]) or not emails:
+            while k < len(emails) and emails[k][1] <= m.start():
+                k += 1
+            if k == len(emails) or emails[k][0] >= m.end():
                 found.append((m.start(), m.end(), m.lastgroup if m.lastgroup[:3] != "sep" else next(k for k in ("date", "card") if m[k])))
         found.sort()
         out: list[tuple[int, int, str]] = []

@@ -14,7 +14,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from tapeweave.llm import mixing, neardup  # noqa: E402
+from tapeweave.llm import mixing, neardup, pii  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -138,3 +138,23 @@ def test_chained_texts_equal_brute_force(spark):
     texts = chained_texts(60)
     got = neardup.near_dedup(documents(spark, texts), neardup.NearDupParams(block=700)).collect()
     assert {r.doc_id: r.component_id for r in got} == brute_groups(texts, 85)
+
+
+@pytest.mark.parametrize(("text", "values"), [
+    ("2024-01-05T10:00:00Z", ["2024-01-05"]), ("Tel.415-555-2671", ["415-555-2671"]), ("415-555-2671/415-555-2672", ["415-555-2671", "415-555-2672"]),
+    ("card-4111111111111111", ["4111111111111111"]), ("http://10.1.2.3/a", ["10.1.2.3"]), ("2024-01-05/2024-02-05", ["2024-01-05", "2024-02-05"]), ("id/123-45-6789/", ["123-45-6789"]),
+    ("1.2.3.4.5", []), ("5-415-555-2671", []), ("1/2/2020/7", []), ("2024-01-05Tuesday", []), ("0.123456789", []),
+])
+def test_values_beside_marks_are_found(text, values):
+    p, q = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", back=True)
+    want = text
+    for v in values:
+        want = want.replace(v, p.replace(v)[0])
+    assert p.replace(text) == (want, len(values)) and q.replace(want) == (text, len(values))
+
+
+def test_every_email_of_a_long_text_counts():
+    p = pii.Pseudonyms(b"k")
+    alone = p.replace("4155552671@x.com")[0]
+    text, n = p.replace(" ".join(["a@b.org"] * 1000 + ["4155552671@x.com"]))
+    assert n == 1001 and text.endswith(" " + alone)
