@@ -117,8 +117,8 @@ def _profiles(p: NearDupParams):
             sizes = np.array([len(x) for x in sets], dtype=np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(band) + 1, p.bands), pa.int32()), pa.array(band.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes), pa.array([_digest(x) if len(x) else None for x in sets], pa.binary()), lists],
-                names=["doc_id", "n_shingles", "class", "bands"],
+                [batch.column("doc_id"), batch.column("digest"), pa.array(sizes), pa.array([_digest(x) if len(x) else None for x in sets], pa.binary()), lists],
+                names=["doc_id", "digest", "n_shingles", "class", "bands"],
             )
 
     return profile
@@ -218,9 +218,13 @@ def near_dedup(docs: DataFrame, params: NearDupParams | None = None, id_col: str
     linked with its equals alone, as its text can't be fetched by name.
     Repeated rows get the same answer each.  Other columns are ignored.
     """
-    p = params or NearDupParams()
+    return _answers(docs, params or NearDupParams(), id_col, text_col, "cast(null AS binary)").drop("digest")
+
+
+def _answers(docs: DataFrame, p: NearDupParams, id_col: str, text_col: str, digest: str) -> DataFrame:
+    """``near_dedup`` with one more column, the expression ``digest`` of each row."""
     base = docs.selectExpr(f"cast(`{id_col}` as long) AS doc_id", f"cast(`{text_col}` as string) AS text")
-    seen = cut(base.mapInArrow(_profiles(p), "doc_id long, n_shingles long, class binary, bands array<long>"))
+    seen = cut(base.selectExpr("*", f"{digest} AS digest").mapInArrow(_profiles(p), "doc_id long, digest binary, n_shingles long, class binary, bands array<long>"))
     classes = seen.where("class IS NOT NULL").groupBy("class").agg(
         F.min("doc_id").alias("head"), F.max("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")
     )
@@ -255,17 +259,22 @@ def _answer(seen: DataFrame, answer: DataFrame) -> DataFrame:
     total = seen.count()
     hot = sizes.where(F.col("count") > max(1, total // 1000)).select("class")
     facts = F.broadcast(answer.join(F.broadcast(hot), "class"))  # fewer than 1000 rows
-    rows = seen.select("doc_id", "n_shingles", "class")
+    rows = seen.select("doc_id", "digest", "n_shingles", "class")
     joined = (
         rows.join(facts, "class")
         .unionByName(rows.where("class IS NOT NULL").join(F.broadcast(hot), "class", "left_anti").join(answer, "class"))
         .unionByName(rows.where("class IS NULL").withColumn("component_id", F.col("doc_id")))
     )
-    return joined.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return joined.select("doc_id", "digest", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, params: NearDupParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each near-duplicate group; same columns.
-    Rows with a null identifier cannot be named as copies and stay."""
-    gone = near_dedup(docs, params, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    Rows are removed by identifier and text, so that other texts of the same
+    identifier stay.  Rows with a null identifier cannot be named as copies and
+    stay."""
+    digest = lambda text: f"unhex(sha2({text}, 256))"
+    answers = _answers(docs, params or NearDupParams(), id_col, text_col, digest("text"))
+    gone = answers.where("NOT kept").select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__gone_text")).distinct()
+    marked = docs.withColumn("__text", F.expr(digest(f"cast(`{text_col}` AS string)")))
+    return marked.join(gone, (marked[id_col] == gone["__gone"]) & (marked["__text"] == gone["__gone_text"]), "left_anti").select(*docs.columns)

@@ -140,6 +140,13 @@ def test_chained_texts_equal_brute_force(spark):
     assert {r.doc_id: r.component_id for r in got} == brute_groups(texts, 85)
 
 
+def test_near_copies_are_removed_by_identifier_and_text(spark):
+    w = [f"x{i}" for i in range(100)]
+    texts = [(1, " ".join(w)), (2, " ".join([*w[:-1], "end"])), (2, " ".join(f"unique{i}" for i in range(60)))]
+    got = neardup.without_near_duplicates(documents(spark, texts))
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [texts[0], texts[2]]
+
+
 @pytest.mark.parametrize(("text", "values"), [
     ("2024-01-05T10:00:00Z", ["2024-01-05"]), ("Tel.415-555-2671", ["415-555-2671"]), ("415-555-2671/415-555-2672", ["415-555-2671", "415-555-2672"]),
     ("card-4111111111111111", ["4111111111111111"]), ("http://10.1.2.3/a", ["10.1.2.3"]), ("2024-01-05/2024-02-05", ["2024-01-05", "2024-02-05"]), ("id/123-45-6789/", ["123-45-6789"]),
