@@ -36,7 +36,10 @@ UNKNOWN_PENALTY = 10.0
 
 
 class PieceModel:
-    """Vocabulary, automaton and segment memory of one model file."""
+    """Vocabulary, automaton and segment memory of one model file.
+
+    The memory has two generations of ``MOST`` entries; whole segments and the
+    parts they are composed of count alike."""
 
     MOST = 60_000
 
@@ -105,27 +108,33 @@ class PieceModel:
     def segment_ids(self, segment: str) -> bytes:
         """Ids of a run of spaces and other characters, as 32-bit integers."""
         text = segment.replace(SPACE, _LITERAL).replace(" ", SPACE)
-        got = self.new.get(text)
+        got = self._recalled(text)
         if got is not None:
             return got
         pairs = self.pairs
         cuts = [k for k, pair in enumerate(zip(text, text[1:]), 1) if pair not in pairs]
         if not cuts:
-            return self._remembered(text)
-        got = self.new[text] = b"".join(self._remembered(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)]))
-        return got
-
-    def _remembered(self, text: str) -> bytes:
+            return self._kept(text, array("i", self.solve(text)).tobytes())
+        parts = []
+        for a, b in zip([0, *cuts], [*cuts, len(text)]):
+            part = text[a:b]
+            got = self._recalled(part)
+            parts.append(self._kept(part, array("i", self.solve(part)).tobytes()) if got is None else got)
+        return self._kept(text, b"".join(parts))
+
+    def _recalled(self, text: str) -> bytes | None:
         got = self.new.get(text)
-        if got is None:
-            got = self.old.get(text)
-            if got is None:
-                got = array("i", self.solve(text)).tobytes()
-            self.new[text] = got
-            if len(self.new) > self.MOST:
-                self.old, self.new = self.new, {}
+        if got is None and text in self.old:
+            got = self._kept(text, self.old[text])
         return got
 
+    def _kept(self, text: str, ids: bytes) -> bytes:
+        """The one place at which memory grows, and is bounded."""
+        if len(self.new) >= self.MOST:
+            self.old, self.new = self.new, {}
+        self.new[text] = ids
+        return ids
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and where each text's ids begin.  A text that is
         not empty gets one space in front, as the model was trained."""
