@@ -24,9 +24,14 @@ SLICE_BYTES = 1 << 20
 def work_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors share.
 
-    Only where that setting is absent (tests) one under ``/tmp`` is taken.
+    A session on one machine (tests) may leave it unset and gets one under
+    ``/tmp``; on a cluster its absence is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "/tmp/checkpoints"
     return f"{base.rstrip('/')}/tapeweave-{uuid.uuid4().hex}"
 
 
@@ -131,45 +136,53 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def join_by_key(rows: DataFrame, facts: DataFrame, key: str, size: str, total: int, share: int = 1000) -> DataFrame:
+def join_by_key(rows: DataFrame, facts: DataFrame, key: str | list[str], size: str, total: int, share: int = 1000) -> DataFrame:
     """``rows`` inner-joined with one fact per ``key``, safe for hot keys.
 
     ``facts`` has, in ``size``, how many of the ``total`` rows carry its key.
     Keys with more than ``total / share`` rows number fewer than ``share`` by
     the pigeonhole principle, so they are broadcast whatever the data; the rest
-    join by shuffle, where no key can bring more than that to a task.
+    join by shuffle, where no key can bring more than that to a task.  Rows
+    with a null key find no fact.
     """
+    keys = [key] if isinstance(key, str) else key
     limit = max(1, total // share)
     hot = facts.where(F.col(size) > limit)
     cold = facts.where(F.col(size) <= limit)
     return (
-        rows.join(F.broadcast(hot), key)
-        .unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+        rows.join(F.broadcast(hot), keys)
+        .unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
     )
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every node of ``edges(u, v)`` has one ``v`` at most, and none if
+    it is a ``v`` itself: then each ``v`` is the root of its component."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root")))).alias("e"))
+    nodes = ends.groupBy("e.node").agg(F.sum("e.up").alias("ups"), F.max("e.root").alias("root"))
+    return nodes.where("ups + root > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(u, v)`` as ``(node, root)``, root being
     the smallest node reachable.
 
-    Alternating large-star and small-star steps: every step is a grouped
-    minimum (combined before the shuffle) and an equi-join, so a node with very
-    many links never has them gathered.  Rounds grow with the logarithm of the
-    component size; each is written to the shared folder.
+    Alternating large-star and small-star steps, until the edges are stars
+    around their roots, which is checked on the edges themselves.  Every step
+    is a grouped minimum (combined before the shuffle) and a join by the node,
+    in which nodes with very many links meet their minimum by broadcast (see
+    ``join_by_key``), so a hub's links stay spread.  Rounds grow with the
+    logarithm of the component size; each is written to the shared folder.
     """
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    while True:
+    while not _is_star_forest(now):
         # edges go from the larger node to the smaller; star steps keep that
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        total = now.count()
+        both = now.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")))
+        # only edges to larger nodes go on, but all links counted for the minimum
+        large = cut(join_by_key(both.where("v > u"), least, "u", "n", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = join_by_key(large, low.where("n > 1"), "u", "n", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        state = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if state == before:
-            root = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-            return root.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = state
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

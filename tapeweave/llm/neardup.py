@@ -21,7 +21,8 @@
 
 No pair is ever sent through a shuffle: what is exchanged are band keys, one
 star edge per class and bucket, shingle sets (once, or once a pair of blocks
-for large clusters with stragglers), and verified spanning links.
+for large clusters with stragglers), and verified spanning links.  Buckets,
+clusters and components of any size meet their one fact by ``join_by_key``.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, components, cut, mix, slices
+from .common import Words, components, cut, join_by_key, mix, slices
 
 
 @dataclass(frozen=True)
@@ -117,8 +118,8 @@ def _profiles(p: NearDupParams):
             sizes = np.array([len(x) for x in sets], dtype=np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(band) + 1, p.bands), pa.int32()), pa.array(band.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("digest"), pa.array(sizes), pa.array([_digest(x) if len(x) else None for x in sets], pa.binary()), lists],
-                names=["doc_id", "digest", "n_shingles", "class", "bands"],
+                [batch.column("doc_id"), batch.column("hash"), batch.column("digest"), pa.array(sizes), pa.array([_digest(x) if len(x) else None for x in sets], pa.binary()), lists],
+                names=["doc_id", "hash", "digest", "n_shingles", "class", "bands"],
             )
 
     return profile
@@ -169,40 +170,48 @@ def _verifier(p: NearDupParams):
 
 
 def _fetch(size: int):
+    """Shingle sets of the wanted texts.  Rows come in the order of the join's
+    key, so repeated ones follow each other and only the first is worked on."""
+
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
         for batch in slices(batches, "text"):
+            names = batch.column("class").to_pylist()
+            batch = batch.filter(pa.array([a != b for a, b in zip(names, [before, *names])], pa.bool_()))
+            before = names[-1]
             sets = shingle_sets(batch.column("text"), size)
             right = np.array([_digest(x) == c for x, c in zip(sets, batch.column("class").to_pylist())], dtype=bool)
             made = pa.RecordBatch.from_arrays(
-                [batch.column("cluster"), batch.column("class"), pa.array([x.tobytes() for x in sets], pa.binary())], names=["cluster", "class", "shingles"]
+                [batch.column("cluster"), batch.column("block"), batch.column("class"), pa.array([x.tobytes() for x in sets], pa.binary())], names=["cluster", "block", "class", "shingles"]
             )
             yield made.filter(pa.array(right))
 
     return fetch
 
 
-def _meetings(wide: DataFrame, part: DataFrame, block: int) -> DataFrame:
-    """Pairs of blocks, by ``cluster, i, j``, of the clusters in ``wide`` (of
-    several blocks) whose verified components are ``part``: the stragglers'
-    blocks with the main component's, and the stragglers' with one another.
+def _meetings(wide: DataFrame, part: DataFrame, block: int, total: int) -> DataFrame:
+    """Which blocks of the clusters in ``wide`` (``cluster, class, n_shingles,
+    blocks, block``; of several blocks, out of ``total`` rows at most) meet, as
+    ``class, cluster, i, j, side``.  ``part`` has the components verified so
+    far: the stragglers' blocks meet the main component's, and one another.
 
     The main component's blocks have the numbers below ``blocks``, the
     stragglers' those from there on.
     """
-    sited = wide.join(part, wide["class"] == part["node"], "left").withColumn("root", F.coalesce("root", "class")).drop("node")
-    most = sited.groupBy("cluster", "root").count().groupBy("cluster").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    sited = sited.join(most, "cluster")
-    stray = sited.where("root <> main")
-    dealt = stray.groupBy("cluster").agg(F.ceil(F.sum(F.octet_length("shingles")) / F.lit(8 * block)).cast("int").alias("strays"))
-    stray = stray.join(dealt, "cluster").withColumn("own", F.pmod(F.xxhash64("class"), F.col("strays")).cast("int"))
+    sited = cut(wide.join(part, wide["class"] == part["node"], "left").withColumn("root", F.coalesce("root", "class")).drop("node"))
+    roots = sited.groupBy("cluster", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    facts = roots.groupBy("cluster").agg(F.max_by(F.struct("root", "size"), F.struct("n", "root")).alias("main"), F.sum("size").alias("all"), F.sum("n").alias("members"))
+    strays = F.ceil((F.col("all") - F.col("main.size")) / F.lit(block)).cast("int")
+    facts = cut(facts.select("cluster", F.col("main.root").alias("main"), strays.alias("strays"), "members").where("strays > 0"))
+    sited = join_by_key(sited, facts, "cluster", "members", total).withColumn("own", F.pmod(F.xxhash64("class"), F.col("strays")).cast("int"))
     at = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     own, first = F.col("own"), F.col("blocks")
     with_main = F.transform(every("blocks"), lambda k: at(k, own, 2))
     with_strays = F.transform(every("strays"), lambda k: F.when(k == own, at(first + own, own, 0)).when(k < own, at(first + k, own, 1)).otherwise(at(first + own, k, 2)))
-    stray = stray.select("cluster", "class", "shingles", F.explode(F.concat(with_main, with_strays)).alias("at"))
-    main = sited.where("root = main").join(dealt, "cluster").select("cluster", "class", "shingles", F.explode(F.transform(every("strays"), lambda k: at(F.col("block"), k, 1))).alias("at"))
-    return main.unionByName(stray).select("cluster", "class", "shingles", "at.*")
+    with_stray = F.transform(every("strays"), lambda k: at(F.col("block"), k, 1))
+    meets = F.when(F.col("root") == F.col("main"), with_stray).otherwise(F.concat(with_main, with_strays))
+    return sited.select("class", "cluster", F.explode(meets).alias("at")).select("class", "cluster", "at.*")
 
 
 def near_dedup(docs: DataFrame, params: NearDupParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,9 +222,9 @@ def near_dedup(docs: DataFrame, params: NearDupParams | None = None, id_col: str
     links and equal sets, and ``kept`` marks the row that carries it.
 
     Null, empty or blank text: an empty set, linked with nothing, its own
-    component.  Null identifier: never names a component unless all of the
-    component's are null; a set that only rows with null identifiers have is
-    linked with its equals alone, as its text can't be fetched by name.
+    component.  Null identifier: linked like any other row, but never names a
+    component unless all of the component's are null, and then all its rows are
+    kept.
     Repeated rows get the same answer each.  Other columns are ignored.
     """
     return _answers(docs, params or NearDupParams(), id_col, text_col, "cast(null AS binary)").drop("digest")
@@ -223,33 +232,34 @@ def near_dedup(docs: DataFrame, params: NearDupParams | None = None, id_col: str
 
 def _answers(docs: DataFrame, p: NearDupParams, id_col: str, text_col: str, digest: str) -> DataFrame:
     """``near_dedup`` with one more column, the expression ``digest`` of each row."""
-    base = docs.selectExpr(f"cast(`{id_col}` as long) AS doc_id", f"cast(`{text_col}` as string) AS text")
-    seen = cut(base.selectExpr("*", f"{digest} AS digest").mapInArrow(_profiles(p), "doc_id long, digest binary, n_shingles long, class binary, bands array<long>"))
-    classes = seen.where("class IS NOT NULL").groupBy("class").agg(
-        F.min("doc_id").alias("head"), F.max("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")
-    )
+    base = docs.selectExpr(f"cast(`{id_col}` as long) AS doc_id", f"cast(`{text_col}` as string) AS text").withColumn("hash", F.xxhash64("text"))
+    seen = cut(base.selectExpr("*", f"{digest} AS digest").mapInArrow(_profiles(p), "doc_id long, hash long, digest binary, n_shingles long, class binary, bands array<long>"))
+    # a class's text is fetched by identifier and hash of one of its rows
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")
+    classes = cut(seen.where("class IS NOT NULL").groupBy("class").agg(F.min(row).alias("row"), F.max("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
+    n_classes = classes.count()
     members = classes.select("class", F.posexplode("bands").alias("band", "key"))
-    buckets = members.groupBy("band", "key").agg(F.min("class").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
-    ties = members.join(buckets, ["band", "key"]).where("class <> pivot").select(F.col("class").alias("u"), F.col("pivot").alias("v"))
+    buckets = cut(members.groupBy("band", "key").agg(F.min("class").alias("pivot"), F.count("*").alias("n")).where("n > 1"))
+    ties = join_by_key(members, buckets, ["band", "key"], "n", n_classes * p.bands).where("class <> pivot").select(F.col("class").alias("u"), F.col("pivot").alias("v"))
     clusters = components(ties)
-    placed = cut(clusters.join(classes.select("class", "head", "n_shingles"), clusters["node"] == classes["class"]).select("class", "head", "n_shingles", F.col("root").alias("cluster")))
-    blocks = placed.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / F.lit(p.block)).cast("int").alias("blocks"))
-    want = placed.join(blocks, "cluster")
-    wanted = want.select("class", F.col("head").alias("doc_id"), "cluster")
+    placed = cut(clusters.join(classes.select("class", "row", "n_shingles"), clusters["node"] == classes["class"]).select("class", "row", "n_shingles", F.col("root").alias("cluster")))
+    blocks = placed.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / F.lit(p.block)).cast("int").alias("blocks"), F.count("*").alias("members"))
+    sited = cut(join_by_key(placed, cut(blocks), "cluster", "members", n_classes).drop("members").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")))
+    wanted = sited.select("class", F.col("row.doc_id").alias("w_id"), F.col("row.hash").alias("w_hash"), "cluster", "block")
     # the clustered classes grow with the input: one plan at every size
-    sets = cut(base.join(wanted.hint("merge"), "doc_id").mapInArrow(_fetch(p.words), "cluster binary, class binary, shingles binary"))
-    dealt = sets.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    found = base.join(wanted.hint("merge"), base["doc_id"].eqNullSafe(wanted["w_id"]) & (base["hash"] == wanted["w_hash"]))
+    sets = cut(found.select("text", "class", "cluster", "block").mapInArrow(_fetch(p.words), "cluster binary, block int, class binary, shingles binary"))
     pairs = "u binary, v binary"
-    local = cut(dealt.withColumn("side", F.lit(0)).groupBy("cluster", "block").applyInPandas(_verifier(p), pairs))
+    local = cut(sets.withColumn("side", F.lit(0)).groupBy("cluster", "block").applyInPandas(_verifier(p), pairs))
     links = local
-    wide = dealt.where("blocks > 1")
+    wide = sited.where("blocks > 1")
     if not wide.isEmpty():
-        meet = _meetings(wide, components(local), p.block)
-        links = local.unionByName(cut(meet.groupBy("cluster", "i", "j").applyInPandas(_verifier(p), pairs)))
+        meet = _meetings(wide, components(local), p.block, n_classes)
+        links = local.unionByName(cut(meet.join(sets.select("class", "shingles"), "class").groupBy("cluster", "i", "j").applyInPandas(_verifier(p), pairs)))
     final = components(links)
-    named = classes.join(final, classes["class"] == final["node"], "left").select("class", "head", F.coalesce("root", "class").alias("root"))
-    names = named.groupBy("root").agg(F.min("head").alias("component_id"))
-    answer = cut(named.join(names, "root").select("class", "component_id"))
+    named = cut(classes.join(final, classes["class"] == final["node"], "left").select("class", F.col("row.doc_id").alias("head"), F.coalesce("root", "class").alias("root")))
+    names = cut(named.groupBy("root").agg(F.min("head").alias("component_id"), F.count("*").alias("n")))
+    answer = cut(join_by_key(named, names, "root", "n", n_classes).select("class", "component_id"))
     return _answer(seen, answer)
 
 
@@ -270,11 +280,14 @@ def _answer(seen: DataFrame, answer: DataFrame) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame, params: NearDupParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each near-duplicate group; same columns.
+
     Rows are removed by identifier and text, so that other texts of the same
-    identifier stay.  Rows with a null identifier cannot be named as copies and
-    stay."""
-    digest = lambda text: f"unhex(sha2({text}, 256))"
+    identifier stay, and every repeat of a row shares its fate.  Null, empty or
+    blank texts are linked with nothing and stay.  A row with a null identifier
+    goes if its group has a named row; groups without one stay whole.
+    """
+    digest = lambda text: f"unhex(sha2(coalesce({text}, ''), 256))"
     answers = _answers(docs, params or NearDupParams(), id_col, text_col, digest("text"))
     gone = answers.where("NOT kept").select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__gone_text")).distinct()
-    marked = docs.withColumn("__text", F.expr(digest(f"cast(`{text_col}` AS string)")))
-    return marked.join(gone, (marked[id_col] == gone["__gone"]) & (marked["__text"] == gone["__gone_text"]), "left_anti").select(*docs.columns)
+    marked = docs.withColumns({"__id": F.col(id_col).cast("long"), "__text": F.expr(digest(f"cast(`{text_col}` AS string)"))})
+    return marked.join(gone, marked["__id"].eqNullSafe(gone["__gone"]) & (marked["__text"] == gone["__gone_text"]), "left_anti").select(*docs.columns)
