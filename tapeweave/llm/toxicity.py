@@ -31,8 +31,10 @@ from .common import Words, cut, slices
 LOOKALIKES = str.maketrans("013457@$!", "oieastasi")
 #: Marks that a word sheds at either end.
 MARKS = ".,;:!?*$%&#|<>()[]{}'\"`~^_+=/\\-“”„«»‘’…–—¡¿"
-#: Quotation marks; words of reporting; words of address.
+#: Quotation marks, those of them that are apostrophes too; words
+#: of reporting; words of address.
 QUOTES = "\"“”„«»‘’"
+SINGLE = "‘’"
 REPORTING = frozenset("said says quoted quote called wrote word term reported dijo dit disait sagte genannt zitiert mot wort palabra".split())
 ADDRESS = frozenset("you your you're ur u du dich dein tu toi vous ton tú eres".split())
 
@@ -61,6 +63,21 @@ def plain(words: pa.Array) -> list[str]:
     return pc.utf8_trim(pc.utf8_lower(words), characters=MARKS).to_pylist()
 
 
+def inside_quotation(words: list[str]) -> bool:
+    """Whether a quotation is open after ``words``: an odd number of double
+    marks, or a single mark that opened and none that closed.  A single mark
+    between two letters is an apostrophe, and one at a word's end closes only."""
+    double, single = 0, False
+    for word in words:
+        for k, c in enumerate(word):
+            if c in SINGLE:
+                if not (0 < k < len(word) - 1 and word[k - 1].isalpha() and word[k + 1].isalpha()):
+                    single = c == "‘"
+            elif c in QUOTES:
+                double += 1
+    return double % 2 == 1 or single
+
+
 def edits(term: str) -> int:
     """Edits allowed for a term: 0 below five letters, 1, 2 from nine on."""
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
@@ -226,7 +243,8 @@ class Scorer:
         near = self._distinct.take(pa.array(self._codes[since : min(end, at + w + 1)]))
         raw = near.to_pylist()
         own, before = raw[at - since], raw[: at - since]
-        quoted = own[:1] in QUOTES and own[-1:] in QUOTES or sum(c in QUOTES for x in before for c in x) % 2 == 1
+        opening = own[: len(own) - len(own.lstrip(MARKS))]
+        quoted = inside_quotation([*before, opening])
         forms = set(plain(near))
         factor = (0.4 if quoted else 1.0) * (0.6 if forms & REPORTING else 1.0) * (1.2 if forms & ADDRESS else 1.0)
         return factor, quoted
@@ -285,10 +303,9 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     return w
 
 
-def _terms(text: str, stems: tuple[int, ...]) -> set[tuple[str, bool, str]]:
-    """Terms of a text, each once, with the first context it stands in: the word
-    before, and for a stem also its own word."""
-    forms = plain(pa.array(text.split(), pa.string()))
+def _terms(forms: list[str], stems: tuple[int, ...]) -> set[tuple[str, bool, str]]:
+    """Terms of a text's words, each once, with the first context it stands in:
+    the word before, and for a stem also its own word."""
     out: dict[tuple[str, bool], str] = {}
     for before, f in zip(["", *forms], forms):
         if f and (f, False) not in out:
@@ -299,6 +316,14 @@ def _terms(text: str, stems: tuple[int, ...]) -> set[tuple[str, bool, str]]:
     return {(*term, context) for term, context in out.items()}
 
 
+def _forms(texts: pa.Array) -> Iterator[list[str]]:
+    """Each text's words, as scoring takes them, in plain form."""
+    words = Words(texts)
+    forms = plain(words.array())
+    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+        yield forms[a:b]
+
+
 def _counts(rows: DataFrame, stems: tuple[int, ...], only: frozenset | None) -> DataFrame:
     """``term, stem, n, effective, family``: documents that hold each term (of
     ``only``), how many they are worth, and the different words of a stem.
@@ -312,9 +337,10 @@ def _counts(rows: DataFrame, stems: tuple[int, ...], only: frozenset | None) ->
         for frame in batches:
             for at in range(0, len(frame), 500):
                 own: Counter = Counter()
-                for text in frame["text"].iloc[at : at + 500]:
-                    own.update(t for t in _terms(text, stems) if only is None or t[:2] in only)
-                yield pd.DataFrame({"term": [t for t, _, _ in own], "stem": [s for _, s, _ in own], "context": [c for _, _, c in own], "n": list(own.values())})
+                for forms in _forms(pa.array(frame["text"].iloc[at : at + 500], pa.string())):
+                    own.update(t for t in _terms(forms, stems) if only is None or t[:2] in only)
+                if own:
+                    yield pd.DataFrame({"term": [t for t, _, _ in own], "stem": [s for _, s, _ in own], "context": [c for _, _, c in own], "n": list(own.values())})
 
     n = F.col("n").cast("double")
     found = rows.select("text").mapInPandas(count, "term string, stem boolean, context string, n long").groupBy("term", "stem", "context").agg(F.sum("n").alias("n"))
@@ -343,13 +369,14 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = No
     """Learn from ``labels`` (identifier, 0 or 1; null labels are left out) of
     at most ``params.sample`` rows.  Counting runs on executors; the driver
     gets the significant terms and the sample's features.  Without examples of
-    both labels there is nothing to tell apart, and every text scores 0.0025."""
+    both labels there is nothing to tell apart, and every text scores 0.0025.
+    Labels that disagree (of one identifier, or of equal texts) count as toxic."""
     p = params or ToxicityParams()
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("toxic"))
     known = known.groupBy("__id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(p.sample)  # at most `sample` rows: a bounded broadcast
     found = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), docs[id_col] == F.col("__id")).select(F.col(text_col).cast("string").alias("text"), "toxic")
-    rows = cut(found.dropDuplicates(["text"]))  # the documents are read for it once
+    rows = cut(found.groupBy("text").agg(F.max("toxic").alias("toxic")))  # the documents are read for it once
     totals = dict(rows.groupBy("toxic").count().collect())
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     if not n_toxic or not n_clean:
