@@ -21,6 +21,7 @@ little-endian unsigned integers of 2 or 4 bytes.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -50,12 +51,25 @@ MANIFEST = "part int, seq int, path string, n_docs long, n_ids long, n_bytes lon
 class ShardParams:
     """``block_bytes``: entries per block, before compression.  ``shard_bytes``:
     a shard is closed once it is this large.  ``bloom_bits``: filter bits per
-    key.  ``end_id``: appended to every document (None: nothing)."""
+    key.  ``end_id``: appended to every document (None: nothing).
+    ``task_bytes``: text that one writing task is meant to get."""
 
     block_bytes: int = 64 << 10
     shard_bytes: int = 32 << 20
     bloom_bits: int = 10
     end_id: int | None = 1
+    task_bytes: int = 256 << 20
+
+
+#: The normaliser and splitter of a tokenizer file whose words can
+#: be encoded one by one.
+BY_WORD = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+)
 
 
 def key_of(ident: int | None) -> bytes:
@@ -200,7 +214,8 @@ class WordTokenizer:
     """Encodes whole texts with a tokenizer that lower-cases, drops white space
     and takes runs of letters and runs of marks apart before it merges: no
     token spans such a border, so each distinct piece is encoded once per batch
-    and remembered in two bounded generations."""
+    and remembered in two bounded generations.  Files with any other normaliser
+    or splitter (``BY_WORD``) have their texts encoded whole."""
 
     MOST = 250_000
 
@@ -210,6 +225,8 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        parts = json.loads(self.tokenizer.to_str())
+        self.by_word = (parts.get("normalizer"), parts.get("pre_tokenizer")) == BY_WORD
         self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -234,6 +251,8 @@ class WordTokenizer:
 
     def encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and where each text's ids begin."""
+        if not self.by_word:
+            return self._whole(texts, end_id)
         words = Words(texts, lower=True, split_marks=True)
         raw = words.data.tobytes()
         if any(t in raw for t in self.special):  # a special token's own marks stay together
@@ -253,6 +272,12 @@ class WordTokenizer:
         return flat[at], np.concatenate(([0], ends))[first]
 
 
+    def _whole(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        tail = [] if end_id is None else [end_id]
+        lists = [np.array(e.ids + tail, dtype=f"<u{self.width}") for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+        return np.concatenate([*lists, np.zeros(0, dtype=f"<u{self.width}")]), np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
+
+
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
@@ -304,7 +329,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, params: ShardPara
         )
 
     rows = docs.selectExpr(f"cast(`{id_col}` as long) AS doc_id", f"cast(`{text_col}` as string) AS text")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # as many writers as the texts ask for, at every size
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // p.task_bytes))
     tie = F.xxhash64("text")  # one identifier may be on very many rows
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
     return cut(ordered.mapInArrow(write, MANIFEST))
@@ -346,5 +373,5 @@ def _scan(manifest: DataFrame, schema: str, *columns) -> DataFrame:
                         [pa.array([ident_of(k) for k, _ in entries], pa.int64()), pa.array(starts[:-1], pa.int64()), *(f(ids) for f in columns)], names=names
                     )
 
-    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), manifest.count() // 8)
     return placed.select("path", "start").repartition(n, "path").mapInArrow(read, schema)
