@@ -34,6 +34,8 @@ SCRIPT_RANGES = [
 ]
 NGRAMS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
+#: Type of a language's number.
+LABEL = np.int32
 _STARTS = np.array([a for a, _ in SCRIPT_RANGES])
 SCRIPTS = sorted({b for _, b in SCRIPT_RANGES})
 _SCRIPT_OF = np.array([SCRIPTS.index("none")] + [SCRIPTS.index(b) for _, b in SCRIPT_RANGES])
@@ -64,6 +66,11 @@ class LangModel:
     noise: np.ndarray | None = None
 
 
+def _words_of(texts) -> list[str]:
+    """All words of ``texts``, as scoring takes them."""
+    return Words(pa.array(texts, pa.string())).array().to_pylist()
+
+
 def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points of the lower-cased letters of each word between two border
     marks, the word of each code point, and whether it is a letter."""
@@ -138,7 +145,7 @@ def train(docs: DataFrame, params: LangIdParams | None = None, id_col: str = "do
             for key, group in frame.groupby(["lang", "half"]):
                 row = totals.setdefault(key, np.zeros(BUCKETS + len(SCRIPTS)))
                 for at in range(0, len(group), 20):
-                    points, owner, letter = _letters(" ".join(group["text"].iloc[at : at + 20]).split())
+                    points, owner, letter = _letters(_words_of(group["text"].iloc[at : at + 20]))
                     for bucket, _ in _grams(points, owner, letter):
                         row[:BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
                     row[BUCKETS:] += np.bincount(_SCRIPT_OF[np.searchsorted(_STARTS, points[letter], side="right")], minlength=len(SCRIPTS))
@@ -185,7 +192,7 @@ def _floors(sample: DataFrame, langs: list[str], others: list[np.ndarray]) -> tu
         for frame in batches:
             out = []
             for lang, half, text in zip(frame["lang"], frame["half"], frame["text"]):
-                fit, _, owner, letter = _fits(text.split(), others[half][:, [langs.index(lang)]])
+                fit, _, owner, letter = _fits(_words_of([text]), others[half][:, [langs.index(lang)]])
                 size = np.bincount(owner[letter], minlength=len(fit))
                 n = int(size.sum())
                 if n >= FLOOR_LETTERS:
@@ -208,7 +215,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
     n = np.diff(first)
     order = np.argsort(-n, kind="stable")
     starts, lengths = first[:-1][order], n[order]
-    back = np.full(scores.shape, -1, dtype=np.int8)
+    back = np.full(scores.shape, -1, dtype=LABEL)
     best = np.zeros((len(order), scores.shape[1]))
     steps = int(lengths[0]) if len(lengths) else 0
     alive = np.searchsorted(-lengths, -np.arange(steps), side="left")
@@ -222,7 +229,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
             now = np.where(turn, level, now)
             back[at] = np.where(turn, top[:, None], np.arange(scores.shape[1])[None, :])
         best[:k] = now + scores[at]
-    label = np.zeros(len(scores), dtype=np.int8)
+    label = np.zeros(len(scores), dtype=LABEL)
     state = best.argmax(axis=1)
     for t in range(steps - 1, -1, -1):
         k = alive[t]
@@ -240,7 +247,8 @@ def label_batch(texts: pa.Array, model: LangModel) -> dict[str, np.ndarray]:
     n_lang = len(model.langs)
     if len(codes) == 0 or n_lang == 0:
         none, codes = np.full(len(texts), -1), np.zeros(0, dtype=np.int64)
-        return {"lang": none, "score": np.zeros(len(texts)), "label": codes.astype(np.int8), "size": codes, "first": words.first}
+        first = np.zeros(len(texts) + 1, dtype=np.int64)
+        return {"lang": none, "score": np.zeros(len(texts)), "label": codes.astype(LABEL), "size": codes, "first": first}
     table, size, fit, known = word_scores(distinct.to_pylist(), model)
     label = viterbi(table[codes], words.first, model.params.switch)
     weight = size[codes]
@@ -279,42 +287,56 @@ def _named(got: dict[str, np.ndarray], langs: list[str]) -> pa.Array:
     return pa.array(np.array([*langs, "und"], dtype=object)[got["lang"]], pa.string())
 
 
-def identify(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, lang_pred, score`` for each row: the language with the most
-    letters, and its share of them.
+def _span_starts(got: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The first word of each span of one language, and the span's text."""
+    label, first = got["label"], got["first"]
+    begin = np.concatenate(([True], label[1:] != label[:-1]))[: len(label)]
+    begin[first[:-1][np.diff(first) > 0]] = True
+    at = np.flatnonzero(begin)
+    return at, np.searchsorted(first, at, side="right") - 1
+
 
-    Null, empty or letterless text: ``und`` with score 0.  Ties go to the
-    language that sorts first.  A null identifier passes through, repeated rows
-    get the same answer each, other columns are ignored.
+def identify(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, lang_pred, score, n_spans, switches`` for each row: the language
+    with the most letters, its share of them, the spans of one language, and
+    the words (from 0) at which the language switches.
+
+    Null, empty or letterless text: ``und`` with score 0; without words, or a
+    learned language, no spans.  Ties go to the language that sorts first.  A
+    null identifier passes through, repeated rows get the same answer each,
+    other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             got = label_batch(batch.column("text"), model)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _named(got, model.langs), pa.array(got["score"], pa.float64())], names=["doc_id", "lang_pred", "score"])
+            at, doc = _span_starts(got)
+            n = np.bincount(doc, minlength=batch.num_rows)
+            place = at - got["first"][doc]
+            bounds = np.concatenate(([0], np.cumsum(np.maximum(n - 1, 0))))
+            switches = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(place[place > 0], pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), _named(got, model.langs), pa.array(got["score"], pa.float64()), pa.array(n, pa.int64()), switches], names=["doc_id", "lang_pred", "score", "n_spans", "switches"]
+            )
 
     rows = docs.selectExpr(f"cast(`{id_col}` as long) AS doc_id", f"cast(`{text_col}` as string) AS text")
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, n_spans long, switches array<long>")
 
 
 def spans(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans of one language: ``doc_id, first_word, n_words, lang`` in reading
-    order; words without a letter go with the span around them."""
+    order; words without a letter go with the span around them.  Null and empty
+    texts have none; repeated rows have theirs each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             got = label_batch(batch.column("text"), model)
-            label, first = got["label"], got["first"]
-            n = len(label)
-            if not n:
+            if not len(got["label"]):
                 continue
-            begin = np.concatenate(([True], label[1:] != label[:-1]))
-            begin[first[:-1][np.diff(first) > 0]] = True
-            at = np.flatnonzero(begin)
-            doc = np.searchsorted(first, at, side="right") - 1
+            at, doc = _span_starts(got)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(doc)), pa.array(at - first[doc], pa.int64()), pa.array(np.diff(np.append(at, n)), pa.int64()),
-                 pa.array(np.array(model.langs, dtype=object)[label[at]], pa.string())],
+                [batch.column("doc_id").take(pa.array(doc)), pa.array(at - got["first"][doc], pa.int64()), pa.array(np.diff(np.append(at, len(got["label"]))), pa.int64()),
+                 pa.array(np.array(model.langs, dtype=object)[got["label"][at]], pa.string())],
                 names=["doc_id", "first_word", "n_words", "lang"],
             )
 
@@ -326,7 +348,10 @@ def accepted(docs: DataFrame, model: LangModel, min_score: float = 0.4, text_col
     """``docs`` whose text has a language with at least ``min_score`` of its
     letters, where letters of unlearned scripts have none; if ``model`` has
     floors, that language must also be as likely as they ask for.  Rows pass
-    through with all their columns, without a shuffle."""
+    through with all their columns, without a shuffle.
+
+    Null, empty and letterless texts go; a null identifier is nothing special;
+    repeated rows stay or go together; an empty table gives an empty result."""
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
