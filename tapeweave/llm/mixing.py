@@ -103,13 +103,14 @@ def rake(cells: DataFrame, params: MixParams | None = None) -> DataFrame:
     p = params or MixParams()
     full = cells
     for dim in DIMS:
-        full = full.join(F.broadcast(target_shares(cells, dim, p).withColumnRenamed("share", f"to_{dim}")), dim)
+        full = full.join(target_shares(cells, dim, p).withColumnRenamed("share", f"to_{dim}"), dim)
     full = cut(full.withColumn("weight", F.col("tokens").cast("double")))
     gaps: list[float] = []
     while len(gaps) < p.rounds or p.tolerance is not None:
         for dim in DIMS:
-            now = F.sum("weight").over(Window.partitionBy(dim))
-            full = full.withColumn("weight", F.coalesce(F.col("weight") * F.try_divide(F.col(f"to_{dim}"), now), F.lit(0.0)))
+            # grouped sums are combined before they are exchanged: a level may have very many cells
+            now = full.groupBy(dim).agg(F.sum("weight").alias("now"))
+            full = full.join(now, dim).withColumn("weight", F.coalesce(F.col("weight") * F.try_divide(F.col(f"to_{dim}"), F.col("now")), F.lit(0.0))).drop("now")
         full = cut(full)  # keeps the plan of a round small
         if p.tolerance is None:
             gaps.append(0.0)
@@ -133,8 +134,8 @@ def mix(docs: DataFrame, params: MixParams | None = None, id_col: str = "doc_id"
     probability, sampled``.
 
     ``probability`` is ``budget * all tokens * weight / tokens of the cell``,
-    at most 1, rounded to 9 places; see ``MixParams`` for the budget.  Null identifiers all draw the same number,
-    as do repeated rows.  Documents without tokens take their cell's
+    at most 1, rounded to 6 places; see ``MixParams`` for the budget.  Null
+    identifiers all draw the same number, as do repeated rows.  Documents without tokens take their cell's
     probability; a cell without any token has probability 0.  An empty table
     gives an empty result.  Other columns are ignored.
     """
@@ -146,7 +147,7 @@ def mix(docs: DataFrame, params: MixParams | None = None, id_col: str = "doc_id"
     if p.tolerance is not None:
         highest = F.lit(p.budget) * all_tokens * F.max(F.try_divide("weight", "tokens")).over(Window.partitionBy(F.lit(1)))
         asked = asked / F.greatest(F.lit(1.0), highest)
-    odds = F.round(F.least(F.lit(1.0), F.coalesce(asked, F.lit(0.0))), 9)
+    odds = F.round(F.least(F.lit(1.0), F.coalesce(asked, F.lit(0.0))), 6)
     cells = raked.select(*DIMS, odds.alias("probability"))
     # cells are bounded by the product of the level counts; Spark broadcasts
     # them only while they are below its own size limit
@@ -156,7 +157,10 @@ def mix(docs: DataFrame, params: MixParams | None = None, id_col: str = "doc_id"
 def sampled(docs: DataFrame, params: MixParams | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that ``mix`` samples; same columns.  The decision is
     a cell's probability and the row's own hash, so texts are not exchanged
-    unless there are too many cells to broadcast."""
+    unless there are too many cells to broadcast.
+
+    Null levels are the level ``unknown``; null, empty and repeated rows and
+    null identifiers fare as in ``mix``; an empty table gives an empty result."""
     p = params or MixParams()
     levels = [f"__{d}" for d in DIMS]
     cells = cut(mix(docs, p, id_col, text_col, source_col, lang_col).select(*[F.col(d).alias(f"__{d}") for d in DIMS], F.col("probability").alias("__p")).distinct())

@@ -34,9 +34,12 @@ def op3_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import secrets
+
     from .pii import pseudonymise
 
-    key = spark.conf.get("spark.tapeweave.pii.key", "registered-query-key")
+    # the name makes Spark hide the value; without one nobody can undo this run
+    key = spark.conf.get("spark.tapeweave.pii.secret", None) or secrets.token_hex(32)
     return pseudonymise(_documents(spark, sf_dir), key)
 
 
@@ -57,8 +60,7 @@ LANG_TARGETS = {"en": 0.5, "de": 0.2, "fr": 0.18, "es": 0.12}
 def op6_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import MixParams, mix
 
-    # as the query's SQL has it: six rounds, probabilities cut off at 1
-    return mix(_documents(spark, sf_dir), MixParams(targets={"lang": LANG_TARGETS}, tolerance=None))
+    return mix(_documents(spark, sf_dir), MixParams(targets={"lang": LANG_TARGETS}, tolerance=1e-10))
 
 
 def op7_sstable_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +83,7 @@ def op8_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _documents(spark, sf_dir)
     got = identify(docs, train(learnable_languages(docs)))
-    return got.selectExpr("doc_id", "crc32(cast(doc_id AS string)) % 4 = 2 AS held_out", "lang_pred", "score")
+    return got.selectExpr("doc_id", "crc32(cast(doc_id AS string)) % 4 = 2 AS held_out", "lang_pred", "score", "n_spans", "switches")
 
 
 def op9_aho_viterbi_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,16 +124,17 @@ def _windows_sql(size: int, name: str) -> str:
 
 
 def _rake_sql(rounds: int) -> str:
-    """One common table expression per raking step."""
-    steps, last = [], "w0"
+    """Raking by factors: a cell's weight is its tokens times one factor per
+    level of each dimension; one common table expression per half step."""
+    steps, held = [], {"source": None, "lang": None, "topic": None}
+    weight = lambda but: " * ".join(["tokens", *[f"f_{d}" for d in held if d != but and held[d]]])
+    joins = lambda but: " ".join(f"JOIN {held[d]} USING ({d})" for d in held if d != but and held[d])
     for k in range(rounds):
         for dim in ("source", "lang", "topic"):
-            name = f"w{k}_{dim}"
-            steps.append(
-                f"{name} AS (SELECT * REPLACE (coalesce(weight * to_{dim} / nullif(sum(weight) OVER (PARTITION BY {dim}), 0), 0) AS weight) FROM {last})"
-            )
-            last = name
-    return ",\n        ".join(steps) + f",\n        raked AS (SELECT * FROM {last})"
+            name = f"f{k}_{dim}"
+            steps.append(f"{name} AS MATERIALIZED (SELECT {dim}, coalesce(any_value(to_{dim}) / nullif(sum({weight(dim)}), 0), 0) AS f_{dim} FROM cells {joins(dim)} JOIN {dim}_to USING ({dim}) GROUP BY {dim})")
+            held[dim] = name
+    return ",\n        ".join(steps) + f",\n        raked AS (SELECT source, lang, topic, tokens, {weight(None)} AS weight FROM cells {joins(None)})"
 
 
 def _share_sql(dim: str, wish: str) -> str:
@@ -164,10 +167,9 @@ ORACLE_SQL: dict[str, str] = {
         {_share_sql("source", "pow(own, 0.8)")},
         {_share_sql("lang", "CASE lang " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in LANG_TARGETS.items()) + " ELSE own END")},
         {_share_sql("topic", "pow(own, 0.8)")},
-        w0 AS (SELECT *, tokens AS weight FROM cells JOIN source_to USING (source) JOIN lang_to USING (lang) JOIN topic_to USING (topic)),
-        {_rake_sql(6)},
-        odds AS (SELECT source, lang, topic,
-                   round(least(1.0, coalesce(0.8 * sum(tokens) OVER () * weight / nullif(tokens, 0), 0)), 9) AS probability FROM raked)
+        {_rake_sql(60)},
+        asked AS (SELECT source, lang, topic, 0.8 * sum(tokens) OVER () * weight / nullif(tokens, 0) AS p FROM raked),
+        odds AS (SELECT source, lang, topic, round(coalesce(p / greatest(1.0, max(p) OVER ()), 0), 6) AS probability FROM asked)
         SELECT doc_id, source, lang, topic, tokens::BIGINT AS tokens, probability,
           CAST('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8) AS BIGINT) / 4294967296.0 < probability AS sampled
         FROM rows JOIN odds USING (source, lang, topic)""",
@@ -189,6 +191,24 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
           NOT base_failed AND 100 * covered_words <= 20 * n_words AND NOT long_repeat AS kept, covered_words
         FROM b""",
+    "op2_minhash_near_dedup": """
+        WITH RECURSIVE d AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+          FROM documents),
+        s AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 4], ' ')) AS g FROM d, unnest(generate_series(1, greatest(1, len(w) - 4))) AS t(i) WHERE len(w) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        -- full sets: equal ones are one class, and classes are compared by their common shingles
+        sets AS (SELECT doc_id, list(g ORDER BY g) AS l FROM s GROUP BY doc_id),
+        c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY l) AS class FROM sets),
+        cs AS (SELECT s.doc_id, g FROM s JOIN c USING (doc_id) WHERE c.class = c.doc_id),
+        common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM cs a JOIN cs b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (SELECT u, v FROM common JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * k >= 85 * (x.n + y.n - k)),
+        both_ways AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+        reach AS (SELECT doc_id AS u, doc_id AS root FROM c WHERE class = doc_id
+          UNION SELECT b.v, r.root FROM reach r JOIN both_ways b ON b.u = r.u),
+        roots AS (SELECT u, min(root) AS root FROM reach GROUP BY u)
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(roots.root, d.doc_id) AS component_id, coalesce(roots.root, d.doc_id) = d.doc_id AS kept
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN roots ON roots.u = c.class""",
     "op10_exact_dedup": """
         WITH t AS (
           SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
