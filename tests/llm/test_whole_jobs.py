@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-pytest.importorskip("public_tokenizers")
+public_tokenizers = pytest.importorskip("public_tokenizers")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from tapeweave.llm import mixing, neardup, pii  # noqa: E402
+from tapeweave.llm import chat, exact_dedup, langid, mixing, neardup, pii, spm, sstable, toxicity  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
 
 def documents(spark, texts):
-    return spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    return spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
 
 
 def brute_groups(texts, percent):
@@ -118,12 +120,11 @@ def chained_texts(n):
 
 
 def test_stragglers_meet_in_bounded_blocks(spark):
-    rng = np.random.default_rng(2)
-    rows = [("c", f"n{k:03}", rng.integers(0, 2**62, 50).tobytes(), 8, k % 8) for k in range(80)]
-    wide = spark.createDataFrame(rows, "cluster string, class string, shingles binary, blocks int, block int")
+    rows = [("c", f"n{k:03}", 50, 8, k % 8) for k in range(80)]
+    wide = spark.createDataFrame(rows, "cluster string, class string, n_shingles long, blocks int, block int")
     part = spark.createDataFrame([(f"n{k:03}", "n000") for k in range(24)], "node string, root string")
     groups = {}
-    for r in neardup._meetings(wide, part, 500).collect():
+    for r in neardup._meetings(wide, part, 500, 80).collect():
         groups.setdefault((r.cluster, r.i, r.j), []).append(r)
     assert max(len(g) for g in groups.values()) * 50 <= 4 * 500  # two blocks, dealt by hash
     pairs = Counter()
@@ -147,6 +148,41 @@ def test_near_copies_are_removed_by_identifier_and_text(spark):
     assert sorted((r.doc_id, r.text) for r in got.collect()) == [texts[0], texts[2]]
 
 
+def test_rows_without_identifiers_are_linked(spark):
+    w = [f"x{i}" for i in range(100)]
+    near, far = " ".join([*w[:-1], "end"]), " ".join(f"unique{i}" for i in range(60))
+    texts = [(3, " ".join(w)), (None, near), (None, near), (None, far), (3, far)]
+    got = sorted((r.n_shingles, r.doc_id or 0, r.component_id, r.kept) for r in neardup.near_dedup(documents(spark, texts)).collect())
+    assert got == [(56, 0, 3, False), (56, 3, 3, True), (96, 0, 3, False), (96, 0, 3, False), (96, 3, 3, True)]
+    assert sorted(r.doc_id for r in neardup.without_near_duplicates(documents(spark, texts)).collect()) == [3, 3]
+    alone = neardup.near_dedup(documents(spark, [(None, " ".join(w)), (None, near)])).collect()
+    assert [(r.component_id, r.kept) for r in alone] == [(None, True)] * 2
+
+
+def test_brute_force_with_null_and_repeated_identifiers(spark):
+    texts = chained_texts(40)
+    rows = [(None if k % 5 == 0 else i % 31, t) for k, (i, t) in enumerate(texts)]
+    got = {(r.doc_id, r.n): r.ids for r in neardup.near_dedup(documents(spark, rows), neardup.NearDupParams(block=700)).groupBy("doc_id", F.lit(0).alias("n")).agg(F.sort_array(F.collect_list("component_id")).alias("ids")).collect()}
+    roots = brute_groups(list(enumerate(t for _, t in rows)), 85)
+    named = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            named[roots[k]] = min(i, named.get(roots[k], i))
+    want = {}
+    for k, (i, _) in enumerate(rows):
+        if roots[k] in named:
+            want.setdefault((i, 0), []).append(named[roots[k]])
+    assert got == {k: sorted(v) for k, v in want.items()}
+
+
+def test_piece_memory_is_bounded(monkeypatch):
+    pieces = spm.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
+    monkeypatch.setattr(spm.PieceModel, "MOST", 500)
+    for at in range(0, 6000, 100):
+        pieces.encode(pa.array([f"{i} {i * 7919}" for i in range(at, at + 100)]))
+        assert len(pieces.new) <= 500 and len(pieces.old) <= 500
+
+
 @pytest.mark.parametrize(("text", "values"), [
     ("2024-01-05T10:00:00Z", ["2024-01-05"]), ("Tel.415-555-2671", ["415-555-2671"]), ("415-555-2671/415-555-2672", ["415-555-2671", "415-555-2672"]),
     ("card-4111111111111111", ["4111111111111111"]), ("http://10.1.2.3/a", ["10.1.2.3"]), ("2024-01-05/2024-02-05", ["2024-01-05", "2024-02-05"]), ("id/123-45-6789/", ["123-45-6789"]),
@@ -165,3 +201,113 @@ def test_every_email_of_a_long_text_counts():
     alone = p.replace("4155552671@x.com")[0]
     text, n = p.replace(" ".join(["a@b.org"] * 1000 + ["4155552671@x.com"]))
     assert n == 1001 and text.endswith(" " + alone)
+
+
+def test_planted_values_are_found_where_they_stand():
+    rng, p = random.Random(4), pii.Pseudonyms(b"k")
+    values = {"2024-01-05": "date", "5/6/1987": "date", "10.20.30.40": "ip", "123-45-6789": "ssn", "415-555-2671": "phone", "4111 1111 1111 1111": "card", "GB82WEST12345698765432": "iban", "a" * 16 + "0" * 16: "secret", "x.y@mail.example.org": "email", "123456789012": "number"}
+    for _ in range(300):
+        text, want = "", []
+        for _ in range(rng.randint(1, 12)):
+            text += rng.choice(["word ", "see: ", "(", "\n", "call, ", "12 of 34 ", "v1.2 ", "É "])
+            value = rng.choice(list(values))
+            want.append((len(text), len(text) + len(value), values[value]))
+            text += value + rng.choice([" ", ", ", ") ", "\n", "; ", "! "])
+        assert p.find(text) == want
+
+
+def test_apostrophes_open_no_quotation():
+    quoted = toxicity.inside_quotation
+    assert not quoted(["you", "don’t", "know,"]) and not quoted(["the", "dogs’", "owner"]) and not quoted(["l’homme", "d’ici"])
+    assert quoted(["he", "said", "‘you"]) and not quoted(["he", "said", "‘no’", "and"]) and quoted(["„du"]) and not quoted(["„du", "da“"])
+    model = toxicity.ToxicityModel({"idiot": 5.0}, {}, weights=np.array([-4.0, 0, 0, 0, 2.0, 0, 0, 0, 0]))
+    a, b = toxicity.Scorer(model).score(pa.array(["you don't know, idiot", "you don’t know, idiot"]))
+    assert a == b
+
+
+def test_labels_that_disagree_do_not_depend_on_order(spark):
+    texts = [(i, f"w{i} common words here w{i % 7} " + ("you" + str(i) + " idiot" if i % 3 == 0 else "fine day")) for i in range(240)]
+    labels = [(i, 1 if i % 3 == 0 else 0) for i in range(240)] + [(0, 0)]
+    made = [toxicity.train(documents(spark, texts[::way]), spark.createDataFrame(labels[::way], "doc_id long, toxic int")) for way in (1, -1)]
+    assert made[0].words == made[1].words and "idiot" in made[0].words and np.array_equal(made[0].weights, made[1].weights)
+
+
+def test_viterbi_with_very_many_languages():
+    scores = -np.ones((3, 300))
+    scores[:, 290] = 0
+    assert langid.viterbi(scores, np.array([0, 3]), 2.0).tolist() == [290] * 3
+
+
+def test_switches_of_language(spark):
+    rows = [(i, "alpha beta gamma delta " * 40 if i % 2 else "ωμέγα λόγος άνθρωπος κόσμος " * 40) for i in range(20)]
+    docs = documents(spark, rows).withColumn("lang", F.when(F.col("doc_id") % 2 == 1, "en").otherwise("el"))
+    model = langid.train(docs)
+    mixed = documents(spark, [(1, "alpha beta ωμέγα λόγος gamma"), (2, "alpha"), (3, None), (4, "")])
+    got = {r.doc_id: (r.lang_pred, r.n_spans, r.switches) for r in langid.identify(mixed, langid.LangModel(model.langs, model.scores, model.scripts, langid.LangIdParams(switch=1.0))).collect()}
+    assert got == {1: ("en", 3, [2, 4]), 2: ("en", 1, []), 3: ("und", 0, []), 4: ("und", 0, [])}
+
+
+def test_chats_with_clashing_columns_and_a_very_long_turn(spark):
+    long = "x" * 2_000_000
+    rows = [(1, 0, "user", long, 5, 6, "h"), (2, 0, "user", long, 7, 8, "h"), (2, 1, "bot", "ok", 0, 0, "g")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, block int, one int, h1 string").withColumns({"tie": F.lit(1), "conv": F.lit("c"), "r_one": F.lit(2), "n_turns": F.lit(3)})
+    got = chat.chat_format(df).collect()
+    assert [(r.conv_id, r.part, r.n_turns, r.n_copies, len(r.text)) for r in got] == [(2, 0, 2, 1, 2_000_000 + len("<|user|>\n<|end|>\n<|bot|>\nok<|end|>\n"))]
+
+
+@pytest.mark.parametrize(("fan", "parts", "keep"), [(2, 13, "largest"), (16, 13, "smallest"), (3, 1, "largest")])
+def test_merged_runs_equal_brute_force(spark, monkeypatch, fan, parts, keep):
+    monkeypatch.setattr(exact_dedup, "CHUNK", 50)  # many chunks and slices
+    monkeypatch.setattr(exact_dedup, "SLICE", 64)
+    rng = random.Random(fan)
+    texts = [None, "", "A", "a", *(f"t{i}" for i in range(300))]
+    rows = [(None if rng.random() < 0.1 else rng.randint(-50, 400), rng.choice(texts)) for _ in range(2000)] + [(7, "hot")] * 1000
+    groups, best = {}, max if keep == "largest" else min
+    for i, t in rows:
+        groups.setdefault((t or "").lower(), []).append(i)
+    kept = {t: best((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    want = Counter((i, kept[t], len(groups[t]), i == kept[t], hashlib.sha256(t.encode()).hexdigest()) for i, t in ((i, (t or "").lower()) for i, t in rows))
+    assert Counter(map(tuple, exact_dedup.exact_dedup(documents(spark, rows).repartition(parts), keep=keep, fan=fan).collect())) == want
+
+
+def test_which_of_repeated_rows_stays_does_not_depend_on_order(spark):
+    rows = [(1, t, x) for t in "aA" for x in (1.0, 2.0, 3.0)]
+    left = [exact_dedup.deduplicated(spark.createDataFrame(rows[::way], "doc_id long, text string, x double")).collect() for way in (1, -1)]
+    assert left[0] == left[1] and len(left[0]) == 1
+
+
+def test_byte_pieces_and_literal_marks_are_on_the_best_path():
+    model = spm.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
+    scores, rng = {v[0]: v[2] for _, v in model.automaton.items()}, random.Random(6)
+    pieces = {k: v[2] for k, v in model.automaton.items()}
+    byte = {int(i): b for b, i in enumerate(model.byte)}
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "the", "▁", "𐍈", "🙂", "é", " ", "語", "\n", "\u0301", "12"]) for _ in range(rng.randint(1, 25)))
+        form = " " + text
+        best = [0.0] + [-1e300] * len(form)
+        inner = form.replace("▁", "\udc81").replace(" ", "▁")
+        for end in range(1, len(form) + 1):
+            for start in range(max(0, end - 48), end):
+                if inner[start:end] in pieces:
+                    best[end] = max(best[end], best[start] + pieces[inner[start:end]])
+            if inner[end - 1] not in pieces:
+                best[end] = max(best[end], best[end - 1] + model.unknown)
+        ids, bounds = model.encode(pa.array([text]))
+        total = sum(scores[i] if i in scores else model.unknown * (byte[i] & 0xC0 != 0x80) for i in ids.tolist())
+        assert abs(total - best[-1]) < 1e-6 * abs(best[-1])
+        assert model.decode(ids.astype(np.int64), bounds)[0].tobytes().decode() == text
+
+
+def test_ids_equal_the_tokenizers_on_the_corpus_and_for_other_files(spark, tmp_path):
+    from tokenizers import Tokenizer, normalizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    other = Tokenizer.from_file(path)
+    other.normalizer = normalizers.Strip()
+    other.save(f"{tmp_path}/other.json")
+    for file in (path, f"{tmp_path}/other.json"):
+        plain, coder = Tokenizer.from_file(file), sstable.WordTokenizer(file)
+        assert coder.by_word == (file == path)
+        ids, bounds = coder.encode(pa.array(texts), 1)
+        assert [ids[a:b].tolist() for a, b in itertools.pairwise(bounds)] == [[*plain.encode(t, add_special_tokens=False).ids, 1] for t in texts]
