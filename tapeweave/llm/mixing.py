@@ -108,9 +108,9 @@ def rake(cells: DataFrame, params: MixParams | None = None) -> DataFrame:
     gaps: list[float] = []
     while len(gaps) < p.rounds or p.tolerance is not None:
         for dim in DIMS:
-            # grouped sums are combined before they are exchanged: a level may have very many cells
-            now = full.groupBy(dim).agg(F.sum("weight").alias("now"))
-            full = full.join(now, dim).withColumn("weight", F.coalesce(F.col("weight") * F.try_divide(F.col(f"to_{dim}"), F.col("now")), F.lit(0.0))).drop("now")
+            # over cells, not documents; a window keeps the plan of a round in one line
+            now = F.sum("weight").over(Window.partitionBy(dim))
+            full = full.withColumn("weight", F.coalesce(F.col("weight") * F.try_divide(F.col(f"to_{dim}"), now), F.lit(0.0)))
         full = cut(full)  # keeps the plan of a round small
         if p.tolerance is None:
             gaps.append(0.0)
