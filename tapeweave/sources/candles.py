@@ -73,3 +73,13 @@ def landed(raw: DataFrame, seconds: int, now: Column, arrival: str = "arrival")
     kept = raw.withColumn("__n", F.row_number().over(first)).where("__n = 1")
     closed = kept.where(F.unix_seconds("ts") + seconds <= F.unix_seconds(now))
     return closed.select("symbol", F.col("ts").cast("timestamp").alias("ts"), *[F.col(c).cast("double").alias(c) for c in OHLCV])
+
+
+def landed_rates(raw: DataFrame, arrival: str = "arrival") -> DataFrame:
+    """Funding rates fit for use from a landing table with repeats: per symbol
+    and time the first to arrive, checked (``require_valid_funding``)."""
+    from ..operators.quality import require_valid_funding
+
+    require_columns(raw, "symbol", "ts", "funding", arrival)
+    kept = raw.groupBy("symbol", F.col("ts").cast("timestamp").alias("ts")).agg(F.min_by("funding", arrival).cast("double").alias("funding"))
+    return require_valid_funding(kept)

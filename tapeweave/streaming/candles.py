@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import shared_path
+
+BARS = "symbol string, ts timestamp, open double, high double, low double, close double, volume double"
+
 
 def stream_candles(ticks: DataFrame, seconds: int, lateness: str = "1 hour") -> DataFrame:
     """Bars from a streaming ``symbol, ts, price, event_id``; in append mode each
@@ -18,8 +22,11 @@ def stream_candles(ticks: DataFrame, seconds: int, lateness: str = "1 hour") ->
     return bars.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def run_available(spark: SparkSession, ticks: DataFrame, seconds: int, name: str, lateness: str = "1 hour") -> DataFrame:
-    """Everything the stream holds now, as a table of closed bars."""
-    query = stream_candles(ticks, seconds, lateness).writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+def run_available(spark: SparkSession, ticks: DataFrame, seconds: int, lateness: str = "1 hour", folder: str | None = None) -> DataFrame:
+    """Everything the stream holds now, as a Parquet table of closed bars in
+    ``folder`` (one below ``spark.checkpoint.dir`` by default), which also has
+    the stream's checkpoint: run again on the same folder, it goes on from there."""
+    folder = folder or shared_path(spark, "stream")
+    sink = stream_candles(ticks, seconds, lateness).writeStream.outputMode("append").format("parquet").option("path", f"{folder}/bars").option("checkpointLocation", f"{folder}/state")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(BARS).parquet(f"{folder}/bars")
