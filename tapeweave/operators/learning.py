@@ -14,8 +14,11 @@ from pyspark.sql.window import Window
 
 from ..config import BacktestConfig
 from ..functions.signals import learned_multiplier, phase_favours
+from ..sources.candles import cumulative
+from ..sources.store import written
 from .asof import asof
 from .indicators import bollinger, rolling_rank
+from .metrics import acceptance
 
 FEATURES = (
     "impulse", "adx", "di_oriented", "squeeze", "squeeze_bars", "stochastic_oriented", "ttm_oriented", "phase_favours", "bb_width_rank", "atr_relative", "divergence_favours",
@@ -76,11 +79,42 @@ def probabilities(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 def ordered_split(rows: DataFrame, share: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """Earlier and later rows by entry time."""
-    marked = rows.withColumn("__n", F.row_number().over(Window.orderBy("ts", "seq"))).withColumn("__all", F.count("*").over(Window.partitionBy(F.lit(1))))
-    early = F.col("__n") <= F.floor(F.col("__all") * share)
+    marked = _numbered(rows).join(F.broadcast(rows.agg(F.count("*").alias("__all"))))  # one row
+    early = F.col("__n") < F.floor(F.col("__all") * share)
     return marked.where(early).drop("__n", "__all"), marked.where(~early).drop("__n", "__all")
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds ``__n``, the place of each row by entry time from 0, counted inside
+    months and over months."""
+    month = F.floor(F.unix_seconds("ts") / (30 * 86400))
+    counted = cumulative(rows.withColumn("__one", F.lit(1).cast("long")), "__one", "__n", month, ["ts", "symbol", "scenario", "seq"])
+    return counted.withColumn("__n", F.col("__n") - 1).drop("__one")
+
+
+def evaluated(train: DataFrame, test: DataFrame, pipeline: Pipeline, label: str) -> DataFrame:
+    """Acceptance of ``test`` by a model of ``train``, at the threshold that lets
+    through as many training trades as the rules do; beside it all trades and
+    those that pass the rules."""
+    model = pipeline.fit(train)
+    quota = train.agg(F.avg(F.col("passes_rules").cast("double"))).first()[0]
+    judged = probabilities(model, test).withColumn("ok", F.col("probability") >= threshold(probabilities(model, train), quota))
+    return (
+        acceptance(test.withColumn("all", F.lit(True)), "all", "unfiltered").unionByName(acceptance(test, "passes_rules", "rules")).unionByName(acceptance(judged, "ok", label))
+    )
+
+
+def crossed(rows: DataFrame, pairs: list[tuple[str, str]], pipeline=None, label: str = "logistic") -> DataFrame:
+    """``evaluated`` for models fitted on all trades of one symbol and judged on
+    all of another: adds ``origin, target``."""
+    parts = []
+    for origin, target in pairs:
+        train, test = rows.where(F.col("symbol") == origin), rows.where(F.col("symbol") == target)
+        made = pipeline or logistic(train.count())
+        parts.append(evaluated(train, test, made, label).withColumns({"origin": F.lit(origin), "target": F.lit(target)}))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def threshold(train: DataFrame, quota: float) -> float:
     """The probability that a share ``quota`` of the training rows reaches."""
     return train.agg(F.percentile("probability", F.lit(1 - quota))).first()[0]
@@ -97,7 +131,7 @@ def walk_forward(rows: DataFrame, start: int = 40, step: int = 10, pipeline=None
     all trades before its block of ``step``, relative to that model's mean
     training probability; the first ``start`` trades, and blocks whose past has
     one class only, get 1."""
-    numbered = rows.withColumn("__n", F.row_number().over(Window.orderBy("ts", "seq")) - 1).cache()
+    numbered = written(_numbered(rows))
     total, parts = numbered.count(), [numbered.where(F.col("__n") < start).withColumn("multiplier", F.lit(1.0))]
     for at in range(start, total, step):
         past, block = numbered.where(F.col("__n") < at), numbered.where(F.col("__n").between(at, at + step - 1))

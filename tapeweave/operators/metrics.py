@@ -110,3 +110,10 @@ def resampled(trades: DataFrame, runs: int = 400, seed: int = 7, value: str = "p
 def formatted(summary_row: dict, name: str) -> str:
     """A summary as a block of text."""
     return "\n".join([name, *(f"  {k:<14} {v:.4f}" if isinstance(v, float) else f"  {k:<14} {v}" for k, v in summary_row.items())])
+
+
+def formatted_breakdown(title: str, rows: list[dict], group: str) -> str:
+    """Rows of ``breakdown`` as a block of text."""
+    head = f"  {'group':<16}{'trades':>8}{'wins':>9}{'mean R':>10}{'total R':>10}"
+    body = [f"  {row[group]!s:<16}{row['n_trades']:>8}{row['win_rate']:>9.1%}{row['mean_r']:>10.3f}{row['total_r']:>10.1f}" for row in rows]
+    return "\n".join([title, *([head, *body] if rows else ["  no trades"])])

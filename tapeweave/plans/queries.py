@@ -91,34 +91,47 @@ def s05_landed(spark, d):
     bars = v.bars(spark, d)
     again = bars.where("volume > 3").withColumns({c: F.col(c) + 1 for c in ("open", "high", "low", "close")})
     raw = bars.withColumn("arrival", F.lit(1)).unionByName(again.withColumn("arrival", F.lit(2)))
-    now = bars.agg(F.max("ts")).first()[0]
-    return _shown(src.landed(raw, HOUR, F.lit(now)), "open", "high", "low", "close", "volume")
-
-
-def _scratch(spark: SparkSession, name: str) -> str:
-    import uuid
-
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/tapeweave-{name}-{uuid.uuid4().hex}"
+    now = F.broadcast(bars.agg(F.max("ts").alias("now")))  # one row
+    return _shown(src.landed(raw.crossJoin(now), HOUR, F.col("now")), "open", "high", "low", "close", "volume")
 
 
 @query("s06_partitioned_store", _bars() + "SELECT symbol, '1h' AS tf, epoch(ts)::BIGINT AS ts_s, open, close FROM bars WHERE symbol IN ('click', 'error', 'view')")
 def s06_store(spark, d):
-    path = _scratch(spark, "store")
+    path = store.shared_path(spark, "store")
     store.write_candles(v.bars(spark, d), path, "1h")
     return seconds(store.read_candles(spark, path, ["click", "error", "view"], ["1h"]).select("symbol", "tf", "ts", "open", "close"), "ts")
 
 
 @query("s09_csv_round_trip", _bars() + "SELECT symbol, epoch(ts)::BIGINT AS ts_s, open, high, low, close, volume FROM bars")
 def s09_csv(spark, d):
-    path = _scratch(spark, "csv")
+    path = store.shared_path(spark, "csv")
     store.write_csv(v.bars(spark, d), path)
     return _shown(store.read_csv(spark, path, "symbol string, ts timestamp, open double, high double, low double, close double, volume double"), "open", "high", "low", "close", "volume")
 
 
+@query("s07_watchlist", _bars("pairs AS (SELECT * FROM (VALUES ('view', '1h', 0), ('view', '4h', 1), ('click', '1h', 2), ('click', '4h', 3), ('none', '1h', 4), ('none', '4h', 5)) p(symbol, tf, place))", SQL_BARS.replace("1 HOUR", "4 HOUR").replace("bars AS", "b4 AS"),
+    "every_bar AS (SELECT symbol, '1h' AS tf, close FROM bars UNION ALL SELECT symbol, '4h', close FROM b4)") + "SELECT symbol, tf, CAST(place AS INTEGER) AS place, count(close) AS n, round(sum(close), 6) AS closes FROM pairs LEFT JOIN every_bar USING (symbol, tf) GROUP BY ALL")
+def s07_watchlist(spark, d):
+    path = store.shared_path(spark, "watchlist")
+    store.write_candles(v.bars(spark, d), path, "1h")
+    store.write_candles(v.bars(spark, d, 4 * HOUR), path, "4h")
+    listed = store.read_watchlist(spark, path, ["view", "click", "view", "none"], ["1h", "4h", "1h"])
+    return rounded(listed.groupBy("symbol", "tf", "place").agg(F.count("ts").alias("n"), F.sum("close").alias("closes")))
+
+
+@query("s08_funding_read_through", "WITH " + SQL_RATES + " SELECT symbol, epoch_us(ts) AS ts_us, round(arg_min(funding, funding), 6) AS funding FROM rates GROUP BY symbol, ts")
+def s08_funding(spark, d):
+    path = store.shared_path(spark, "funding")
+    raw = v.rates(spark, d)
+    make = lambda: src.landed_rates(raw.withColumn("arrival", F.col("funding")).unionByName(raw.withColumns({"arrival": F.lit(9.0), "funding": F.lit(0.5)})))
+    store.read_through(spark, path, make)
+    return rounded(store.read_through(spark, path, make).select("symbol", F.unix_micros("ts").alias("ts_us"), "funding"))
+
+
 @query("j15_symbol_translation", _bars() + "SELECT symbol, 'venue:' || symbol AS venue_symbol, count(*) AS n FROM bars GROUP BY ALL")
 def j15_translation(spark, d):
     bars = v.bars(spark, d)
-    names = {r[0]: f"venue:{r[0]}" for r in bars.select("symbol").distinct().collect()}  # configuration: one entry per symbol
+    names = {s: f"venue:{s}" for s in ("cart", "click", "error", "purchase", "view", "login", "logout", "search", "signup")}  # configuration
     return store.translated(bars, names).groupBy("symbol", "venue_symbol").agg(F.count("*").alias("n"))
 
 
@@ -189,31 +202,32 @@ def j06(spark, d):
     return _shown(asof.inside_bars(v.walk(spark, d, 900), v.walk(spark, d), HOUR), "close", times=("ts", "bar_ts"))
 
 
-_SPANS_SQL = "spans AS (SELECT 'ALL' AS symbol, CAST(i AS INTEGER) AS range_id, TIMESTAMP '2024-01-01' + INTERVAL (i * 100) HOUR AS \"start\", TIMESTAMP '2024-01-01' + INTERVAL (i * 100 + 150) HOUR AS \"end\" FROM generate_series(0, 5) AS s(i))"
+_SPANS_SQL = """spans AS (SELECT 'ALL' AS symbol, CAST(i AS INTEGER) AS range_id, lo + to_hours(i * 100) AS "start", lo + to_hours(i * 100 + 150) AS "end"
+  FROM (SELECT lo, unnest(generate_series(0, (epoch(hi) - epoch(lo))::BIGINT // 360000)) AS i FROM (SELECT min(ts) AS lo, max(ts) AS hi FROM walk)))"""
 
 
-def _spans(spark: SparkSession) -> DataFrame:
-    """Six overlapping spans of 150 hours in January 2024."""
-    base = 1704067200
-    return spark.range(6).select(
-        F.lit("ALL").alias("symbol"), F.col("id").cast("int").alias("range_id"), F.timestamp_seconds(F.lit(base) + F.col("id") * 360_000).alias("start"), F.timestamp_seconds(F.lit(base) + F.col("id") * 360_000 + 540_000).alias("end")
-    )
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping spans of 150 hours, one every 100, from the first bar to the last."""
+    ends = v.walk(spark, d).groupBy("symbol").agg(F.unix_seconds(F.min("ts")).alias("lo"), F.unix_seconds(F.max("ts")).alias("hi"))
+    rows = ends.select("symbol", "lo", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("hi") - F.col("lo")) / 360_000))).alias("i"))
+    at = lambda hours: F.timestamp_seconds(F.col("lo") + F.col("i") * 360_000 + hours * HOUR)
+    return rows.select("symbol", F.col("i").cast("int").alias("range_id"), at(0).alias("start"), at(150).alias("end"))
 
 
 @query("j07_range_candles", _walk(_SPANS_SQL) + 'SELECT range_id, count(*) AS n, round(max(high), 6) AS price_max, round(min(low), 6) AS price_min FROM spans s JOIN walk w ON w.ts BETWEEN s."start" AND s."end" GROUP BY range_id')
 def j07(spark, d):
-    inside = asof.in_intervals(v.walk(spark, d), _spans(spark))
+    inside = asof.in_intervals(v.walk(spark, d), _spans(spark, d))
     return rounded(inside.groupBy("range_id").agg(F.count("*").alias("n"), F.max("high").alias("price_max"), F.min("low").alias("price_min")))
 
 
-@query("j10_best_overlap", f"""WITH {_SPANS_SQL}, f AS (SELECT "start" + INTERVAL (30 + range_id * 7) HOUR AS fs, "end" + INTERVAL 20 HOUR AS fe FROM spans WHERE range_id % 2 = 0),
+@query("j10_best_overlap", _walk(_SPANS_SQL) + """, f AS (SELECT "start" + to_hours(30 + range_id % 7) AS fs, "end" + INTERVAL 20 HOUR AS fe FROM spans),
   p AS (SELECT range_id, epoch("start")::BIGINT AS start_s, epoch(fs)::BIGINT AS found_start_s,
     greatest(0, (epoch(least("end", fe)) - epoch(greatest("start", fs))) / (epoch(greatest("end", fe)) - epoch(least("start", fs)))) AS iou FROM spans, f)
   SELECT 'ALL' AS symbol, start_s, CASE WHEN max(iou) > 0 THEN arg_max(found_start_s, (iou, -found_start_s)) END AS found_start_s, round(max(iou), 6) AS iou FROM p GROUP BY range_id, start_s""")
 def j10(spark, d):
-    spans = _spans(spark)
+    spans = _spans(spark, d)
     hours = lambda c, h: F.timestamp_seconds(F.unix_seconds(c) + h * HOUR)
-    found = spans.where("range_id % 2 = 0").select("symbol", hours("start", F.lit(30) + F.col("range_id") * 7).alias("start"), hours("end", F.lit(20)).alias("end"))
+    found = spans.select("symbol", hours("start", F.lit(30) + F.col("range_id") % 7).alias("start"), hours("end", F.lit(20)).alias("end"))
     return rounded(seconds(asof.best_overlap(spans, found).select("symbol", "start", "found_start", "iou"), "start", "found_start"))
 
 
@@ -419,7 +433,7 @@ _PROFILE = ProfileConfig(bins=_BINS)
 
 @query("v01_volume_by_bin", _walk(_SPANS_SQL, _BIN_SQL) + "SELECT range_id, bin, round(volume, 6) + 0.0 AS volume FROM prof")
 def v01(spark, d):
-    return rounded(profile.volume_by_bin(v.walk(spark, d), _spans(spark), _PROFILE).select("range_id", "bin", "volume"))
+    return rounded(profile.volume_by_bin(v.walk(spark, d), _spans(spark, d), _PROFILE).select("range_id", "bin", "volume"))
 
 
 @query("v04_profile_levels", _walk(_SPANS_SQL, _BIN_SQL, f"""arr AS (SELECT range_id, lo, hi, list(coalesce(volume, 0.0) ORDER BY b) AS vs, arg_min(b, (-round(coalesce(volume, 0), 9), abs(b - {(_BINS - 1) / 2}), b)) AS peak, sum(volume) AS total
@@ -431,18 +445,18 @@ def v01(spark, d):
   SELECT range_id, round(lo + (any_value(peak) + 0.5) * (hi - lo) / {_BINS}, 7) AS poc, round(lo + (max(b) + 1) * (hi - lo) / {_BINS}, 7) AS vah, round(lo + min(a) * (hi - lo) / {_BINS}, 7) AS val, round(any_value(total), 7) AS volume_total
   FROM grow GROUP BY range_id, lo, hi""")
 def v04(spark, d):
-    return rounded(profile.profiles(v.walk(spark, d), _spans(spark), _PROFILE).drop("volumes"), 7)
+    return rounded(profile.profiles(v.walk(spark, d), _spans(spark, d), _PROFILE).drop("volumes"), 7)
 
 
 @query("a18_rebinned_profile", _walk(_SPANS_SQL, _BIN_SQL) + f'SELECT range_id, CAST(floor(bin * 20 / {_BINS}) AS BIGINT) AS "group", round(avg(lo + (bin + 0.5) * (hi - lo) / {_BINS}), 8) AS price, round(sum(volume), 8) AS volume FROM prof GROUP BY ALL')
 def a18(spark, d):
-    return rounded(profile.rebinned(profile.volume_by_bin(v.walk(spark, d), _spans(spark), _PROFILE), _BINS, 20), 8)
+    return rounded(profile.rebinned(profile.volume_by_bin(v.walk(spark, d), _spans(spark, d), _PROFILE), _BINS, 20), 8)
 
 
-def _weekly_levels(spark: SparkSession, d: str) -> DataFrame:
+def _weekly_levels(spark: SparkSession, d: str, walks: Callable[..., DataFrame] | None = None) -> DataFrame:
     """Levels at the quarter points of each finished week's range: a plain grid
     for touch queries."""
-    w = v.walk(spark, d)
+    w = walks() if walks else v.walk(spark, d)
     weeks = w.groupBy("symbol", F.floor(F.unix_seconds("ts") / WEEK).alias("week")).agg(F.min("low").alias("lo"), F.max("high").alias("hi"))
     three = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.round(F.col("lo") + (F.col("hi") - F.col("lo")) * s, 2).alias("price")) for n, s in (("val", 0.25), ("poc", 0.5), ("vah", 0.75))]))
     return weeks.select("symbol", F.col("week").cast("string").alias("range_id"), three.alias("x"), F.timestamp_seconds((F.col("week") + 1) * WEEK).alias("valid_from")).select("symbol", "range_id", "x.*", "valid_from", F.lit(0.5).alias("quality"))
@@ -483,7 +497,7 @@ SIMULATION = BacktestConfig(kinds=("primary", "secondary"), max_adx=60.0, min_im
 
 
 def _ranges(spark: SparkSession, d: str) -> DataFrame:
-    return ranges.detect(v.walk(spark, d), DETECTION).cache()  # few rows, which selections read several times
+    return store.written(ranges.detect(v.walk(spark, d), DETECTION))  # few rows, which selections read several times
 
 
 @query("r01_flat_windows", _walk(f"p AS (SELECT *, (row_number() OVER ({W}))::DOUBLE AS x FROM walk)", f"q AS (SELECT symbol, {_full('regr_r2(close, x)', 'close', 60)} AS r2 FROM p)") + "SELECT symbol, count(r2) AS n_full, CAST(sum(CASE WHEN r2 < 0.3 THEN 1 ELSE 0 END) AS BIGINT) AS n_flat FROM q GROUP BY symbol")
@@ -508,10 +522,10 @@ def r14(spark, d):
 
 def range_levels(spark: SparkSession, d: str, causal: bool = False) -> DataFrame:
     """The level grid of the selected ranges, profiled on the fine candles."""
-    hourly = v.walk(spark, d).cache()
+    hourly = store.written(v.walk(spark, d))
     found = ranges.detect(hourly, DETECTION)
     # a few rows that five plans below start from
-    chosen = ranges.numbered(ranges.select_causally(found, DETECTION) if causal else ranges.select(found, DETECTION)).cache()
+    chosen = store.written(ranges.numbered(ranges.select_causally(found, DETECTION) if causal else ranges.select(found, DETECTION)))
     levels = profile.graded_profiles(chosen, hourly, {"fine": v.walk(spark, d, 900), "middle": hourly, "coarse": v.walk(spark, d, 4 * HOUR)}, _PROFILE)
     return profile.level_grid(chosen, levels, SIMULATION.kinds)
 
@@ -526,11 +540,12 @@ def v07(spark, d):
     return rounded(profile.displaced(_weekly_levels(spark, d)))
 
 
-def _simulated(spark: SparkSession, d: str, levels: DataFrame, variants: dict | None = None, config: BacktestConfig = SIMULATION) -> DataFrame:
-    w = v.walk(spark, d).cache()
+def _simulated(spark: SparkSession, d: str, levels: DataFrame, variants: dict | None = None, config: BacktestConfig = SIMULATION, walks: Callable[..., DataFrame] | None = None) -> DataFrame:
+    walks = walks or (lambda step=HOUR: v.walk(spark, d, step))
+    w = store.written(walks())
     feats = backtest.features(w, config)
-    zones = gaps.target_points(gaps.detect(v.walk(spark, d, WEEK), WEEK), w)
-    bars = backtest.decision_bars(feats, v.walk(spark, d, 900), HOUR, zones, config)
+    zones = gaps.target_points(gaps.detect(walks(WEEK), WEEK), w)
+    bars = store.written(backtest.decision_bars(feats, walks(900), HOUR, zones))
     return backtest.simulate(bars, levels, config, variants)
 
 
@@ -578,6 +593,39 @@ def b22(spark, d):
     return _shown(backtest.entry_quality(indicators.atr(w), profile.touches(w, _weekly_levels(spark, d))), "range_id", "level", "mfe", "mae", "efficiency")
 
 
+_RANDOM_SQL = """pb AS (SELECT symbol, row_number() OVER (ORDER BY ts) - 1 AS pos, close, nullif(atr, 0) AS unit, max(high) OVER f AS hi, min(low) OVER f AS lo FROM (SELECT *, {ATR} AS atr FROM tt) WINDOW f AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING)),
+  fa AS (SELECT (SELECT count(*) FROM walk) AS n, (SELECT avg(CASE WHEN direction > 0 THEN 1.0::DOUBLE ELSE 0 END) FROM touch) AS long_share),
+  tk AS (SELECT run, '7/' || run || '/' || symbol || '/' || ts_s || '/' || range_id || '/' || level AS key FROM touch, generate_series(1, 400) g(run)),
+  td AS (SELECT run, 20 + floor(CAST('0x' || substr(md5('bar' || key), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE * (n - 44))::BIGINT AS pos, CAST('0x' || substr(md5('side' || key), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < long_share AS is_long FROM tk, fa),
+  te AS (SELECT run, CASE WHEN is_long THEN hi - close ELSE close - lo END / unit AS mfe, CASE WHEN is_long THEN close - lo ELSE hi - close END / unit AS mae FROM td JOIN pb USING (pos)),
+  tr AS (SELECT run, avg(mfe) AS mfe, avg(mae) AS mae, avg(CASE WHEN mfe IS NOT NULL THEN mfe / greatest(mfe + greatest(mae, 0), 1e-9) END) AS efficiency FROM te GROUP BY run)""".replace("{ATR}", _full("avg(tr)", "tr", 14))
+
+
+def _random_control(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    w = indicators.atr(store.written(v.walk(spark, d)))
+    touched = profile.touches(w, _weekly_levels(spark, d))
+    return backtest.random_entries(w, touched), backtest.entry_quality(w, touched)
+
+
+@query("b22_random_control", _walk(_LEVEL_SQL, _TOUCH_SQL, f"tt AS (SELECT *, {TR} AS tr FROM walk)", _RANDOM_SQL) + "SELECT CAST(run AS INTEGER) AS run, round(mfe, 6) AS mfe, round(mae, 6) AS mae, round(efficiency, 6) AS efficiency FROM tr")
+def b22_random(spark, d):
+    return rounded(_random_control(spark, d)[0])
+
+
+@query("a12_beaten_share", ORACLE_SQL["b22_entry_quality"].split("SELECT symbol, ts_s, range_id, level,")[0] + ", " + _RANDOM_SQL + """, real AS (SELECT avg(CASE WHEN mfe IS NOT NULL THEN mfe / greatest(mfe + greatest(mae, 0), 1e-9) END) AS e FROM m)
+  SELECT avg(CASE WHEN efficiency < e THEN 1.0::DOUBLE ELSE 0 END) AS share_below FROM tr, real""")
+def a12_beaten(spark, d):
+    runs, real = _random_control(spark, d)
+    mean = real.agg(F.avg("efficiency").alias("real"))  # one row
+    return metrics.beaten_share(runs.join(F.broadcast(mean)), F.col("real"), "efficiency")
+
+
+@query("f_last_target_and_opacity", f"WITH {SQL_TRADES} SELECT seq, CASE bars % 4 WHEN 1 THEN 1.5::DOUBLE WHEN 2 THEN 2.5 WHEN 3 THEN 3.5 END AS last_target, round(0.25 + 0.65 * least(1.0, greatest(0.0, mfe_atr / 2)), 6) AS opacity FROM trades")
+def f_last_target(spark, d):
+    t = v.trades(spark, d).withColumns({"t1": F.lit(1.5), "t2": F.lit(2.5), "t3": F.lit(3.5)})
+    return rounded(t.select("seq", sig.last_target(F.col("bars") % 4, "t1", "t2", "t3").alias("last_target"), sig.opacity(F.col("mfe_atr") / 2).alias("opacity")))
+
+
 @query("a07_entry_quality_by_side", ORACLE_SQL["b22_entry_quality"].replace("SELECT symbol, ts_s, range_id, level,", "SELECT direction, level, count(*) AS n,").replace("round(mfe, 6) + 0.0 AS mfe", "round(avg(mfe), 5) + 0.0 AS mfe").replace("round(mae, 6) + 0.0 AS mae", "round(avg(mae), 5) + 0.0 AS mae")
        .split(", round(CASE WHEN mfe IS NOT NULL")[0] + " FROM m GROUP BY ALL")
 def a07(spark, d):
@@ -595,10 +643,10 @@ def f_gate(spark, d):
     return t.groupBy("regime", "direction", sig.permitted("regime", "direction", "with").alias("with_trend"), sig.permitted("regime", "direction", "not_against").alias("not_against")).agg(F.count("*").alias("n"))
 
 
-@query("f8_spans_in_view", f"""WITH {_SPANS_SQL} SELECT range_id FROM spans WHERE epoch("end") >= 1705276800 AND epoch("start") <= 1705449600""")
+@query("f8_spans_in_view", _walk(_SPANS_SQL) + """ SELECT range_id FROM spans WHERE epoch("end") >= 1705276800 AND epoch("start") <= 1705449600""")
 def f8(spark, d):
     at = lambda s: F.timestamp_seconds(F.lit(s))
-    return profile.in_view(_spans(spark), at(_AT), at(_AT + 172_800)).select("range_id")
+    return profile.in_view(_spans(spark, d), at(_AT), at(_AT + 172_800)).select("range_id")
 
 
 @query("f9_halves", f"WITH {SQL_TRADES} SELECT CASE WHEN epoch(exit_ts) <= 800000000 THEN 'h1' ELSE 'h2' END AS half, count(*) AS n, round(avg(pnl_r), 6) AS mean_r FROM trades GROUP BY ALL")
@@ -724,7 +772,7 @@ def m01(spark, d):
 def m02(spark, d):
     from ..operators import learning
 
-    rows = QUERIES["m01_trade_sample"](spark, d).cache()
+    rows = store.written(QUERIES["m01_trade_sample"](spark, d))
     train, test = learning.ordered_split(rows)
     model = learning.logistic(train.count()).fit(train)
     mark = learning.threshold(learning.probabilities(model, train), 0.5)
@@ -732,11 +780,31 @@ def m02(spark, d):
     return rounded(metrics.acceptance(judged, "ok", "logistic").unionByName(metrics.acceptance(judged.withColumn("all", F.lit(True)), "all", "unfiltered")))
 
 
+@query("m03_boosted_filter")
+def m03(spark, d):
+    from ..operators import learning
+
+    train, test = learning.ordered_split(store.written(QUERIES["m01_trade_sample"](spark, d)))
+    return rounded(learning.evaluated(train, test, learning.boosted(rounds=20, leaf=5), "boosted"))
+
+
+@query("m05_crossed_assets")
+def m05(spark, d):
+    from ..operators import learning
+
+    # two walks, of two groups of events, are two symbols in one pass
+    walks = lambda step=HOUR: v.two_walks(spark, d, step)
+    levels = _weekly_levels(spark, d, walks)
+    trades = _simulated(spark, d, levels, config=BacktestConfig(max_adx=None, avoid_squeeze=False, min_impulse=None), walks=walks)
+    rows = store.written(learning.sample(trades, backtest.features(store.written(walks()), SIMULATION), BacktestConfig()))
+    return rounded(learning.crossed(rows, [("CLICKS", "OTHERS"), ("OTHERS", "CLICKS")]))
+
+
 @query("m06_coefficients")
 def m06(spark, d):
     from ..operators import learning
 
-    rows = QUERIES["m01_trade_sample"](spark, d).cache()
+    rows = store.written(QUERIES["m01_trade_sample"](spark, d))
     return rounded(learning.coefficients(learning.logistic(rows.count()).fit(rows), spark))
 
 
@@ -744,7 +812,7 @@ def m06(spark, d):
 def m07(spark, d):
     from ..operators import learning
 
-    rows = QUERIES["m01_trade_sample"](spark, d).cache()
+    rows = store.written(QUERIES["m01_trade_sample"](spark, d))
     sized = learning.walk_forward(rows, 40, 20)
     return rounded(metrics.weighted(sized, "multiplier"))
 
@@ -752,11 +820,10 @@ def m07(spark, d):
 @query("st01_streamed_candles", "WITH " + SQL_BARS.replace("1 HOUR", "4 HOUR") + "SELECT symbol, epoch(ts)::BIGINT AS ts_s, open, high, low, close, volume FROM bars WHERE ts + INTERVAL 4 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
 def st01(spark, d):
     import os
-    import uuid
 
     from ..streaming.candles import run_available
 
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     raw = spark.readStream.schema(schema).parquet(f"{os.path.dirname(d + '/x')}/events.parquet*")
     ticks = raw.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("price"))
-    return _shown(run_available(spark, ticks, 4 * HOUR, f"bars_{uuid.uuid4().hex}"), "open", "high", "low", "close", "volume")
+    return _shown(run_available(spark, ticks, 4 * HOUR), "open", "high", "low", "close", "volume")

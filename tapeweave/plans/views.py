@@ -29,6 +29,14 @@ def walk(spark: SparkSession, sf_dir: str, seconds: int = HOUR) -> DataFrame:
     return from_ticks(integer_walk(table(spark, sf_dir, "events")), seconds, order=("ts", "event_id"))
 
 
+def two_walks(spark: SparkSession, sf_dir: str, seconds: int = HOUR) -> DataFrame:
+    """Candles of two integer walks: over clicks and views, and over the rest."""
+    e = table(spark, sf_dir, "events")
+    first = F.coalesce(F.col("event_type").isin("click", "view"), F.lit(False))
+    both = integer_walk(e.where(first), "CLICKS").unionByName(integer_walk(e.where(~first), "OTHERS"))
+    return from_ticks(both, seconds, order=("ts", "event_id"))
+
+
 def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A funding-like series at irregular times: scaled values of ``error`` events, for ``ALL``."""
     e = table(spark, sf_dir, "events").where("event_type = 'error'")
