@@ -100,6 +100,11 @@ def test_storage_round_trip(spark, tmp_path):
     store.write_candles(c, f"{tmp_path}/t", "4h")
     assert store.read_candles(spark, f"{tmp_path}/t", ["A/B:C"], ["4h"]).count() == 3
     assert store.read_candles(spark, f"{tmp_path}/t", ["other"]).count() == 0
+    two = bars(spark, [1], symbol="B/C").unionByName(bars(spark, [2, 3], symbol="B-C"))
+    store.write_candles(two, f"{tmp_path}/t", "4h")
+    assert store.read_candles(spark, f"{tmp_path}/t", ["B/C"]).count() == 1
+    listed = store.read_watchlist(spark, f"{tmp_path}/t", ["B-C", "A/B:C", "B-C", "none"], ["4h", "1h", "4h"]).groupBy("symbol", "tf", "place").agg(F.count("ts").alias("n")).orderBy("place").collect()
+    assert [(r.symbol, r.tf, r.n) for r in listed] == [("B-C", "4h", 2), ("B-C", "1h", 0), ("A/B:C", "4h", 3), ("A/B:C", "1h", 0), ("none", "4h", 0), ("none", "1h", 0)]
     made = []
     make = lambda: made.append(1) or c
     assert store.read_through(spark, f"{tmp_path}/r", make).count() == 3 == store.read_through(spark, f"{tmp_path}/r", make).count()
@@ -163,53 +168,78 @@ def test_profile_of_two_candles(spark):
     assert (p.poc, p.val, p.vah) == (1.5, 1.0, 4.0)
 
 
-def _trade(path, levels, zones=None, **settings):
+def _trade(spark, path, levels, zones=None, **settings):
     """Trades over 15-minute (open, high, low, close) bars, four to a decision bar."""
     c = BacktestConfig(**{"maker_fee": 0.0, "taker_fee": 0.0, "slippage": 0.0, "stop_atr": 1.0, "max_adx": None, "avoid_squeeze": False, "min_impulse": None, **settings})
     made = []
     for i in range(0, len(path), 4):
-        fine = [dict(zip(("ts", "open", "high", "low", "close"), (j, *path[j]))) for j in range(i, min(i + 4, len(path)))]
-        made.append({"close": fine[-1]["close"], "atr": 1.0, "impulse": 2.0, "stochastic": 50.0, "ttm_phase": "", "standing": "", "regime": "undefined", "may_order": True, "fine": fine, "zones": zones or []})
-    lv = pd.DataFrame([{"range_id": "r", "level": n, "price": p, "quality": 0.5, "valid_pos": v} for n, p, v in levels])
-    return backtest._Run(lv, c).run(made)
+        fine = [(at(j, 0.25), *map(float, path[j])) for j in range(i, min(i + 4, len(path)))]
+        made.append(("X", i // 4, at(i // 4, 1), fine[-1][4], 1.0, 2.0, 20.0, False, 50.0, "", "", "undefined", fine, zones or []))
+    bars_ = spark.createDataFrame(made, "symbol string, pos long, ts timestamp, close double, atr double, impulse double, adx double, squeeze boolean, stochastic double, ttm_phase string, standing string, regime string, fine array<struct<ts:timestamp,open:double,high:double,low:double,close:double>>, zones array<double>")
+    lv = spark.createDataFrame([("X", "r", n, p, 0.5, at(v, 1)) for n, p, v in levels], "symbol string, range_id string, level string, price double, quality double, valid_from timestamp")
+    return [r.asDict() for r in backtest.simulate(bars_, lv, c).orderBy("seq").collect()]
 
 
 FLAT = [(105, 105.2, 104.8, 105)] * 4
 
 
-def test_stop_wins_over_target_in_one_bar():
+def test_stop_wins_over_target_in_one_bar(spark):
     path = FLAT + [(104, 104.5, 99.9, 100.2), (100, 120, 90, 100)] + FLAT
-    t = _trade(path, [("poc", 100.0, 0)])
+    t = _trade(spark, path, [("poc", 100.0, 0)])
     assert len(t) == 1 and t[0]["exit_reason"] == "stop" and abs(t[0]["pnl_r"] + 1) < 1e-9 and t[0]["bars"] == 1
 
 
-def test_a_gap_through_the_stop_costs_more():
+def test_a_gap_through_the_stop_costs_more(spark):
     path = FLAT + [(104, 104.5, 99.9, 100.2), (95, 96, 94, 95), *FLAT[:2]]
-    assert abs(_trade(path, [("poc", 100.0, 0)])[0]["pnl_pct"] + 0.05) < 1e-9
+    assert abs(_trade(spark, path, [("poc", 100.0, 0)])[0]["pnl_pct"] + 0.05) < 1e-9
 
 
-def test_level_is_not_filled_before_it_is_valid_nor_twice_in_the_cooldown():
+def test_level_is_not_filled_before_it_is_valid_nor_twice_in_the_cooldown(spark):
     dip = [(104, 104.5, 99.9, 104), (104, 104, 104, 104), (104, 104, 98, 104), (104, 104, 104, 105)]
-    assert _trade(FLAT + dip + FLAT, [("poc", 100.0, 3)]) == []
-    assert len(_trade(FLAT + dip + dip + FLAT, [("poc", 100.0, 0)])) == 1
-    assert len(_trade(FLAT + dip + dip + FLAT, [("poc", 100.0, 0)], cooldown=1)) == 2
+    assert _trade(spark, FLAT + dip + FLAT, [("poc", 100.0, 3)]) == []
+    assert len(_trade(spark, FLAT + dip + dip + FLAT, [("poc", 100.0, 0)])) == 1
+    assert len(_trade(spark, FLAT + dip + dip + FLAT, [("poc", 100.0, 0)], cooldown=1)) == 2
 
 
-def test_targets_break_even_and_end():
+def test_targets_break_even_and_end(spark):
     rise = [(101, 101.2, 100.5, 101), (102, 102.5, 101, 102), (103, 103.5, 102.5, 103), (103, 103, 102.8, 103)]
     path = FLAT + [(104, 104.5, 99.9, 100.2), (100.2, 100.4, 100.1, 100.3)] + [(100.3, 100.4, 100.1, 100.3)] * 2 + rise + [(103, 103, 99, 99)] * 4
-    t = _trade(path, [("poc", 100.0, 0)], zones=[101.0, 102.0, 110.0], first_target_max_atr=None)[0]
+    t = _trade(spark, path, [("poc", 100.0, 0)], zones=[101.0, 102.0, 110.0], first_target_max_atr=None)[0]
     assert t["targets_reached"] == 2 and t["exit_reason"] == "break_even" and t["pnl_pct"] > 0
-    t = _trade(FLAT + [(104, 104.5, 99.9, 100.2)] + [(100.2, 100.4, 100.1, 100.3)] * 3, [("poc", 100.0, 0)])[0]
+    t = _trade(spark, FLAT + [(104, 104.5, 99.9, 100.2)] + [(100.2, 100.4, 100.1, 100.3)] * 3, [("poc", 100.0, 0)])[0]
     assert t["exit_reason"] == "end_of_data"
 
 
-def test_exit_plan_fallback_cap_and_missing_share():
-    c = BacktestConfig()
-    t, s, stop, fallback = backtest.exit_plan(100.0, 1, np.array([]), 1.0, c)
-    assert fallback and stop == 98.5 and np.allclose(t, [105, 110.25, 115.7625]) and s == [0.3333, 0.3333, 0.3334]
-    t, s, stop, fallback = backtest.exit_plan(100.0, 1, np.array([103.0, 120.0]), 1.0, c)
-    assert not fallback and np.allclose(t, [101.0, 108.15]) and np.allclose(s, [0.3333, 0.6667])
+def _plan(spark, entry, side, grid, atr, **settings):
+    df = spark.createDataFrame([(entry, side, grid, atr)], "e double, s int, g array<double>, a double")
+    return df.select(backtest.exit_plan(*(F.col(x) for x in "esga"), BacktestConfig(**settings)).alias("p")).first().p
+
+
+@pytest.mark.parametrize(("entry", "side", "grid", "settings", "targets", "shares", "stop", "fallback"), [
+    (100.0, 1, [], {}, [105, 110.25, 115.7625], [0.3333, 0.3333, 0.3334], 98.5, True),
+    (100.0, -1, [], {"fallback_ladder": False, "fallback_stop_is_atr": False}, [95], [1.0], 102.0, True),
+    (100.0, 1, [103.0, 120.0], {}, [101.0, 108.15], [0.3333, 0.6667], 98.5, False),
+    (100.0, -1, [97.0], {}, [99.0, 95.0], [0.3333, 0.6667], 101.5, False),
+    (100.0, 1, [100.6, 104.9], {"first_target_beyond_stop": False, "first_target_max_atr": None, "max_target_distance": None}, [100.6, 104.9], [0.3333, 0.6667], 98.5, False),
+    (100.0, 1, [103.0, 110.0, 130.0], {"max_target_r": 3.0, "first_target_max_atr": None, "max_target_distance": None}, [103.0, 104.5], [0.3333, 0.6667], 98.5, False),
+    (100.0, 1, [120.0], {"cap_from_entry": True, "first_target_max_atr": None}, [105.0], [1.0], 98.5, False),
+    (100.0, 1, [103.0], {"targets_in_r": (1.0, 2.0)}, [101.5, 103.0], [0.3333, 0.3333], 98.5, False),
+    (100.0, 1, [103.0], {"first_target_max_atr": None, "first_target_max_pct": 0.02}, [102.0, 105.0], [0.3333, 0.6667], 98.5, False),
+])
+def test_each_rule_of_the_exit_plan(spark, entry, side, grid, settings, targets, shares, stop, fallback):
+    p = _plan(spark, entry, side, grid, 1.0, **settings)
+    assert np.allclose(p.targets, targets) and np.allclose(p.shares, shares) and abs(p.stop - stop) < 1e-9 and p.fallback == fallback
+
+
+def test_timeout_rejection_and_note(spark):
+    dip = [(104, 104.5, 99.9, 100.2), (100.2, 100.4, 100.1, 100.3), (100.3, 100.4, 100.1, 100.3), (100.3, 100.4, 100.1, 100.3)]
+    t = _trade(spark, FLAT + dip + dip[1:] * 4, [("poc", 100.0, 0)], timeout_bars=1, first_target_max_atr=None)[0]
+    assert t["exit_reason"] == "timeout" and t["bars"] == 4
+    assert _trade(spark, FLAT + dip + FLAT, [("poc", 100.0, 0)], min_rejection=0.5) == []
+    t = _trade(spark, FLAT + dip + FLAT, [("poc", 100.0, 0)], min_rejection=0.05)[0]
+    assert t["entry"] == 100.2 and abs(t["initial_stop"] - 99.2) < 1e-9
+    assert _trade(spark, FLAT + dip + FLAT, [("poc", 100.0, 0)], min_note=0.9) == []
+    assert t["confluence"] == 1 and 0 < t["quality"] < 1
 
 
 def test_target_picking(spark):
@@ -231,7 +261,7 @@ def test_equal_levels_and_bars_give_equal_trades_in_spark(spark):
     fine = bars(spark, [c for c in x for _ in range(4)], hours=1)
     coarse = candles.resample(fine, 4 * 3600)
     c = BacktestConfig(max_adx=None, avoid_squeeze=False, min_impulse=None)
-    decided = backtest.decision_bars(backtest.features(coarse, c), fine, 4 * 3600, None, c)
+    decided = backtest.decision_bars(backtest.features(coarse, c), fine, 4 * 3600)
     levels = spark.createDataFrame([("X", "r", "poc", 100.0, 0.5, at(20)), ("X", "r", "val", 98.0, 0.5, at(20))], "symbol string, range_id string, level string, price double, quality double, valid_from timestamp")
     two = levels.withColumn("scenario", F.explode(F.array(F.lit("a"), F.lit("b"))))
     got = backtest.simulate(decided, two, c).toPandas().drop(columns="scenario")
