@@ -505,19 +505,100 @@ def r01(spark, d):
     return ranges.prefilter_share(v.walk(spark, d), 60)
 
 
-@query("r12_detected_ranges")
+def _range_sql() -> str:
+    """Range detection as SQL: all candidates of all windows at once, then the
+    chain of those that may follow each other."""
+    c = DETECTION
+    lines, calms = [], []
+    for i, w in enumerate(c.windows):
+        n, edge = w.bars, c.edge_bars(w.bars)
+        lines.append(f"""SELECT {i} AS place, {n} AS n, '{w.kind}' AS kind, {edge} AS edge, {c.touch_gap(n)} AS gap, {c.height_cap(n)!r}::DOUBLE AS cap, {int(n * c.min_duration_fraction)} AS least,
+          symbol, pos AS t, atr, regr_slope(close, pos) OVER f AS slope, regr_r2(close, pos) OVER f AS r2, count(*) OVER f AS full_n FROM b WINDOW f AS ({W} ROWS {n - 1} PRECEDING)""")
+        calms.append(f"SELECT {n} AS n, pos, coalesce(regr_r2(close, pos) OVER ({W} ROWS BETWEEN CURRENT ROW AND {edge - 1} FOLLOWING) < {c.max_r2}, true) AS calm FROM b")
+    piv = "count(*) OVER {0} = 3 AND count(*) OVER {1} = 3 AND close {2} {3}(close) OVER {0} AND close {2} {3}(close) OVER {1}"
+    share = f">= {c.min_containment}"
+
+    def side(name: str, sign: str) -> str:
+        """The outermost pivot price that two or more separate pivots come near."""
+        return f"""{name}_p AS (SELECT n, t, gap, cand.atr * {c.band_atr} AS band, p.pos, {sign} p.close AS v FROM cand JOIN b p ON p.pos BETWEEN t - n + 1 AND t - {c.pivot_bars} AND p.pivot_{name}),
+        {name}_l AS (SELECT x.n, x.t, x.v, any_value(x.gap) AS gap, list(y.pos ORDER BY y.pos) AS places FROM (SELECT DISTINCT n, t, gap, band, v FROM {name}_p) x JOIN {name}_p y ON x.n = y.n AND x.t = y.t AND y.v <= x.v AND y.v >= x.v - x.band GROUP BY x.n, x.t, x.v),
+        {name}_s AS (SELECT n, t, {sign} max(v) AS v, arg_max(list_reduce(list_transform(places, lambda q: {{'k': 1, 'q': q}}), lambda m, q: CASE WHEN q.q - m.q >= gap THEN {{'k': m.k + 1, 'q': q.q}} ELSE m END).k, v) AS touches
+          FROM {name}_l WHERE places[-1] - places[1] >= gap GROUP BY n, t)"""
+
+    def changes(name: str, marks: str) -> str:
+        return f"""{name}_m AS (SELECT n, t, pos, {marks} AS m FROM win), {name}_c AS (SELECT n, t, m, lag(m) OVER (PARTITION BY n, t ORDER BY pos) AS before FROM {name}_m WHERE m <> 0),
+        {name} AS (SELECT n, t, count(*) FILTER (m <> before) AS {name} FROM {name}_c GROUP BY n, t)"""
+
+    return _walk(
+        f"t0 AS (SELECT *, {TR} AS tr, (row_number() OVER ({W}) - 1)::DOUBLE AS pos FROM walk)",
+        f"b AS (SELECT *, {_full('avg(tr)', 'tr', c.atr_period)} AS atr, coalesce({piv.format('l', 'r', '>', 'max')}, false) AS pivot_high, coalesce({piv.format('l', 'r', '<', 'min')}, false) AS pivot_low FROM t0"
+        f" WINDOW l AS ({W} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), r AS ({W} ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING))",
+        "calm AS (" + " UNION ALL ".join(calms) + ")", "lines AS (" + " UNION ALL ".join(lines) + ")", f"cand AS MATERIALIZED (SELECT * FROM lines WHERE full_n = n AND r2 < {c.max_r2} AND atr > 0)", side("high", ""), side("low", "-"),
+        "rect AS MATERIALIZED (SELECT cand.*, h.v AS ceiling, l.v AS floor, h.touches AS touches_ceiling, l.touches AS touches_floor, h.v - l.v AS height FROM cand JOIN high_s h USING (n, t) JOIN low_s l USING (n, t) WHERE h.v > l.v)",
+        "win AS MATERIALIZED (SELECT n, t, pos, close, ceiling, floor, height, CASE WHEN close BETWEEN floor AND ceiling THEN 0 ELSE 1 END AS o FROM rect JOIN b ON pos BETWEEN t - n + 1 AND t)",
+        f"runs AS (SELECT n, t, sum(o) OVER (PARTITION BY n, t ORDER BY pos ROWS {c.closes_outside - 1} PRECEDING) AS k FROM win)",
+        changes("crossings", "sign(close - (ceiling + floor) / 2)"), changes("trips", f"CASE WHEN close <= floor + {c.edge_band} * height THEN -1 WHEN close >= ceiling - {c.edge_band} * height THEN 1 ELSE 0 END"),
+        f"""good AS MATERIALIZED (SELECT rect.*, containment, crossings FROM rect JOIN (SELECT n, t, 1 - avg(o) AS containment FROM win GROUP BY n, t) USING (n, t) JOIN (SELECT n, t, max(k) AS longest FROM runs GROUP BY n, t) USING (n, t)
+          JOIN crossings USING (n, t) JOIN trips USING (n, t) WHERE height / atr <= cap AND height / floor <= {c.max_height_pct} AND containment {share} AND longest < {c.closes_outside} AND crossings >= {c.min_crossings}
+          AND trips >= {c.min_trips} + greatest(0, height / floor - {c.free_height_pct}) / {c.pct_per_trip} AND abs(slope) * n < {c.max_drift} * height)""",
+        "every AS MATERIALIZED (SELECT n, t, edge, pos, CASE WHEN close BETWEEN floor AND ceiling THEN 1 ELSE 0 END AS i FROM good JOIN b ON true)",
+        f"held AS MATERIALIZED (SELECT *, sum(i) OVER (PARTITION BY n, t ORDER BY pos) AS s, {c.closes_outside} = count(*) OVER k AND 0 = sum(i) OVER k AS broken FROM every WINDOW k AS (PARTITION BY n, t ORDER BY pos ROWS {c.closes_outside - 1} PRECEDING))",
+        "since AS (SELECT n, t, coalesce(max(pos) FILTER (broken AND pos <= t - n) + 1, 0) AS a FROM held GROUP BY n, t)",
+        f"upto AS (SELECT n, t, a, min(pos) FILTER (broken AND pos - {c.closes_outside - 1} >= a) AS confirmed, max(pos) AS last FROM held JOIN since USING (n, t) GROUP BY n, t, a)",
+        f"body AS MATERIALIZED (SELECT h.*, u.confirmed, max(h.pos) FILTER (i = 1) OVER (PARTITION BY n, t) AS z FROM held h JOIN upto u USING (n, t) WHERE h.pos BETWEEN a AND coalesce(confirmed - {c.closes_outside}, last))",
+        # shares of bars inside from running sums; x.s - x.i is the sum before a bar
+        f"first AS (SELECT x.n, x.t, min(x.pos) AS a2 FROM body x JOIN body y ON x.n = y.n AND x.t = y.t AND y.pos = x.z WHERE x.i = 1 AND (y.s - x.s + x.i) / (y.pos - x.pos + 1) {share} GROUP BY x.n, x.t)",
+        f"""head AS (SELECT x.n, x.t, min(x.pos) AS a3 FROM body x JOIN first f USING (n, t) JOIN body y ON x.n = y.n AND x.t = y.t AND y.pos = least(x.z, x.pos + x.edge - 1) JOIN calm ON calm.n = x.n AND calm.pos = x.pos
+          WHERE x.i = 1 AND x.pos BETWEEN a2 AND x.z AND (y.s - x.s + x.i) / (y.pos - x.pos + 1) {share} AND (calm OR x.pos + x.edge - 1 > x.z) GROUP BY x.n, x.t)""",
+        "begun AS (SELECT f.n, f.t, coalesce(a3, z) AS a3, z FROM first f JOIN (SELECT DISTINCT n, t, z FROM body) USING (n, t) LEFT JOIN head USING (n, t))",
+        f"""tail AS (SELECT x.n, x.t, max(x.pos) AS z2 FROM body x JOIN begun g USING (n, t) JOIN body y ON x.n = y.n AND x.t = y.t AND y.pos = greatest(a3, x.pos - x.edge + 1)
+          WHERE x.i = 1 AND x.pos BETWEEN a3 AND x.z AND (x.s - y.s + y.i) / (x.pos - y.pos + 1) {share} GROUP BY x.n, x.t)""",
+        "acc AS MATERIALIZED (SELECT g.*, a3, coalesce(z2, a3) AS z2, confirmed FROM good g JOIN begun USING (n, t) LEFT JOIN tail USING (n, t) JOIN upto USING (n, t) WHERE coalesce(z2, a3) - a3 + 1 >= least)",
+        "follow AS MATERIALIZED (SELECT x.n, x.t, min(y.t) AS nt FROM acc x JOIN acc y ON x.n = y.n AND x.confirmed IS NOT NULL AND y.t > greatest(x.t, x.confirmed) GROUP BY x.n, x.t)",
+        "chain AS (SELECT n, min(t) AS t FROM acc GROUP BY n UNION ALL SELECT c.n, f.nt FROM chain c JOIN follow f USING (n, t))",
+        "found AS (SELECT acc.*, CASE WHEN a3 > coalesce(max(z2) OVER (PARTITION BY n ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END AS opens FROM acc JOIN chain USING (n, t))",
+        f"""ranges AS MATERIALIZED (SELECT f.symbol, CAST(f.n AS INTEGER) AS "window", kind, epoch(p.ts)::BIGINT AS start_s, epoch(q.ts)::BIGINT AS end_s, epoch(d.ts)::BIGINT AS declared_at_s, epoch(k.ts)::DOUBLE AS confirmed_at_s, ceiling, floor,
+          (SELECT max(high) FROM b WHERE pos BETWEEN a3 AND z2) AS price_max, (SELECT min(low) FROM b WHERE pos BETWEEN a3 AND z2) AS price_min,
+          round(greatest(0, least(1, (1 - height / f.atr / cap + 1 - r2 / {c.max_r2} + (containment - {c.min_containment}) / {1 - c.min_containment!r}) / 3)), 3) AS quality, containment, height / f.atr AS height_atr, r2,
+          crossings::INTEGER AS crossings, touches_ceiling::INTEGER AS touches_ceiling, touches_floor::INTEGER AS touches_floor, confirmed IS NULL AS open_ended, CAST(sum(opens) OVER (ORDER BY place, t) - 1 AS INTEGER) AS overlap_group
+          FROM found f JOIN b p ON p.pos = a3 JOIN b q ON q.pos = z2 JOIN b d ON d.pos = t LEFT JOIN b k ON k.pos = confirmed)""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_RANGE_SQL = _range_sql()
+_RANGE_OUT = """symbol, "window", kind, start_s, end_s, declared_at_s, confirmed_at_s, round(ceiling, 6) AS ceiling, round(floor, 6) AS floor, round(price_max, 6) AS price_max, round(price_min, 6) AS price_min, quality, round(containment, 6) AS containment,
+  round(height_atr, 6) AS height_atr, round(r2, 6) AS r2, crossings, touches_ceiling, touches_floor, open_ended, overlap_group"""
+
+
+def _chosen_sql(rows: str, by: str) -> str:
+    """Greedy choice from ``rows`` in each group of ``by``, heaviest first, as a fold."""
+    return f""", ord AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY quality * (end_s - start_s) DESC, start_s DESC, end_s DESC, "window" DESC, declared_at_s DESC) AS rn FROM {rows}),
+  fold AS (SELECT {by}, 0::BIGINT AS rn, []::STRUCT(a BIGINT, z BIGINT)[] AS taken, false AS ok FROM ord WHERE rn = 1
+    UNION ALL SELECT {", ".join("o." + x for x in by.split(", "))}, o.rn, CASE WHEN ok THEN list_append(p.taken, {{'a': o.start_s, 'z': o.end_s}}) ELSE p.taken END, ok
+    FROM (SELECT f.* EXCLUDE (ok), o.rn AS orn, len(list_filter(f.taken, lambda x: (least(x.z, o.end_s) - greatest(x.a, o.start_s)) / (greatest(x.z, o.end_s) - least(x.a, o.start_s)) > {DETECTION.max_overlap})) = 0 AS ok FROM fold f JOIN ord o USING ({by}) WHERE o.rn = f.rn + 1) p
+    JOIN ord o USING ({by}) WHERE o.rn = p.orn)
+  SELECT {_RANGE_OUT} FROM ord JOIN fold USING ({by}, rn) WHERE fold.ok"""
+
+
+def _ranges_shown(df: DataFrame) -> DataFrame:
+    shown = seconds(df, "start", "end", "declared_at", "confirmed_at")
+    return rounded(shown.withColumn("confirmed_at_s", F.col("confirmed_at_s").cast("double")))  # null while the range is open
+
+
+@query("r12_detected_ranges", _RANGE_SQL + f"SELECT {_RANGE_OUT} FROM ranges")
 def r12(spark, d):
-    return rounded(_ranges(spark, d))
+    return _ranges_shown(ranges.detect(v.walk(spark, d), DETECTION))
 
 
-@query("r13_selected_ranges")
+@query("r13_selected_ranges", _RANGE_SQL[:-1] + _chosen_sql("ranges", "kind"))
 def r13(spark, d):
-    return rounded(ranges.select(_ranges(spark, d), DETECTION))
+    return _ranges_shown(ranges.select(_ranges(spark, d), DETECTION))
 
 
-@query("r14_causal_ranges")
+@query("r14_causal_ranges", _RANGE_SQL[:-1] + """, known AS (SELECT m.moment, r.* FROM (SELECT DISTINCT kind, confirmed_at_s AS moment FROM ranges WHERE confirmed_at_s IS NOT NULL) m JOIN ranges r ON r.kind = m.kind AND r.confirmed_at_s <= m.moment)"""
+       + _chosen_sql("known", "kind, moment") + " AND moment = confirmed_at_s")
 def r14(spark, d):
-    return rounded(ranges.select_causally(_ranges(spark, d), DETECTION))
+    return _ranges_shown(ranges.select_causally(_ranges(spark, d), DETECTION))
 
 
 def range_levels(spark: SparkSession, d: str, causal: bool = False) -> DataFrame:

@@ -236,7 +236,7 @@ def test_timeout_rejection_and_note(spark):
     t = _trade(spark, FLAT + dip + dip[1:] * 4, [("poc", 100.0, 0)], timeout_bars=1, first_target_max_atr=None)[0]
     assert t["exit_reason"] == "timeout" and t["bars"] == 4
     assert _trade(spark, FLAT + dip + FLAT, [("poc", 100.0, 0)], min_rejection=0.5) == []
-    t = _trade(spark, FLAT + dip + FLAT, [("poc", 100.0, 0)], min_rejection=0.05)[0]
+    t = _trade(spark, FLAT + dip + FLAT, [("poc", 100.0, 0)], min_rejection=0.04)[0]
     assert t["entry"] == 100.2 and abs(t["initial_stop"] - 99.2) < 1e-9
     assert _trade(spark, FLAT + dip + FLAT, [("poc", 100.0, 0)], min_note=0.9) == []
     assert t["confluence"] == 1 and 0 < t["quality"] < 1
