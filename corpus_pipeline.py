@@ -21,13 +21,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and so do those of which no language has 40 % of the letters; letters of
     scripts that were not learned count for none.  That language's words must be
     about as likely as in labelled documents: other languages and junk go.
+    Null identifiers and languages are nothing special, repeated rows stay or go
+    together, an empty table gives an empty one.
     """
     model = langid.train(learnable_languages(docs), floors=True)
     return langid.accepted(docs, model)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of equal texts, the largest ``doc_id``."""
+    """Keeps one document of each group of equal texts, the largest ``doc_id``.
+
+    Null text is an empty text; a null identifier loses to any other.  Of rows
+    with one identifier and equal text the one with the least hash of all its
+    columns stays.  An empty table gives an empty one.
+    """
     return exact_dedup.deduplicated(docs)
 
 
@@ -35,18 +42,29 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Keeps one document of each near-duplicate group, the smallest ``doc_id``.
 
     Links from a Jaccard similarity of 0.80 on; 48 bands of 6 miss a pair at
-    0.80 with probability ``(1 - 0.8 ** 6) ** 48`` = 5e-7.
+    0.80 with probability ``(1 - 0.8 ** 6) ** 48`` = 5e-7.  Null, empty or blank
+    texts are linked with nothing and stay; rows without identifier go if their
+    group has a named row; repeated rows share their fate; an empty table gives
+    an empty one.
     """
     return neardup.without_near_duplicates(docs, neardup.NearDupParams(percent=80, bands=48))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents by probabilities raked to the target marginals."""
+    """Samples documents by probabilities raked to the target marginals.
+
+    Null sources and languages are the level ``unknown``; null and empty texts
+    hold no tokens and take their cell's probability; rows that repeat an
+    identifier share its draw, as all null identifiers do; an empty table gives
+    an empty one.
+    """
     return mixing.sampled(docs, mixing.MixParams(targets={"lang": LANG_TARGETS}))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document: ``doc_id, n_tokens, ids``."""
+    """Token ids of each document: ``doc_id, n_tokens, ids``.  Null and empty
+    texts have none, repeated rows are encoded each, null identifiers pass
+    through, an empty table gives an empty one."""
     import public_tokenizers
 
     return spm.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
