@@ -405,7 +405,9 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = No
     model.innocent = frozenset(f for f in good if good[f] * share > bad[f])
     if model.innocent:
         seen = rows.mapInPandas(measure, "toxic int, forms array<string>, x array<double>").toPandas()
-    model.weights = fit_logistic(np.stack(seen["x"]), seen["toxic"].to_numpy(), p.ridge)
+    x, y = np.stack(seen["x"]), seen["toxic"].to_numpy()
+    order = np.lexsort((y, *x.T))  # sums come out the same whatever order tasks end in
+    model.weights = fit_logistic(x[order], y[order], p.ridge)
     return model
 
 
