@@ -31,7 +31,10 @@ class MixParams:
     ``tolerance``: raking goes on until every marginal is as close as that to
     its target; then the budget is lowered, if it must be, to the largest one
     that no cell needs a probability above 1 for, so that the sample's expected
-    shares are the targets.  Targets that cannot be reached are warned of.
+    shares are the targets.  Targets that cannot be reached are warned of, and
+    so is a lowered budget.  The level that is lifted most sets it: where
+    ``temper`` lifts a level ten times, a tenth of the tokens is sampled at most;
+    1 keeps the shares of dimensions without targets.
     ``rounds``: with ``tolerance=None``, raking takes just so many rounds, and
     probabilities are cut off at 1 whatever the shares become.
     ``budget``: share of all tokens to sample.  ``seed``: changes the draw."""
@@ -145,8 +148,11 @@ def mix(docs: DataFrame, params: MixParams | None = None, id_col: str = "doc_id"
     all_tokens = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
     asked = F.try_divide(F.lit(p.budget) * all_tokens * F.col("weight"), F.col("tokens"))
     if p.tolerance is not None:
-        highest = F.lit(p.budget) * all_tokens * F.max(F.try_divide("weight", "tokens")).over(Window.partitionBy(F.lit(1)))
-        asked = asked / F.greatest(F.lit(1.0), highest)
+        # one number over the written cells
+        highest = raked.agg(F.lit(p.budget) * F.sum("tokens") * F.max(F.try_divide("weight", "tokens"))).first()[0] or 0.0
+        if highest > 1 + p.tolerance:
+            warnings.warn(f"the budget is lowered from {p.budget:.3g} to {p.budget / highest:.3g} of all tokens, or a cell would need a probability of {highest:.3g}", stacklevel=2)
+        asked = asked / max(1.0, highest)
     odds = F.round(F.least(F.lit(1.0), F.coalesce(asked, F.lit(0.0))), 6)
     cells = raked.select(*DIMS, odds.alias("probability"))
     # cells are bounded by the product of the level counts; Spark broadcasts

@@ -93,10 +93,21 @@ def test_samples_have_the_target_shares(spark):
     assert all(abs(shares[k] - v) < 1e-4 for k, v in targets.items()) and 0 < budget <= 0.8
 
 
+def test_a_rare_topic_does_not_set_what_the_stage_samples(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.measured(docs).groupBy("lang").agg(F.sum("tokens").alias("t")).collect()
+    total = sum(r.t for r in rows)
+    # what the languages' targets alone allow
+    most = min([0.8] + [r.t / total / corpus_pipeline.LANG_TARGETS[r.lang] for r in rows])
+    kept = mixing.measured(corpus_pipeline.mix_sources(spark, docs, "")).agg(F.sum("tokens")).first()[0] / total
+    assert kept > 0.7 * most  # small cells of three crossed dimensions cost the rest
+
+
 def test_a_rare_level_raised_severalfold_gets_its_share(spark):
     rows = [(i, "w " * 50, "de" if i % 20 == 0 else "en", "big" if i % 3 == 0 else f"s{i % 7}") for i in range(1200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    got = mixing.mix(docs, mixing.MixParams(targets={"lang": {"de": 0.3, "en": 0.7}}))
+    with pytest.warns(UserWarning, match="budget is lowered"):
+        got = mixing.mix(docs, mixing.MixParams(targets={"lang": {"de": 0.3, "en": 0.7}}))
     assert got.agg(F.max("probability")).first()[0] <= 1
     assert abs(expected_shares(got, "lang")[0]["de"] - 0.3) < 1e-4
 
