@@ -53,12 +53,14 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples documents by probabilities raked to the target marginals.
 
+    Languages have targets; sources and topics keep their shares, as no rare one
+    of them should set how much can be sampled of all (see ``MixParams``).
     Null sources and languages are the level ``unknown``; null and empty texts
     hold no tokens and take their cell's probability; rows that repeat an
     identifier share its draw, as all null identifiers do; an empty table gives
     an empty one.
     """
-    return mixing.sampled(docs, mixing.MixParams(targets={"lang": LANG_TARGETS}))
+    return mixing.sampled(docs, mixing.MixParams(targets={"lang": LANG_TARGETS}, temper=1.0))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
