@@ -10,8 +10,8 @@ from ..schema import require_columns
 from .asof import positions
 from .indicators import KEY, series
 
-#: Bars per block.
-BLOCK = 256
+#: Bars per block, and blocks per span.
+BLOCK, SPAN = 256, 64
 
 
 def detect(candles: DataFrame, seconds: int) -> DataFrame:
@@ -33,17 +33,17 @@ def evolution(gaps: DataFrame, candles: DataFrame) -> DataFrame:
     edge, alive``.  Wicks erode the edge; the gap dies in the bar that takes
     it to the far side, which is its last row here.
 
-    A gap first meets blocks of ``BLOCK`` bars by their extremes, up to the
-    block that fills it, and then only the bars of those blocks.
+    A gap first meets spans of ``SPAN`` blocks by their extremes, up to the one
+    that fills it, then the blocks of ``BLOCK`` bars of those spans, and then
+    only the bars of those blocks.
     """
     bars = positions(candles.select(KEY, "ts", "high", "low")).withColumn("block", F.floor(F.col("pos") / BLOCK)).drop("pos")
     blocks = bars.groupBy(KEY, "block").agg(F.min("ts").alias("since"), F.max("ts").alias("until"), F.min("low").alias("least"), F.max("high").alias("most"))
-    met = gaps.join(blocks, KEY).where(F.col("until") >= F.col("confirmed_at"))
-    fills = F.when(F.col("kind") == "bullish", F.col("least") <= F.col("bottom")).otherwise(F.col("most") >= F.col("top"))
-    earlier = Window.partitionBy("gap_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    # a block that begins before the gap is known decides nothing
-    filled = F.sum((fills & (F.col("since") >= F.col("confirmed_at"))).cast("int")).over(earlier)
-    near = met.withColumn("filled", F.coalesce(filled, F.lit(0))).where("filled = 0").select(KEY, "block", *[c for c in gaps.columns if c != KEY])
+    blocks = blocks.withColumn("span", F.floor(F.col("block") / SPAN))
+    spans = blocks.groupBy(KEY, "span").agg(F.min("since").alias("since"), F.max("until").alias("until"), F.min("least").alias("least"), F.max("most").alias("most"))
+    own = [c for c in gaps.columns if c != KEY]
+    wide = _until_filled(gaps.join(spans, KEY), "span").select(KEY, "span", *own)
+    near = _until_filled(wide.join(blocks, [KEY, "span"]), "block").select(KEY, "block", *own)
     later = near.join(bars, [KEY, "block"]).where(F.col("ts") >= F.col("confirmed_at"))
     path = Window.partitionBy("gap_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     bull = F.col("kind") == "bullish"
@@ -56,6 +56,16 @@ def evolution(gaps: DataFrame, candles: DataFrame) -> DataFrame:
     return df.select(KEY, "gap_id", "kind", "top", "bottom", "confirmed_at", "ts", "edge", (~F.col("spent")).alias("alive"))
 
 
+def _until_filled(met: DataFrame, unit: str) -> DataFrame:
+    """Of gaps and the stretches of bars they meet (``unit``, with ``since,
+    until, least, most``) those up to the stretch that fills the gap; one that
+    begins before the gap is known decides nothing."""
+    fills = F.when(F.col("kind") == "bullish", F.col("least") <= F.col("bottom")).otherwise(F.col("most") >= F.col("top"))
+    earlier = Window.partitionBy("gap_id").orderBy(unit).rowsBetween(Window.unboundedPreceding, -1)
+    filled = F.sum((fills & (F.col("since") >= F.col("confirmed_at"))).cast("int")).over(earlier)
+    return met.where(F.col("until") >= F.col("confirmed_at")).withColumn("filled", F.coalesce(filled, F.lit(0))).where("filled = 0")
+
+
 def target_points(gaps: DataFrame, candles: DataFrame) -> DataFrame:
     """``symbol, gap_id, ts, edge, mid`` of every bar at which a gap is alive;
     ``mid`` is half-way from the edge to the fixed side."""

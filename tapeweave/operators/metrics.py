@@ -6,15 +6,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Trades per block of a running peak.
-BLOCK = 4096
+#: Trades per block of a running peak; ranges of values of a quantile.
+BLOCK, MARKS = 4096, 64
+
+
+def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], by: tuple[str, ...] = ()) -> DataFrame:
+    """Exact interpolated quantiles, ``wanted`` as ``{name: (column, share)}``,
+    per group of ``by`` (without it, one row).  Nulls don't count; a quantile of
+    nothing is null; null is a group of its own.
+
+    Values are counted, then dealt in ``MARKS`` ranges of about as many distinct
+    ones; only the ranges that hold the wanted ranks are sorted.  Marks and ranges
+    are one or two rows a quantile: without ``by`` they are broadcast, with it
+    adaptive execution does so or splits a hot group's join.
+    """
+    few = (lambda df: df) if by else F.broadcast
+    group, share = ["__group", "__name"], F.element_at(F.create_map(*[F.lit(x) for name, (_, q) in wanted.items() for x in (name, float(q))]), F.col("__name"))
+    one_of = F.explode(F.array(*[F.struct(F.lit(name).alias("__name"), F.col(c).cast("double").alias("__value")) for name, (c, _) in wanted.items()]))
+    # as a struct, a null group meets itself in joins
+    rows = df.select(F.struct(F.lit(0).alias("__0"), *by).alias("__group"), one_of.alias("__x")).select("__group", "__x.*")
+    given = rows.where("__value IS NOT NULL")
+    counted = given.groupBy(*group, "__value").agg(F.count("*").alias("__n"))
+    marks = counted.groupBy(*group).agg(F.percentile_approx("__value", F.array(*[F.lit(k / MARKS) for k in range(1, MARKS)]), F.lit(10 * MARKS)).alias("__marks"))
+    dealt = counted.join(few(marks), group).select(*group, "__value", "__n", F.size(F.filter("__marks", lambda m: m < F.col("__value"))).alias("__range"))
+    before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy(*group, "__range").agg(F.sum("__n").alias("__size")).withColumns({
+        "__before": F.coalesce(F.sum("__size").over(before), F.lit(0)), "__at": share * (F.sum("__size").over(Window.partitionBy(*group)) - 1),
+    })
+    holds = lambda rank: (F.col("__before") <= rank) & (rank < F.col("__before") + F.col("__size"))
+    low, high = F.floor("__at"), F.ceil("__at")
+    inner = Window.partitionBy(*group, "__range").orderBy("__value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = dealt.join(few(ranges.where(holds(low) | holds(high))), [*group, "__range"]).withColumn("__upto", F.col("__before") + F.sum("__n").over(inner))
+    least = lambda rank: F.min(F.when(F.col("__upto") > rank, F.col("__value")))
+    ends = ranked.groupBy(*group, "__at").agg(least(low).alias("__a"), least(high).alias("__b"))
+    value = F.col("__a") + F.when(F.col("__b") > F.col("__a"), (F.col("__b") - F.col("__a")) * (F.col("__at") - low)).otherwise(0.0)
+    found = ends.select(*group, value.alias("__q"))
+    if by:
+        found = found.unionByName(rows.select("__group").distinct(), allowMissingColumns=True)
+    return found.groupBy(*(["__group"] if by else [])).agg(*[F.max(F.when(F.col("__name") == name, F.col("__q"))).alias(name) for name in wanted]).select(*[F.col("__group").getField(b).alias(b) for b in by], *wanted)
 
 
 def summary(trades: DataFrame, capital: float, by: tuple[str, ...] = (), hours_per_bar: float = 0.25) -> DataFrame:
     """One row (per group of ``by``): count, win rate, total return, mean, median
     and total R, profit factor (infinite without losses), deepest drawdown of
     the capital in closing order (``seq``), mean adverse and favourable move,
-    median duration.  Without ``by``, no trades give the defaults."""
+    median duration.  Without ``by``, no trades give the defaults and medians
+    are spread (see ``quantiles``); with it, a group's values meet for them."""
     # the running peak in two levels: inside blocks of trades, and over blocks
     rows = trades.withColumn("__b", F.floor(F.col("seq") / BLOCK))
     inner = Window.partitionBy(*by, "__b").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
@@ -24,14 +61,19 @@ def summary(trades: DataFrame, capital: float, by: tuple[str, ...] = (), hours_p
     rows = rows.join(heads, [*by, "__b"]).withColumn("__dd", F.least(F.lit(0.0), (F.col("capital_after") - peak) / peak))
     gain, loss = F.sum(F.when(F.col("pnl_pct") > 0, F.col("pnl_pct"))), F.sum(F.when(F.col("pnl_pct") < 0, -F.col("pnl_pct")))
     n = F.count("*")
-    return rows.groupBy(*by).agg(
+    out = rows.groupBy(*by).agg(
         n.alias("n_trades"), F.avg((F.col("pnl_pct") > 0).cast("double")).alias("win_rate"),
-        F.coalesce(F.max_by("capital_after", "seq") / capital - 1, F.lit(0.0)).alias("total_return"), F.avg("pnl_r").alias("mean_r"), F.median("pnl_r").alias("median_r"),
+        F.coalesce(F.max_by("capital_after", "seq") / capital - 1, F.lit(0.0)).alias("total_return"), F.avg("pnl_r").alias("mean_r"), *([F.median("pnl_r").alias("median_r")] if by else []),
         F.coalesce(F.sum("pnl_r"), F.lit(0.0)).alias("total_r"),
         F.when(n > 0, F.when(loss > 0, F.coalesce(gain, F.lit(0.0)) / loss).otherwise(F.lit(float("inf")))).alias("profit_factor"),
         F.coalesce(F.min("__dd"), F.lit(0.0)).alias("max_drawdown"), F.avg("mae_pct").alias("mean_mae"), F.avg("mfe_pct").alias("mean_mfe"),
-        (F.median("bars") * hours_per_bar).alias("median_hours"),
+        *([(F.median("bars") * hours_per_bar).alias("median_hours")] if by else []),
     )
+    if by:
+        return out
+    middle = quantiles(trades, {"median_r": ("pnl_r", 0.5), "__bars": ("bars", 0.5)})  # one row
+    out = out.join(F.broadcast(middle)).withColumn("median_hours", F.col("__bars") * hours_per_bar)
+    return out.select("n_trades", "win_rate", "total_return", "mean_r", "median_r", "total_r", "profit_factor", "max_drawdown", "mean_mae", "mean_mfe", "median_hours")
 
 
 def breakdown(trades: DataFrame, *by: str) -> DataFrame:

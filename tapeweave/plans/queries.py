@@ -772,7 +772,9 @@ def a04(spark, d):
 
 @query("a06_group_median", f"WITH {SQL_TRADES} SELECT level, count(*) AS n, round(median(bars), 6) AS median_bars, round(median(pnl_r), 6) AS median_r FROM trades GROUP BY level")
 def a06(spark, d):
-    return rounded(v.trades(spark, d).groupBy("level").agg(F.count("*").alias("n"), F.median("bars").alias("median_bars"), F.median("pnl_r").alias("median_r")))
+    t = v.trades(spark, d)
+    middle = metrics.quantiles(t, {"median_bars": ("bars", 0.5), "median_r": ("pnl_r", 0.5)}, ("level",))
+    return rounded(t.groupBy("level").agg(F.count("*").alias("n")).join(middle, "level"))
 
 
 @query("a08_threshold_shares", f"WITH {SQL_TRADES} SELECT " + ", ".join(f"round(avg(CASE WHEN mfe_atr / 1.5 >= {m} THEN 1.0::DOUBLE ELSE 0 END), 6) AS reached_{str(m).replace('.', '_')}" for m in (0.5, 1, 1.5, 2, 3)) + " FROM trades")
@@ -809,7 +811,8 @@ def a14(spark, d):
 
 @query("a19_quantile_threshold", f"WITH {SQL_TRADES} SELECT round(quantile_cont(pnl_r, 0.7), 6) AS threshold, CAST(count(DISTINCT level) AS BIGINT) AS n_levels FROM trades")
 def a19(spark, d):
-    return rounded(v.trades(spark, d).agg(F.percentile("pnl_r", F.lit(0.7)).alias("threshold"), F.count_distinct("level").alias("n_levels")))
+    t = v.trades(spark, d)
+    return rounded(metrics.quantiles(t, {"threshold": ("pnl_r", 0.7)}).join(F.broadcast(t.agg(F.count_distinct("level").alias("n_levels")))))  # one row each
 
 
 # signals

@@ -268,3 +268,36 @@ def test_equal_levels_and_bars_give_equal_trades_in_spark(spark):
     assert len(got) > 2 and (got.entry_ts >= pd.Timestamp(at(20))).all()
     assert len(got.drop_duplicates()) * 2 == len(got)
     assert backtest.simulate(decided, levels.limit(0), c).count() == 0
+
+
+def test_quantiles_equal_numpy_with_ties_nulls_and_a_null_group(spark):
+    rng = np.random.default_rng(5)
+    values = {"a": rng.normal(size=3001), "b": rng.integers(0, 3, 700).astype(float), None: np.array([2.0, 1.0]), "one": np.array([4.0])}
+    data = [(g, float(x)) for g, xs in values.items() for x in xs] + [("none", None), ("a", None)]
+    df = spark.createDataFrame(data, "g string, x double").repartition(5)
+    got = {r.g: r for r in metrics.quantiles(df, {"mid": ("x", 0.5), "high": ("x", 0.7), "most": ("x", 1.0)}, ("g",)).collect()}
+    assert set(got) == {*values, "none"} and got["none"].mid is None
+    for g, xs in values.items():
+        assert np.allclose([got[g].mid, got[g].high, got[g].most], np.quantile(xs, [0.5, 0.7, 1.0]), atol=1e-12)
+    whole = metrics.quantiles(df, {"mid": ("x", 0.5)}).collect()
+    assert len(whole) == 1 and abs(whole[0].mid - np.median(np.concatenate(list(values.values())))) < 1e-12
+    assert [r.mid for r in metrics.quantiles(df.limit(0), {"mid": ("x", 0.5)}).collect()] == [None]
+
+
+def test_gaps_over_many_spans_equal_a_bar_by_bar_version(spark, monkeypatch):
+    monkeypatch.setattr(gaps, "BLOCK", 3)
+    monkeypatch.setattr(gaps, "SPAN", 4)
+    rng = np.random.default_rng(2)
+    c = bars(spark, list(100 + np.cumsum(rng.normal(size=150))), wick=0.3)
+    g = gaps.detect(c, 4 * 3600)
+    want, series = set(), c.orderBy("ts").collect()
+    for gap in g.collect():
+        edge = gap.top if gap.kind == "bullish" else gap.bottom
+        for bar in (b for b in series if b.ts >= gap.confirmed_at):
+            edge = max(gap.bottom, min(edge, bar.low)) if gap.kind == "bullish" else min(gap.top, max(edge, bar.high))
+            dead = edge <= gap.bottom if gap.kind == "bullish" else edge >= gap.top
+            want.add((gap.gap_id, bar.ts, edge, not dead))
+            if dead:
+                break
+    got = [(r.gap_id, r.ts, r.edge, r.alive) for r in gaps.evolution(g, c).collect()]
+    assert len(want) > 500 and len(got) == len(want) and set(got) == want
