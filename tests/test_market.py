@@ -301,3 +301,12 @@ def test_gaps_over_many_spans_equal_a_bar_by_bar_version(spark, monkeypatch):
                 break
     got = [(r.gap_id, r.ts, r.edge, r.alive) for r in gaps.evolution(g, c).collect()]
     assert len(want) > 500 and len(got) == len(want) and set(got) == want
+
+
+def test_summary_by_group_has_the_columns_and_values_of_the_whole(spark):
+    schema = "scenario string, seq long, pnl_pct double, pnl_r double, capital_after double, mae_pct double, mfe_pct double, bars int"
+    t = spark.createDataFrame([("a", 1, 0.1, 1.0, 110.0, 0.0, 0.1, 4), ("a", 2, -0.1, -1.0, 99.0, 0.2, 0.0, 9), ("a", 3, 0.1, 0.5, 108.9, 0.0, 0.1, 5)], schema)
+    whole, parts = metrics.summary(t.drop("scenario"), 100.0), metrics.summary(t, 100.0, ("scenario",))
+    assert parts.columns == ["scenario", *whole.columns]
+    assert parts.drop("scenario").first() == whole.first()
+    assert whole.first().median_r == 0.5 and whole.first().median_hours == 1.25
