@@ -100,6 +100,28 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
 
+def op11_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_diff import main_text
+
+    return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .fim import fill_in_middle, restored
+
+    got = fill_in_middle(_documents(spark, sf_dir))
+    back = restored(F.col("output"), F.col("form"))
+    return got.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import SpellingParams, spelling_groups
+
+    return spelling_groups(_documents(spark, sf_dir), SpellingParams(slips=97))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_repetition": op1_suffix_repetition,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -111,6 +133,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_spans": op8_language_spans,
     "op9_aho_viterbi_pieces": op9_aho_viterbi_pieces,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_page_differencing": op11_page_differencing,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_spelling_groups": op13_spelling_groups,
 }
 
 def _windows_sql(size: int, name: str) -> str:
@@ -216,4 +241,17 @@ ORACLE_SQL: dict[str, str] = {
         g AS (SELECT t, max(doc_id) AS keep_id, CAST(count(*) AS BIGINT) AS group_size FROM t GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256
         FROM t JOIN g USING (t)""",
+    "op12_fill_in_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+        u AS (SELECT doc_id, t, regexp_extract_all(t, '[^\\n]*\\n|[^\\n]+') AS l,
+                list_transform([0, 1, 2, 3], lambda k: CAST('0x' || substr(h, 1 + 8 * k, 8) AS BIGINT)) AS h FROM d),
+        c AS (SELECT *, CAST(len(l) AS BIGINT) AS n, least(h[1] % (len(l) + 1), h[2] % (len(l) + 1)) AS a, greatest(h[1] % (len(l) + 1), h[2] % (len(l) + 1)) AS b,
+                CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 THEN 'plain'
+                  WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+        x AS (SELECT *, array_to_string(l[1:a], '') AS p, array_to_string(l[a + 1:b], '') AS m, array_to_string(l[b + 1:n], '') AS s FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+          CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+          sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+          sha256(t) AS restored_sha256
+        FROM x""",
 }
