@@ -3,6 +3,7 @@ bounded batches, lineage cuts, hot-key joins and connected components."""
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -117,6 +118,12 @@ class Words:
         return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
 
+def entry_bytes(key: str, value: bytes) -> int:
+    """What a remembered pair takes: both objects as Python holds them, and
+    their place in a dictionary that may just have grown."""
+    return sys.getsizeof(key) + sys.getsizeof(value) + 200
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts end to end, and where each begins (null: empty)."""
     texts = pa.compute.fill_null(texts, "").cast(pa.large_string())

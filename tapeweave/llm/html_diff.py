@@ -360,7 +360,8 @@ def shared_lines(pages: DataFrame) -> DataFrame:
     alone meet in one task.
     """
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    signed = pages.where("url IS NOT NULL").select("page_id", "content", "url", "html").mapInArrow(_signatures, f"page_id long, content long, {SIGNATURE}")
+    # written once: finding the borders of the ranges reads them too
+    signed = cut(pages.where("url IS NOT NULL").select("page_id", "content", "url", "html").mapInArrow(_signatures, f"page_id long, content long, {SIGNATURE}"))
     paired = cut(signed.repartitionByRange(parts, *ORDER).sortWithinPartitions(*ORDER).mapInArrow(_pair, PAIRED))
     here = F.struct("host", "path", "hashes", "sizes", "kinds")
     ahead, back = Window.orderBy("part", "run"), Window.orderBy(F.desc("part"), F.desc("run"))
@@ -402,7 +403,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     rows = pages.select(
         F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html")
     ).withColumn("content", F.xxhash64("url", "html"))
-    # repeated rows are neighbours, and lose the same lines
-    gone = shared_lines(rows).groupBy("page_id", "content").agg(F.first("gone").alias("gone"))
+    # repeated rows are neighbours, and lose the same lines; written, for the size of this table says how it is joined
+    gone = cut(shared_lines(rows).groupBy("page_id", "content").agg(F.first("gone").alias("gone")))
     joined = rows.alias("r").join(gone.alias("g"), F.expr("r.content = g.content AND r.page_id <=> g.page_id"), "left")
     return joined.select("r.page_id", "r.url", "r.html", "g.gone").mapInArrow(_texts, SCHEMA)

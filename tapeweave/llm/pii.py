@@ -12,6 +12,7 @@ can undo it.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -31,25 +32,40 @@ LAST_DAY = date(9999, 12, 31).toordinal()
 #: The classes of characters that keep their class.
 CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
+#: Month names by language, in which dates are written out; what
+#: stands between day, month and year.
+MONTHS = {
+    "en": "January February March April May June July August September October November December".split(),
+    "de": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(),
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+}
+_CASES = {"lower": str.lower, "title": str.title, "upper": str.upper}
+_MONTH = "|".join(sorted({f(m) for own in MONTHS.values() for m in own for f in _CASES.values()}, key=lambda m: (-len(m), m)))
+_WRITTEN = re.compile(rf"(?P<day>\d{{1,2}})(?P<mark>st|nd|rd|th|\.|er)?(?P<gap>\ (?:de\ )?)(?P<month>{_MONTH})(?P<gap2>,?\ (?:de\ )?)(?P<year>\d{{4}})|(?P<month2>{_MONTH})\ (?P<day2>\d{{1,2}})(?P<mark2>st|nd|rd|th)?(?P<gap3>,?\ )(?P<year2>\d{{4}})")
+
 #: A value's borders: no word character, and no mark behind which its run of
 #: digits goes on.  A slash only carries on what has slashes itself; secrets,
 #: whose ends may become digits, end at any other mark next to a digit.  A date
 #: may be followed by a time.
 _NUMBER = re.compile(
-    r"""(?<!\w)(?<!\d[-+.])(?:
+    rf"""(?<!\w)(?<!\d[-+.])(?:
       (?:
-        (?P<date>\d{4}(?P<sep>[-.])\d{1,2}(?P=sep)\d{1,2} | \d{1,2}(?P<sep2>[-.])\d{1,2}(?P=sep2)\d{4}
-          | (?<!\d/)(?<![0-9A-Fa-f]{32}/)(?:\d{4}/\d{1,2}/\d{1,2} | \d{1,2}/\d{1,2}/\d{4})(?!/\d|/[0-9A-Fa-f]{32}))
-        (?: (?=[Tt]\d{2}:?\d{2}) | (?!\w|[-+.]\d) )
+        (?P<date>\d{{4}}(?P<sep>[-.])\d{{1,2}}(?P=sep)\d{{1,2}} | \d{{1,2}}(?P<sep2>[-.])\d{{1,2}}(?P=sep2)\d{{4}}
+          | (?<!\d/)(?<![0-9A-Fa-f]{{32}}/)(?:\d{{4}}/\d{{1,2}}/\d{{1,2}} | \d{{1,2}}/\d{{1,2}}/\d{{4}})(?!/\d|/[0-9A-Fa-f]{{32}}))
+        (?: (?=[Tt]\d{{2}}:?\d{{2}}) | (?!\w|[-+.]\d) )
       )
     | (?:
-        (?P<ip>\d{1,3}(?:\.\d{1,3}){3})
-      | (?P<ssn>\d{3}-\d{2}-\d{4})
-      | (?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]?\d{4} | \+\d{8,15})
-      | (?P<card>\d{4}(?P<sep3>[ -])\d{4}(?P=sep3)\d{4}(?P=sep3)\d{1,7})
-      | (?P<iban>[A-Z]{2}\d{2}[A-Z0-9]{11,30})
-      | (?P<secret>[0-9a-f]{32,128} | [0-9A-F]{32,128})
-      | (?P<number>\d{9,40})
+        (?P<written>\d{{1,2}}(?:st|nd|rd|th|\.|er)?\ (?:de\ )?(?:{_MONTH}),?\ (?:de\ )?\d{{4}} | (?:{_MONTH})\ \d{{1,2}}(?:st|nd|rd|th)?,?\ \d{{4}})
+      | (?P<ipv6>(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}} | (?:[0-9A-Fa-f]{{1,4}}:){{1,6}}(?::[0-9A-Fa-f]{{1,4}}){{1,6}})(?!:)
+      | (?P<ip>\d{{1,3}}(?:\.\d{{1,3}}){{3}})
+      | (?P<ssn>\d{{3}}-\d{{2}}-\d{{4}})
+      | (?P<iban>[A-Z]{{2}}\d{{2}}(?:[A-Z0-9]{{11,30}} | (?:\ [A-Z0-9]{{4}}){{2,7}}(?:\ [A-Z0-9]{{1,3}})?))
+      | (?P<phone>(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{3}}\)[ .-]?|\d{{3}}[ .-])\d{{3}}[ .-]?\d{{4}} | \+\d{{1,3}}(?:[ ]?\(\d{{1,4}}\))?(?:[ .-]\d{{1,8}}){{1,6}} | \+\d{{8,15}})
+      | (?P<card>\d{{4}}(?P<sep3>[ -])\d{{4}}(?P=sep3)\d{{4}}(?P=sep3)\d{{1,7}} | \d{{4}}(?P<sep4>[ -])\d{{6}}(?P=sep4)\d{{4,5}})
+      | (?P<national>0\d(?P<sep5>[ .-])\d{{2}}(?:(?P=sep5)\d{{2}}){{3}} | 0\d{{2,4}}[ -]\d{{3,4}}[ -]\d{{3,4}} | 0\d{{2,4}}[ /-]\d{{5,8}})
+      | (?P<secret>[0-9a-f]{{32,128}} | [0-9A-F]{{32,128}})
+      | (?P<number>\d{{9,40}})
       )(?!\w|[-+.]\d)
     )""",
     re.VERBOSE | re.ASCII,
@@ -58,6 +74,23 @@ _EMAIL_LEFT = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z", re.ASCII)
 _EMAIL_RIGHT = re.compile(r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}", re.ASCII)
 
 
+_KINDS = [k for k in _NUMBER.groupindex if k[:3] != "sep"]
+
+
+def _account_check(number: str) -> int:
+    return int("".join(str(int(c, 36)) for c in number[4:] + number[:4])) % 97
+
+
+def _account_end(text: str, start: int, end: int) -> int | None:
+    """Where an account number ends: in the spaced form, a group behind it may
+    belong to the text."""
+    while end - start >= 15:
+        if _account_check(text[start:end].replace(" ", "")) == 1:
+            return end
+        end = text.rfind(" ", start, end)
+    return None
+
+
 class Permutation:
     """A keyed bijection on ``range(size)`` for every ``tweak`` and size."""
 
@@ -160,6 +193,55 @@ class Pseudonyms:
         first, second = (f"{x:02d}" if padded else str(x) for x in md)
         return sep.join((f"{new.year:04d}", first, second) if year_first else (first, second, f"{new.year:04d}"))
 
+    def _written(self, text: str) -> str | None:
+        """A date with its month written out, in the same language and shape."""
+        m = _WRITTEN.fullmatch(text)
+        day, month, year, mark = (m[k] or m[k + "2"] for k in ("day", "month", "year", "mark"))
+        case = next(k for k, f in _CASES.items() if f(month) == month)
+        order = ("es", "en", "de", "fr") if " de " in text else ("de", "en", "fr", "es") if mark == "." else ("fr", "en", "de", "es") if mark == "er" else ("en", "de", "fr", "es")
+        tongue = lambda name: next(k for k in order if name.lower() in map(str.lower, MONTHS[k]))
+        own = tongue(month)
+        names = [x.lower() for x in MONTHS[own]]
+        try:
+            day_no = date(int(year), names.index(month.lower()) + 1, int(day)).toordinal()
+        except ValueError:
+            return None
+        low, high = MODERN
+        if not low <= day_no <= high:
+            return None
+        ordinal = lambda d: "th" if 10 < d % 100 < 14 else {1: "st", 2: "nd", 3: "rd"}.get(d % 10, "th")
+        if mark in ("st", "nd", "rd", "th") and mark != ordinal(int(day)):
+            return None
+
+        def same_format(n: int) -> bool:
+            d = date.fromordinal(n + low)
+            return tongue(names[d.month - 1]) == own and (len(day) == 2) == (d.day > 9 or day[0] == "0") and (day[0] != "0" or d.day < 10) and (mark != "er" or d.day == 1)
+
+        if not same_format(day_no - low):
+            return None
+        new = date.fromordinal(low + self.permute(day_no - low, high - low + 1, f"written {own}".encode(), same_format, self.back))
+        shown = f"{new.day:0{len(day)}d}" + (ordinal(new.day) if mark in ("st", "nd", "rd", "th") else mark or "")
+        name = _CASES[case](names[new.month - 1])
+        return f"{name} {shown}{m['gap3']}{new.year}" if m["month2"] else f"{shown}{m['gap']}{name}{m['gap2']}{new.year}"
+
+    def _ipv6(self, text: str) -> str | None:
+        """Permuted as a number; written in the shortest form."""
+        if len(text.replace("::", ":").split(":")) < 3 or not any(c.isdigit() for c in text):
+            return None
+        try:
+            n = int(ipaddress.IPv6Address(text))
+        except ValueError:
+            return None
+        # the shortest form of a result must be seen as an address again
+        seen = lambda x: len(str(ipaddress.IPv6Address(x)).replace("::", ":").strip(":").split(":")) > 2 and any(c.isdigit() for c in str(ipaddress.IPv6Address(x)))
+        new = str(ipaddress.IPv6Address(self.permute(n, 1 << 128, b"ipv6", seen, self.back)))
+        return new.upper() if text == text.upper() else new
+
+    def _national(self, text: str) -> str | None:
+        """A number with its trunk zero, which stays; 9 to 12 digits."""
+        digits = sum(c.isdigit() for c in text)
+        return "0" + self._digits(text[1:], b"national") if 9 <= digits <= 12 else None
+
     def _ip(self, text: str) -> str | None:
         octets = text.split(".")
         if any(int(x) > 255 or (x != "0" and x[0] == "0") for x in octets):
@@ -181,11 +263,13 @@ class Pseudonyms:
         return _refill(text, body + str(luhn_digit(body)))
 
     def _iban(self, text: str) -> str | None:
-        check = lambda t: int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97
-        if check(text) != 1:
+        """Numbered without its spaces, so both forms get one pseudonym."""
+        plain = text.replace(" ", "")
+        if _account_check(plain) != 1:
             return None
-        body = self._classes(text[4:], b"iban " + text[:2].encode())
-        return text[:2] + f"{98 - check(text[:2] + '00' + body):02d}" + body
+        body = self._classes(plain[4:], b"iban " + plain[:2].encode())
+        new = iter(plain[:2] + f"{98 - _account_check(plain[:2] + '00' + body):02d}" + body)
+        return "".join(c if c == " " else next(new) for c in text)
 
     def _ssn(self, text: str) -> str | None:
         def valid(x: int) -> bool:
@@ -194,7 +278,9 @@ class Pseudonyms:
 
         return self._digits(text, b"ssn", valid) if valid(int(text.replace("-", ""))) else None
 
-    def _phone(self, text: str) -> str:
+    def _phone(self, text: str) -> str | None:
+        if text[0] == "+" and not 8 <= sum(c.isdigit() for c in text) <= 15:
+            return None
         country = re.match(r"\+\d{1,3}(?=[ .-]|\()", text)
         at = country.end() if country else 0
         return text[:at] + self._digits(text[at:], b"phone")
@@ -206,7 +292,7 @@ class Pseudonyms:
         if kind == "email":
             left, _, right = value.partition("@")
             return self._classes(left, b"email@" + right.lower().encode()) + "@" + right
-        return {"date": self._date, "ip": self._ip, "card": self._card, "number": self._card, "iban": self._iban, "ssn": self._ssn, "phone": self._phone}[kind](value)
+        return {"date": self._date, "ip": self._ip, "card": self._card, "number": self._card, "iban": self._iban, "ssn": self._ssn, "phone": self._phone, "national": self._national, "ipv6": self._ipv6, "written": self._written}[kind](value)
 
     def find(self, text: str) -> list[tuple[int, int, str]]:
         """Spans and kinds of possible values, in order, not overlapping."""
@@ -216,11 +302,19 @@ class Pseudonyms:
             if left and right and (not found or left.start() >= found[-1][1]):
                 found.append((left.start(), right.end(), "email"))
         emails, k = list(found), 0
-        for m in _NUMBER.finditer(text):
+        at = 0
+        while m := _NUMBER.search(text, at):
+            end, kind = m.end(), next(k for k in _KINDS if m[k])
+            if kind == "iban":
+                end = _account_end(text, m.start(), end)
+                if end is None:  # what is inside may be something else
+                    at = m.start() + 4
+                    continue
+            at = end
             while k < len(emails) and emails[k][1] <= m.start():
                 k += 1
-            if k == len(emails) or emails[k][0] >= m.end():
-                found.append((m.start(), m.end(), m.lastgroup if m.lastgroup[:3] != "sep" else next(k for k in ("date", "card") if m[k])))
+            if k == len(emails) or emails[k][0] >= end:
+                found.append((m.start(), end, kind))
         found.sort()
         out: list[tuple[int, int, str]] = []
         for span in found:
@@ -243,7 +337,14 @@ def pseudonymise(docs: DataFrame, key: str | bytes, day_first: bool = False, bac
     """``doc_id, text, n_values`` for each row: the text with private values
     replaced, and how many there were.  ``back=True`` undoes it with the key.
 
-    Null text stays null with 0 values; an empty text is empty.  Null
+    Covered are the formats of ``_NUMBER``: dates in figures and, in English,
+    German, French and Spanish, with the month written out; IPv4 and IPv6
+    addresses; account numbers, also in groups of four; cards; social security
+    numbers; North American, international and zero-led national phone numbers.
+    Not covered: national numbers without a leading zero outside North America,
+    month names cut short, two-digit years.
+
+    Null text stays null with 0 values; an empty table gives an empty one; an empty text is empty.  Null
     identifiers pass through, repeated rows get the same answer each, other
     columns are ignored.  Texts are searched whole.  The key is a secret of the
     caller: it travels to executors inside the function.

@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import slices, text_bytes
+from .common import entry_bytes, slices, text_bytes
 
 SPACE = "▁"
 #: Stands for a literal U+2581 while a segment is solved; no UTF-8 text has it.
@@ -38,10 +38,13 @@ UNKNOWN_PENALTY = 10.0
 class PieceModel:
     """Vocabulary, automaton and segment memory of one model file.
 
-    The memory has two generations of ``MOST`` entries; whole segments and the
-    parts they are composed of count alike."""
+    The memory has two generations of ``MOST`` bytes, entries counted with what
+    Python keeps beside them; whole segments and the parts they are composed of
+    count alike.  Segments of more than ``WIDEST`` characters are not kept: in
+    texts without white space a segment is a whole text."""
 
-    MOST = 60_000
+    MOST = 32 << 20
+    WIDEST = 256
 
     def __init__(self, path: str):
         import sentencepiece
@@ -71,6 +74,7 @@ class PieceModel:
         self.surface_size = np.array([len(x) for x in surface], dtype=np.int64)
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0
 
     def solve(self, segment: str) -> list[int]:
         """The best path over ``segment`` (spaces already U+2581)."""
@@ -130,9 +134,11 @@ class PieceModel:
 
     def _kept(self, text: str, ids: bytes) -> bytes:
         """The one place at which memory grows, and is bounded."""
-        if len(self.new) >= self.MOST:
-            self.old, self.new = self.new, {}
-        self.new[text] = ids
+        if len(text) <= self.WIDEST:
+            if self.held >= self.MOST:
+                self.old, self.new, self.held = self.new, {}, 0
+            self.new[text] = ids
+            self.held += entry_bytes(text, ids)
         return ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Words, cut, slices
+from .common import Words, cut, entry_bytes, slices
 
 MAGIC = b"TWSST001"
 FOOTER = struct.Struct("<QQQQQQB7x8s")
@@ -214,10 +214,13 @@ class WordTokenizer:
     """Encodes whole texts with a tokenizer that lower-cases, drops white space
     and takes runs of letters and runs of marks apart before it merges: no
     token spans such a border, so each distinct piece is encoded once per batch
-    and remembered in two bounded generations.  Files with any other normaliser
-    or splitter (``BY_WORD``) have their texts encoded whole."""
+    and remembered in two generations of ``MOST`` bytes.  Pieces of more than
+    ``WIDEST`` characters are not kept: in texts without white space a piece is
+    a whole text.  Files with any other normaliser or splitter (``BY_WORD``)
+    have their texts encoded whole."""
 
-    MOST = 250_000
+    MOST = 48 << 20
+    WIDEST = 256
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -230,23 +233,31 @@ class WordTokenizer:
         self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0
+
+    def _keep(self, word: str, ids: bytes) -> None:
+        if len(word) <= self.WIDEST:
+            if self.held >= self.MOST:
+                self.old, self.new, self.held = self.new, {}, 0
+            self.new[word] = ids
+            self.held += entry_bytes(word, ids)
 
     def _words(self, words: list[str]) -> list[bytes]:
-        new, old, kind = self.new, self.old, "H" if self.width == 2 else "I"
-        out = list(map(new.get, words))
+        kind = "H" if self.width == 2 else "I"
+        out = list(map(self.new.get, words))
         todo = []
         for i in [i for i, x in enumerate(out) if x is None]:
-            got = old.get(words[i])
+            got = self.old.get(words[i])
             if got is None:
                 todo.append(i)
             else:
-                out[i] = new[words[i]] = got
+                out[i] = got
+                self._keep(words[i], got)
         for at in range(0, len(todo), 5000):
             part = todo[at : at + 5000]
             for i, e in zip(part, self.tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False)):
-                out[i] = new[words[i]] = array(kind, e.ids).tobytes()
-        if len(new) > self.MOST:
-            self.old, self.new = new, {}
+                out[i] = array(kind, e.ids).tobytes()
+                self._keep(words[i], out[i])
         return out
 
     def encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:

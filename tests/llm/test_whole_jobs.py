@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -16,7 +17,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from tapeweave.llm import chat, exact_dedup, langid, mixing, neardup, pii, spm, sstable, toxicity  # noqa: E402
+from tapeweave.llm import chat, common, exact_dedup, langid, mixing, neardup, pii, spm, sstable, toxicity  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -186,12 +187,79 @@ def test_brute_force_with_null_and_repeated_identifiers(spark):
     assert got == {k: sorted(v) for k, v in want.items()}
 
 
-def test_piece_memory_is_bounded(monkeypatch):
-    pieces = spm.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
-    monkeypatch.setattr(spm.PieceModel, "MOST", 500)
-    for at in range(0, 6000, 100):
-        pieces.encode(pa.array([f"{i} {i * 7919}" for i in range(at, at + 100)]))
-        assert len(pieces.new) <= 500 and len(pieces.old) <= 500
+def _held(memory):
+    return sum(common.entry_bytes(k, v) for k, v in memory.items())
+
+
+@pytest.mark.parametrize("kind", ["pieces", "words"])
+def test_memories_are_bounded_in_bytes(monkeypatch, kind):
+    """Also over texts without white space, in which an entry is a whole text."""
+    if kind == "pieces":
+        coder, encode = spm.PieceModel(public_tokenizers.path("piece_bpe_32k.model")), lambda texts: coder.encode(pa.array(texts))
+    else:
+        coder, encode = sstable.WordTokenizer(public_tokenizers.path("word_bpe_49k.json")), lambda texts: coder.encode(pa.array(texts), 1)
+    monkeypatch.setattr(type(coder), "MOST", 100_000)
+    rng = random.Random(7)
+    for at in range(0, 4000, 100):
+        encode([f"{i} {i * 7919}" for i in range(at, at + 100)])
+        assert max(_held(coder.new), _held(coder.old)) <= 100_000 + 2000
+    for _ in range(20):  # 2,000 texts of 5,000 Han characters
+        encode(["".join(map(chr, rng.choices(range(0x4E00, 0x9000), k=50))) * 100 for _ in range(100)] if kind == "words" else ["".join(map(chr, rng.choices(range(0x4E00, 0x9000), k=50))) * 10 for _ in range(100)])
+        assert max(_held(coder.new), _held(coder.old)) <= 100_000 + 2000
+    assert coder.old and coder.new
+
+
+#: Values of every format that is covered, and what must hold of what stands for them.
+PLANTED = [
+    "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "FR76 3000 6000 0112 3456 7890 189", "+49 30 1234567", "+49 151 23456789", "06 12 34 56 78",
+    "+33 6 12 34 56 78", "020 7946 0958", "3782 822463 10005", "2001:db8::1", "January 3, 2020", "3. Januar 2020", "3 janvier 2020", "3 de enero de 2020", "3rd March 1999", "1er août 2001",
+    "4 April 2020", "9 AUGUST 2011", "415-555-2671", "(415) 555-2671", "4111 1111 1111 1111", "2020-01-05", "10.20.30.40", "123-45-6789", "x.y@mail.example.org",
+]
+
+
+@pytest.mark.parametrize("value", PLANTED)
+def test_every_covered_format_is_found_whole_and_undone(value):
+    p, q = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", back=True)
+    for before, after in (("", ""), ("see ", " today"), ("(", ")"), ("\n", "\n"), ("call: ", ", or")):
+        text = before + value + after
+        new, n = p.replace(text)
+        assert n == 1 and new != text and new.startswith(before) and new.endswith(after)
+        assert q.replace(new) == (text, 1)
+        # the same shape, but for what is written in words or in its shortest form
+        if not re.search("[a-z]|::", value):
+            assert re.sub("[A-Z]", "A", re.sub("[0-9]", "9", new)) == re.sub("[A-Z]", "A", re.sub("[0-9]", "9", text))
+
+
+def test_account_numbers_stay_valid_and_linked():
+    p = pii.Pseudonyms(b"k")
+    spaced, compact = p.replace("DE89 3704 0044 0532 0130 00")[0], p.replace("DE89370400440532013000")[0]
+    assert spaced.replace(" ", "") == compact and pii._account_check(compact) == 1 and compact[:2] == "DE"
+    # a group of letters behind it is text; a card behind something like one is a card
+    assert p.replace("GB29 NWBK 6016 1331 9268 19 BANK")[0].endswith(" BANK")
+    assert p.replace("AB12 4111 1111 1111 1111")[0] == "AB12 " + p.replace("4111 1111 1111 1111")[0]
+    assert p.replace("DE88 3704 0044 0532 0130 00")[0].startswith("DE88 ")
+
+
+@pytest.mark.parametrize("text", ["12:30:45", "std::vector", "a::b", "ratio 16:9:4", "31 February 2020", "4th March 19", "3th March 1999", "+12 34", "DE89"])
+def test_what_is_no_value_stays(text):
+    assert pii.Pseudonyms(b"k").replace(text) == (text, 0)
+
+
+def test_dates_in_words_are_one_to_one():
+    p = pii.Pseudonyms(b"k")
+    days = [(y, m, d) for y in (1999, 2020) for m in range(1, 13) for d in range(10, 29)]
+    for shape in ("{d} {n} {y}", "{n} {d}, {y}"):
+        new = {p.replace(shape.format(d=d, n=pii.MONTHS["en"][m - 1], y=y))[0] for y, m, d in days}
+        assert len(new) == len(days)
+
+
+def test_registered_pseudonyms_are_the_same_in_every_run(spark):
+    from conftest import SF
+
+    from tapeweave.llm.queries import QUERIES
+
+    a, b = (sorted(map(tuple, QUERIES["op4_feistel_pseudonyms"](spark, SF).collect()), key=repr) for _ in "ab")
+    assert a == b and any(n for _, _, n in a)
 
 
 @pytest.mark.parametrize(("text", "values"), [
