@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schema import require_columns
-from .asof import positions
+from ..sources.store import written
+from . import passage
+from .asof import next_bar, positions
 from .indicators import KEY, series
 
-#: Bars per block, and blocks per span.
-BLOCK, SPAN = 256, 64
+#: Bars of a block by which a gap meets the bars of its life.
+BLOCK = 256
 
 
 def detect(candles: DataFrame, seconds: int) -> DataFrame:
@@ -28,42 +30,35 @@ def detect(candles: DataFrame, seconds: int) -> DataFrame:
     return found.select(KEY, "gap.*", F.col("ts").alias("formed_at"), known.alias("confirmed_at"), F.concat_ws("/", F.col(KEY), F.unix_seconds("ts").cast("string")).alias("gap_id"))
 
 
+def deaths(gaps: DataFrame, bars: DataFrame) -> DataFrame:
+    """``gaps`` with ``since``, the first bar (``bars`` has ``pos``) at which the
+    gap is known, and ``dead_pos``, the first from there on whose wick reaches
+    its far side, null if none does.  Looked up in a tree of extremes: two nodes
+    a level for each gap, whatever lies between."""
+    counted = next_bar(gaps.withColumn("ts", F.col("confirmed_at")), bars).withColumnRenamed("pos", "since").drop("ts")
+    tree = passage.build(bars, {"low": "min", "high": "max"})
+    fills = lambda k, leaf: F.when(F.col("kind") == "bullish", k["low"] <= F.col("bottom")).otherwise(k["high"] >= F.col("top"))
+    return passage.first_passage(counted, tree, F.col("since"), fills, "dead_pos")
+
+
 def evolution(gaps: DataFrame, candles: DataFrame) -> DataFrame:
     """Gap by gap the bars from its confirmation to its death: ``gap_id, ts,
     edge, alive``.  Wicks erode the edge; the gap dies in the bar that takes
     it to the far side, which is its last row here.
 
-    A gap first meets spans of ``SPAN`` blocks by their extremes, up to the one
-    that fills it, then the blocks of ``BLOCK`` bars of those spans, and then
-    only the bars of those blocks.
+    The death is looked up first, so a gap meets its own bars only, by blocks.
     """
-    bars = positions(candles.select(KEY, "ts", "high", "low")).withColumn("block", F.floor(F.col("pos") / BLOCK)).drop("pos")
-    blocks = bars.groupBy(KEY, "block").agg(F.min("ts").alias("since"), F.max("ts").alias("until"), F.min("low").alias("least"), F.max("high").alias("most"))
-    blocks = blocks.withColumn("span", F.floor(F.col("block") / SPAN))
-    spans = blocks.groupBy(KEY, "span").agg(F.min("since").alias("since"), F.max("until").alias("until"), F.min("least").alias("least"), F.max("most").alias("most"))
-    own = [c for c in gaps.columns if c != KEY]
-    wide = _until_filled(gaps.join(spans, KEY), "span").select(KEY, "span", *own)
-    near = _until_filled(wide.join(blocks, [KEY, "span"]), "block").select(KEY, "block", *own)
-    later = near.join(bars, [KEY, "block"]).where(F.col("ts") >= F.col("confirmed_at"))
+    bars = written(positions(candles.select(KEY, "ts", "high", "low")))
+    lives = deaths(written(gaps), bars)
+    ends = bars.groupBy(KEY).agg(F.max("pos").alias("last"))
+    lives = lives.join(ends, KEY).withColumn("until", F.coalesce("dead_pos", "last")).where("since <= until")
+    met = lives.withColumn("block", F.explode(F.expr(f"sequence(since div {BLOCK}, until div {BLOCK})")))
+    later = met.join(bars.withColumn("block", F.expr(f"pos div {BLOCK}")), [KEY, "block"]).where(F.col("pos").between(F.col("since"), F.col("until")))
     path = Window.partitionBy("gap_id").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     bull = F.col("kind") == "bullish"
     worn = F.when(bull, F.min("low").over(path)).otherwise(F.max("high").over(path))
     df = later.withColumn("edge", F.least(F.col("top"), F.greatest(F.col("bottom"), worn)))
-    spent = F.when(bull, F.col("edge") <= F.col("bottom")).otherwise(F.col("edge") >= F.col("top"))
-    df = df.withColumn("spent", spent)
-    death = F.min(F.when(F.col("spent"), F.col("ts"))).over(Window.partitionBy("gap_id"))
-    df = df.withColumn("dead_at", death).where(F.col("dead_at").isNull() | (F.col("ts") <= F.col("dead_at")))
-    return df.select(KEY, "gap_id", "kind", "top", "bottom", "confirmed_at", "ts", "edge", (~F.col("spent")).alias("alive"))
-
-
-def _until_filled(met: DataFrame, unit: str) -> DataFrame:
-    """Of gaps and the stretches of bars they meet (``unit``, with ``since,
-    until, least, most``) those up to the stretch that fills the gap; one that
-    begins before the gap is known decides nothing."""
-    fills = F.when(F.col("kind") == "bullish", F.col("least") <= F.col("bottom")).otherwise(F.col("most") >= F.col("top"))
-    earlier = Window.partitionBy("gap_id").orderBy(unit).rowsBetween(Window.unboundedPreceding, -1)
-    filled = F.sum((fills & (F.col("since") >= F.col("confirmed_at"))).cast("int")).over(earlier)
-    return met.where(F.col("until") >= F.col("confirmed_at")).withColumn("filled", F.coalesce(filled, F.lit(0))).where("filled = 0")
+    return df.select(KEY, "gap_id", "kind", "top", "bottom", "confirmed_at", "ts", "edge", (F.col("dead_pos").isNull() | (F.col("pos") < F.col("dead_pos"))).alias("alive"))
 
 
 def target_points(gaps: DataFrame, candles: DataFrame) -> DataFrame:

@@ -8,8 +8,11 @@ is full.
 
 from __future__ import annotations
 
+import bisect
 import math
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -166,20 +169,73 @@ def impulse(df: DataFrame, bars: int = 6, atr_col: str = "atr") -> DataFrame:
     return df.withColumn("impulse", F.try_divide(F.abs(F.col("close") - F.lag("close", bars).over(series())), F.nullif(F.col(atr_col), F.lit(0.0))))
 
 
-def rolling_rank(df: DataFrame, value: str, n: int = 120, least: int = 30, out: str = "pct_rank") -> DataFrame:
+#: Bars of a block in which order statistics slide, beside the window before it.
+SLIDING = 8192
+
+
+class _Sorted:
+    """The values of a sliding window in order: one goes in and one out at each
+    bar, at places found by bisection."""
+
+    def __init__(self) -> None:
+        self.values: list[float] = []
+
+    def slide(self, new: float | None, gone: float | None) -> list[float]:
+        if gone is not None:
+            del self.values[bisect.bisect_left(self.values, gone)]
+        if new is not None:
+            bisect.insort(self.values, new)
+        return self.values
+
+
+def _sliding(df: DataFrame, value: str, n: int, least: int, read: Callable[[list[float], float | None], float | None], out: str, block: int) -> DataFrame:
+    """Adds ``out``: what ``read`` finds in the ordered last ``n`` values.
+
+    The series is cut into blocks; each gets the ``n - 1`` bars before it, of
+    which one window slides over all.  A task holds block and window.  Nulls and
+    NaN count for nothing.
+    """
+    block = max(block, n)
+    df = df if "pos" in df.columns else positions(df, KEY).withColumn("__own_pos", F.lit(True))
+    dealt = df.select(KEY, "pos", F.col(value).cast("double").alias("x"), F.explode(F.expr(f"sequence(pos div {block}, (pos + {n - 1}) div {block})")).alias("block"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        values = [None if math.isnan(x) else x for x in pdf["x"].to_numpy(float).tolist()]
+        window, found = _Sorted(), []
+        for i, x in enumerate(values):
+            held = window.slide(x, values[i - n] if i >= n else None)
+            found.append(read(held, x) if len(held) >= least else None)
+        own = (pdf["pos"] >= key[1] * block).to_numpy()
+        return pd.DataFrame({KEY: key[0], "pos": pdf["pos"][own], "__found": pd.Series(found, dtype="float64", index=pdf.index)[own]})
+
+    found = dealt.groupBy(KEY, "block").applyInPandas(run, "symbol string, pos long, __found double")
+    df = df.join(found, [KEY, "pos"]).withColumnRenamed("__found", out)
+    return df.drop("pos", "__own_pos") if "__own_pos" in df.columns else df
+
+
+def rolling_rank(df: DataFrame, value: str, n: int = 120, least: int = 30, out: str = "pct_rank", block: int = SLIDING) -> DataFrame:
     """Share of the last ``n`` values that are at most this one (ties count half)."""
-    df = df.withColumn("__w", F.collect_list(value).over(last(n)))
-    below, same = F.size(F.filter("__w", lambda x: x < F.col(value))), F.size(F.filter("__w", lambda x: x == F.col(value)))
-    return df.withColumn(out, F.when((F.size("__w") >= least) & F.col(value).isNotNull(), (below + (same + 1) / 2) / F.size("__w"))).drop("__w")
 
+    def read(held: list[float], x: float | None) -> float | None:
+        if x is None:
+            return None
+        below, upto = bisect.bisect_left(held, x), bisect.bisect_right(held, x)
+        return (below + (upto - below + 1) / 2) / len(held)
 
-def rolling_quantile(df: DataFrame, value: str, q: float = 0.95, n: int = 500, least: int = 50, out: str = "quantile") -> DataFrame:
+    return _sliding(df, value, n, least, read, out, block)
+
+
+def rolling_quantile(df: DataFrame, value: str, q: float = 0.95, n: int = 500, least: int = 50, out: str = "quantile", block: int = SLIDING) -> DataFrame:
     """Linear-interpolated quantile of the last ``n`` values."""
-    df = df.withColumn("__w", F.array_sort(F.collect_list(value).over(last(n))))
-    at = (F.size("__w") - 1) * F.lit(q)
-    low = F.floor(at).cast("int")
-    a, b = F.try_element_at("__w", low + 1), F.try_element_at("__w", F.least(low + 2, F.size("__w")))
-    return df.withColumn(out, F.when(F.size("__w") >= least, a + (b - a) * (at - low))).drop("__w")
+
+    def read(held: list[float], x: float | None) -> float | None:
+        at = (len(held) - 1) * q
+        low = math.floor(at)
+        a, b = held[low], held[min(low + 1, len(held) - 1)]
+        return a + (b - a) * (at - low)
+
+    return _sliding(df, value, n, max(1, least), read, out, block)
 
 
 def display_scaled(df: DataFrame, value: str, out: str = "scaled") -> DataFrame:

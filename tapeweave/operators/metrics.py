@@ -138,8 +138,10 @@ def worst_of(results: DataFrame, config: list[str], value: str = "mean_r", count
 
 def resampled(trades: DataFrame, runs: int = 400, seed: int = 7, value: str = "pnl_r", row: str = "seq") -> DataFrame:
     """``run, mean_value``: means of ``runs`` samples with replacement, drawn as
-    Poisson(1) counts from a hash, so no row is collected or looked up."""
-    u = F.pmod(F.xxhash64(F.lit(seed), "run", row), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    Poisson(1) counts from a hash, so no row is collected or looked up; the same
+    on every machine."""
+    key = F.concat_ws("/", F.lit(str(seed)), F.col("run").cast("string"), F.col(row).cast("string"))
+    u = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     steps, total, p = F.lit(0), 0.0, 2.718281828459045**-1
     for k in range(8):
         total += p

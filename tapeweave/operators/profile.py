@@ -8,7 +8,9 @@ from pyspark.sql.window import Window
 
 from ..config import ProfileConfig
 from ..schema import OHLCV, require_columns
-from .asof import in_intervals
+from ..sources.store import written
+from . import passage
+from .asof import in_intervals, next_bar, positions
 
 
 def granularity(bars: Column) -> Column:
@@ -31,11 +33,38 @@ def volume_by_bin(candles: DataFrame, ranges: DataFrame, config: ProfileConfig |
     df = inside.join(ends, "range_id").withColumn("width", (F.col("hi") - F.col("lo")) / n)
     place = lambda c: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((F.col(c) - F.col("lo")) / F.col("width")).cast("int")))
     df = df.withColumns({"k0": place("low"), "k1": F.when(F.col("high") > F.col("low"), place("high")).otherwise(place("low"))})
-    df = df.withColumn("bin", F.explode(F.sequence("k0", "k1")))
-    top, bottom = F.col("lo") + (F.col("bin") + 1) * F.col("width"), F.col("lo") + F.col("bin") * F.col("width")
-    shared = F.greatest(F.lit(0.0), F.least("high", top) - F.greatest("low", bottom))
-    part = F.when(F.col("high") > F.col("low"), F.col("volume") * shared / (F.col("high") - F.col("low"))).otherwise(F.col("volume"))
-    return df.groupBy("range_id", "lo", "hi", "bin").agg(F.sum(part).alias("volume")).select("range_id", "bin", "volume", F.col("lo").alias("low"), F.col("hi").alias("high"))
+    return _swept(df)
+
+
+def _swept(df: DataFrame) -> DataFrame:
+    """Volume of each bin from the candles' first and last bins ``k0`` and
+    ``k1``, as a sweep along the bins.
+
+    A candle gives four events at most: its parts of its first and last bin,
+    where its even run through the bins between begins and where it ends.  What
+    lies between events follows from their running sums.
+    """
+    edge = lambda k: F.col("lo") + k * F.col("width")
+    flat, height = F.col("high") <= F.col("low"), F.col("high") - F.col("low")
+    part = lambda k: F.when(flat, F.col("volume")).otherwise(F.col("volume") * F.greatest(F.lit(0.0), F.least("high", edge(k + 1)) - F.greatest("low", edge(k))) / height)
+
+    def event(k: Column, point: Column, run: Column, full: int, cover: int) -> Column:
+        return F.struct(k.alias("bin"), point.cast("double").alias("point"), run.cast("double").alias("run"), F.lit(full).alias("full"), F.lit(cover).alias("cover"))
+
+    k0, k1, none = F.col("k0"), F.col("k1"), F.lit(0.0)
+    even = F.col("volume") * F.col("width") / height
+    short = F.array(event(k0, part(k0), none, 0, 1), event(k0 + 1, none, none, 0, -1))
+    long = F.array(event(k0, part(k0), none, 0, 1), event(k0 + 1, none, even, 1, 0), event(k1, part(k1), -even, -1, 0), event(k1 + 1, none, none, 0, -1))
+    events = df.select("range_id", "lo", "hi", F.explode(F.when(k0 == k1, short).otherwise(long)).alias("e")).select("range_id", "lo", "hi", "e.*")
+    at = events.groupBy("range_id", "lo", "hi", "bin").agg(*[F.sum(x).alias(x) for x in ("point", "run", "full", "cover")])
+    along = Window.partitionBy("range_id", "lo", "hi").orderBy("bin")
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    # where no run is under way nothing is left of the sums' rounding
+    through = F.when(F.sum("full").over(upto) > 0, F.sum("run").over(upto)).otherwise(0.0)
+    at = at.withColumns({"through": through, "covers": F.sum("cover").over(upto), "until": F.lead("bin").over(along) - 1}).where("covers > 0")
+    bins = at.select("range_id", "lo", "hi", F.col("bin").alias("first"), "point", "through", F.explode(F.sequence("bin", "until")).alias("bin"))
+    volume = F.col("through") + F.when(F.col("bin") == F.col("first"), F.col("point")).otherwise(0.0)
+    return bins.select("range_id", "bin", volume.alias("volume"), F.col("lo").alias("low"), F.col("hi").alias("high"))
 
 
 def profiles(candles: DataFrame, ranges: DataFrame, config: ProfileConfig | None = None) -> DataFrame:
@@ -50,9 +79,11 @@ def profiles(candles: DataFrame, ranges: DataFrame, config: ProfileConfig | None
     bins = volume_by_bin(candles, ranges, c)
     zero = bins.select("range_id", "low", "high").distinct().select("range_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bin"), F.lit(0.0).alias("volume"), "low", "high")
     dense = bins.unionByName(zero).groupBy("range_id", "low", "high", "bin").agg(F.sum("volume").alias("volume"))
+    # equal bins stay equal through the rounding of their sums
+    dense = dense.withColumn("rank", F.round(F.col("volume") / F.sum("volume").over(Window.partitionBy("range_id", "low", "high")), 12))
     rows = dense.groupBy("range_id", "low", "high").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("bin", "volume"))), lambda x: x["volume"]).alias("volumes"),
-        F.min_by("bin", F.struct(-F.col("volume"), F.abs(F.col("bin") - F.lit((n - 1) / 2)), F.col("bin"))).alias("peak"), F.sum("volume").alias("volume_total"),
+        F.min_by("bin", F.struct(-F.col("rank"), F.abs(F.col("bin") - F.lit((n - 1) / 2)), F.col("bin"))).alias("peak"), F.sum("volume").alias("volume_total"),
     )
     at = lambda k: F.coalesce(F.try_element_at("volumes", k + 1), F.lit(0.0))
 
@@ -117,7 +148,8 @@ def level_grid(ranges: DataFrame, profile: DataFrame, kinds: tuple[str, ...] | N
 def displaced(levels: DataFrame, runs: int = 20, low: float = 0.03, high: float = 0.15, seed: int = 20260902) -> DataFrame:
     """Control grids: ``runs`` copies with every price moved up or down by a
     hashed-uniform share; adds ``run``.  Same draw on every machine."""
-    draw = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "run", "symbol", "range_id", "level"), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    key = F.concat_ws("/", F.lit(str(seed)), F.col("run").cast("string"), "symbol", "range_id", "level")
+    draw = lambda salt: F.conv(F.substring(F.md5(F.concat(F.lit(salt), key)), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     copies = levels.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
     move = (F.lit(low) + F.lit(high - low) * draw("size")) * F.when(draw("sign") < 0.5, -1.0).otherwise(1.0)
     return copies.withColumn("price", F.col("price") * (1 + move))
@@ -143,15 +175,17 @@ def pick_targets(entry: Column, direction: Column, grid: Column, apart: float, m
 
 def touches(candles: DataFrame, levels: DataFrame) -> DataFrame:
     """Every touch of a level: a decision bar after ``valid_from`` whose next
-    bar spans the price, unless the close lies on it.  Prices, which must be
-    positive, are cut into buckets of one percent, so a bar meets only the
-    levels in the few buckets it spans."""
+    bar spans the price, unless the close lies on it.
+
+    A level goes down a tree of extremes over the bars, into the nodes that lie
+    behind ``valid_from`` and span its price; it meets no bar that it does not
+    touch but those beside one that it does.
+    """
     w = Window.partitionBy("symbol").orderBy("ts")
-    bucket = lambda c: F.floor(F.ln(c) * 100)
-    bars = candles.select("symbol", "ts", "close", F.lead("ts").over(w).alias("next_ts"), F.lead("low").over(w).alias("low"), F.lead("high").over(w).alias("high")).where("next_ts IS NOT NULL")
-    bars = bars.withColumn("bucket", F.explode(F.sequence(bucket("low"), bucket("high"))))
-    levels = levels.withColumn("bucket", bucket("price"))
-    found = bars.join(levels.select("symbol", "bucket", "range_id", "level", "price", "valid_from"), ["symbol", "bucket"]).where(
-        (F.col("ts") >= F.col("valid_from")) & F.col("price").between(F.col("low"), F.col("high")) & (F.col("price") != F.col("close"))
-    )
-    return found.select("symbol", "ts", "next_ts", "range_id", "level", "price", F.when(F.col("close") > F.col("price"), 1).otherwise(-1).alias("direction"))
+    next_to = candles.select("symbol", "ts", "close", F.lead("ts").over(w).alias("next_ts"), F.lead("low").over(w).alias("low"), F.lead("high").over(w).alias("high"))
+    bars = written(positions(next_to.where("next_ts IS NOT NULL")))
+    tree = passage.build(bars, {"low": "min", "high": "max"}, ["ts", "next_ts", "close"])
+    begun = next_bar(levels.select("symbol", "range_id", "level", "price", F.col("valid_from").alias("ts")), bars).withColumnRenamed("pos", "since").drop("ts")
+    spans = lambda k, leaf: (k["low"] <= F.col("price")) & (k["high"] >= F.col("price"))
+    found = passage.every_passage(begun, tree, F.col("since"), spans).where("bar.close <> price")
+    return found.select("symbol", "bar.ts", "bar.next_ts", "range_id", "level", "price", F.when(F.col("bar.close") > F.col("price"), 1).otherwise(-1).alias("direction"))

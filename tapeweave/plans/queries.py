@@ -391,13 +391,13 @@ def i01(spark, d):
 
 @query("i02_gap_evolution", _walk(_GAP_SQL, _EVO_SQL) + "SELECT symbol, 'ALL/' || epoch(formed_at)::BIGINT AS gap_id, epoch(ts)::BIGINT AS ts_s, round(edge, 6) AS edge, NOT spent AS alive FROM evo")
 def i02(spark, d):
-    w = v.walk(spark, d)
+    w = _walked(spark, d)
     return _shown(gaps.evolution(gaps.detect(w, HOUR), w), "gap_id", "edge", "alive")
 
 
 @query("i03_gap_targets", _walk(_GAP_SQL, _EVO_SQL) + "SELECT symbol, 'ALL/' || epoch(formed_at)::BIGINT AS gap_id, epoch(ts)::BIGINT AS ts_s, round(edge, 6) AS edge, round((edge + CASE WHEN kind = 'bullish' THEN bottom ELSE top END) / 2, 6) AS mid FROM evo WHERE NOT spent")
 def i03(spark, d):
-    w = v.walk(spark, d)
+    w = _walked(spark, d)
     return _shown(gaps.target_points(gaps.detect(w, HOUR), w), "gap_id", "edge", "mid")
 
 
@@ -408,14 +408,14 @@ _AT = 1705276800  # 2024-01-15
   SELECT symbol, kind, round(CASE WHEN kind = 'bullish' THEN coalesce(edge, top) ELSE top END, 6) AS top, round(CASE WHEN kind = 'bearish' THEN coalesce(edge, bottom) ELSE bottom END, 6) AS bottom, epoch(formed_at)::BIGINT AS formed_at_s
   FROM gap LEFT JOIN n USING (formed_at) WHERE epoch(confirmed_at) <= 1705276800 AND coalesce(alive, true)""")
 def i04(spark, d):
-    w = v.walk(spark, d)
+    w = _walked(spark, d)
     return _shown(gaps.alive_at(gaps.detect(w, HOUR), w, F.timestamp_seconds(F.lit(_AT))), "kind", "top", "bottom", times=("formed_at",))
 
 
 @query("i05_gap_staircase", _walk(_GAP_SQL, _EVO_SQL) + """SELECT symbol, 'ALL/' || epoch(formed_at)::BIGINT AS gap_id, epoch(ts)::BIGINT AS ts_s, round(edge, 6) AS edge FROM evo WHERE NOT spent
   QUALIFY edge IS DISTINCT FROM lag(edge) OVER (PARTITION BY formed_at ORDER BY ts)""")
 def i05(spark, d):
-    w = v.walk(spark, d)
+    w = _walked(spark, d)
     return _shown(gaps.staircase(gaps.detect(w, HOUR), w), "gap_id", "edge")
 
 
@@ -453,6 +453,11 @@ def a18(spark, d):
     return rounded(profile.rebinned(profile.volume_by_bin(v.walk(spark, d), _spans(spark, d), _PROFILE), _BINS, 20), 8)
 
 
+def _walked(spark: SparkSession, d: str) -> DataFrame:
+    """The walk's candles, worked out once for several readers."""
+    return store.written(v.walk(spark, d))
+
+
 def _weekly_levels(spark: SparkSession, d: str, walks: Callable[..., DataFrame] | None = None) -> DataFrame:
     """Levels at the quarter points of each finished week's range: a plain grid
     for touch queries."""
@@ -471,7 +476,8 @@ touch AS (SELECT n.symbol, epoch(ts)::BIGINT AS ts_s, epoch(next_ts)::BIGINT AS
 
 @query("b21_touches", _walk(_LEVEL_SQL, _TOUCH_SQL) + "SELECT * FROM touch")
 def b21(spark, d):
-    return _shown(profile.touches(v.walk(spark, d), _weekly_levels(spark, d)), "range_id", "level", "price", "direction", times=("ts", "next_ts"))
+    w = _walked(spark, d)
+    return _shown(profile.touches(w, _weekly_levels(spark, d, lambda: w)), "range_id", "level", "price", "direction", times=("ts", "next_ts"))
 
 
 @query("v08_target_picking", _walk(_LEVEL_SQL, _TOUCH_SQL).replace("WITH ", "WITH RECURSIVE ", 1) + """, grid AS (SELECT t.*, row_number() OVER () AS rid FROM touch t),
@@ -481,8 +487,9 @@ def b21(spark, d):
     FROM (SELECT *, len(taken) < 3 AND abs(ps[i] - ref) >= abs(ref) * CASE WHEN len(taken) = 0 THEN 0.01 ELSE 0.005 END AS ok FROM step WHERE i <= len(ps)))
   SELECT g.symbol, g.ts_s, g.range_id, g.level, array_to_string(list_transform(coalesce(arg_max(s.taken, s.i), []), lambda x: round(x, 2)::VARCHAR), ';') AS targets FROM grid g LEFT JOIN step s USING (rid) GROUP BY g.rid, g.symbol, g.ts_s, g.range_id, g.level""")
 def v08(spark, d):
-    levels = _weekly_levels(spark, d)
-    touched = profile.touches(v.walk(spark, d), levels)
+    w = _walked(spark, d)
+    levels = _weekly_levels(spark, d, lambda: w)
+    touched = profile.touches(w, levels)
     grid = levels.groupBy("symbol").agg(F.collect_list("price").alias("grid"))  # three prices a week
     picked = profile.pick_targets(F.col("price"), F.col("direction"), F.col("grid"), 0.005, 3, F.lit(0.01))
     df = touched.join(grid, "symbol").withColumn("targets", F.array_join(F.transform(picked, lambda p: F.round(p, 2).cast("string")), ";"))
@@ -616,9 +623,13 @@ def v06(spark, d):
     return rounded(range_levels(spark, d))
 
 
-@query("v07_displaced_grids")
+_DRAW = "CAST('0x' || substr(md5('%s20260902/' || run || '/' || symbol || '/' || range_id || '/' || level), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+
+
+@query("v07_displaced_grids", _walk(_LEVEL_SQL, f"""moved AS (SELECT *, (0.03::DOUBLE + 0.12::DOUBLE * {_DRAW % 'size'}) * CASE WHEN {_DRAW % 'sign'} < 0.5 THEN -1.0::DOUBLE ELSE 1 END AS move FROM levels, (SELECT unnest(generate_series(1, 20))::INTEGER AS run) r)""")
+       + "SELECT symbol, range_id, level, round(price * (1 + move), 6) AS price, valid_s AS valid_from_s, 0.5::DOUBLE AS quality, run FROM moved")
 def v07(spark, d):
-    return rounded(profile.displaced(_weekly_levels(spark, d)))
+    return v.seconds(rounded(profile.displaced(_weekly_levels(spark, d))), "valid_from")
 
 
 def _simulated(spark: SparkSession, d: str, levels: DataFrame, variants: dict | None = None, config: BacktestConfig = SIMULATION, walks: Callable[..., DataFrame] | None = None) -> DataFrame:
@@ -655,7 +666,7 @@ _SWEEP = {f"stop-{s}-cool-{k}": {"stop_atr": s, "cooldown": k} for s in (1.0, 1.
 def b20(spark, d):
     levels = _weekly_levels(spark, d).withColumn("scenario", F.explode(F.array(*[F.lit(n) for n in _SWEEP])))
     trades = _simulated(spark, d, levels, _SWEEP)
-    parts = backtest.halves(trades, F.timestamp_seconds(F.lit(_AT)))
+    parts = backtest.halves(trades, v.walk(spark, d))
     return rounded(metrics.worst_of(metrics.summary(parts, 10_000.0, ("scenario", "half")), ["scenario"], least=1))
 
 
@@ -670,8 +681,8 @@ def b19(spark, d):
     "m AS (SELECT t.*, CASE WHEN direction > 0 THEN hi - price ELSE price - lo END / atr AS mfe, CASE WHEN direction > 0 THEN price - lo ELSE hi - price END / atr AS mae FROM touch t JOIN ah USING (symbol, next_ts_s))") + """SELECT symbol, ts_s, range_id, level,
     round(mfe, 6) + 0.0 AS mfe, round(mae, 6) + 0.0 AS mae, round(CASE WHEN mfe IS NOT NULL THEN mfe / greatest(mfe + greatest(mae, 0), 1e-9) END, 6) + 0.0 AS efficiency FROM m""")
 def b22(spark, d):
-    w = v.walk(spark, d)
-    return _shown(backtest.entry_quality(indicators.atr(w), profile.touches(w, _weekly_levels(spark, d))), "range_id", "level", "mfe", "mae", "efficiency")
+    w = _walked(spark, d)
+    return _shown(backtest.entry_quality(indicators.atr(w), profile.touches(w, _weekly_levels(spark, d, lambda: w))), "range_id", "level", "mfe", "mae", "efficiency")
 
 
 _RANDOM_SQL = """pb AS (SELECT symbol, row_number() OVER (ORDER BY ts) - 1 AS pos, close, nullif(atr, 0) AS unit, max(high) OVER f AS hi, min(low) OVER f AS lo FROM (SELECT *, {ATR} AS atr FROM tt) WINDOW f AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING)),
@@ -683,8 +694,9 @@ _RANDOM_SQL = """pb AS (SELECT symbol, row_number() OVER (ORDER BY ts) - 1 AS po
 
 
 def _random_control(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    w = indicators.atr(store.written(v.walk(spark, d)))
-    touched = profile.touches(w, _weekly_levels(spark, d))
+    walk = _walked(spark, d)
+    w = indicators.atr(walk)
+    touched = profile.touches(w, _weekly_levels(spark, d, lambda: walk))
     return backtest.random_entries(w, touched), backtest.entry_quality(w, touched)
 
 
@@ -710,15 +722,16 @@ def f_last_target(spark, d):
 @query("a07_entry_quality_by_side", ORACLE_SQL["b22_entry_quality"].replace("SELECT symbol, ts_s, range_id, level,", "SELECT direction, level, count(*) AS n,").replace("round(mfe, 6) + 0.0 AS mfe", "round(avg(mfe), 5) + 0.0 AS mfe").replace("round(mae, 6) + 0.0 AS mae", "round(avg(mae), 5) + 0.0 AS mae")
        .split(", round(CASE WHEN mfe IS NOT NULL")[0] + " FROM m GROUP BY ALL")
 def a07(spark, d):
-    w = v.walk(spark, d)
-    rows = backtest.entry_quality(indicators.atr(w), profile.touches(w, _weekly_levels(spark, d)))
+    w = _walked(spark, d)
+    rows = backtest.entry_quality(indicators.atr(w), profile.touches(w, _weekly_levels(spark, d, lambda: w)))
     return rounded(rows.groupBy("direction", "level").agg(F.count("*").alias("n"), F.avg("mfe").alias("mfe"), F.avg("mae").alias("mae")), 5)
 
 
 @query("f_structure_gate", _walk(_LEVEL_SQL, _TOUCH_SQL) + """, t AS (SELECT CASE abs(ts_s // 3600) % 3 WHEN 0 THEN 'bullish' WHEN 1 THEN 'bearish' ELSE 'undefined' END AS regime, direction AS d FROM touch)
   SELECT regime, d AS direction, (regime = 'bullish' AND d > 0) OR (regime = 'bearish' AND d < 0) AS with_trend, NOT ((regime = 'bullish' AND d < 0) OR (regime = 'bearish' AND d > 0)) AS not_against, count(*) AS n FROM t GROUP BY ALL""")
 def f_gate(spark, d):
-    t = profile.touches(v.walk(spark, d), _weekly_levels(spark, d))
+    w = _walked(spark, d)
+    t = profile.touches(w, _weekly_levels(spark, d, lambda: w))
     k = F.floor(F.unix_seconds("ts") / 3600) % 3
     t = t.withColumn("regime", F.when(k == 0, "bullish").when(k == 1, "bearish").otherwise("undefined"))
     return t.groupBy("regime", "direction", sig.permitted("regime", "direction", "with").alias("with_trend"), sig.permitted("regime", "direction", "not_against").alias("not_against")).agg(F.count("*").alias("n"))
@@ -730,9 +743,10 @@ def f8(spark, d):
     return profile.in_view(_spans(spark, d), at(_AT), at(_AT + 172_800)).select("range_id")
 
 
-@query("f9_halves", f"WITH {SQL_TRADES} SELECT CASE WHEN epoch(exit_ts) <= 800000000 THEN 'h1' ELSE 'h2' END AS half, count(*) AS n, round(avg(pnl_r), 6) AS mean_r FROM trades GROUP BY ALL")
+@query("f9_halves", f"WITH {SQL_TRADES}, d AS (SELECT DISTINCT exit_ts FROM trades), cut AS (SELECT list_sort(list(exit_ts))[count(*) // 2 + 1] AS cut FROM d) SELECT CASE WHEN exit_ts <= cut THEN 'h1' ELSE 'h2' END AS half, count(*) AS n, round(avg(pnl_r), 6) AS mean_r FROM trades, cut GROUP BY ALL")
 def f9(spark, d):
-    t = backtest.halves(v.trades(spark, d).withColumnRenamed("exit_ts", "entry_ts"), F.timestamp_seconds(F.lit(800_000_000)))
+    t = v.trades(spark, d).withColumnRenamed("exit_ts", "entry_ts").withColumn("symbol", F.lit("ALL"))
+    t = backtest.halves(t, t.select("symbol", F.col("entry_ts").alias("ts")).distinct())  # days with trades are the history
     return rounded(t.groupBy("half").agg(F.count("*").alias("n"), F.avg("pnl_r").alias("mean_r")))
 
 
@@ -798,7 +812,20 @@ def a11(spark, d):
     return rounded(metrics.control_summary(runs, 0.1))
 
 
-@query("a12_resampled_means")
+def _poisson_steps() -> list[float]:
+    steps, total, p = [], 0.0, 2.718281828459045**-1
+    for k in range(8):
+        total += p
+        steps.append(total)
+        p /= k + 1
+    return steps
+
+
+_TIMES = " + ".join(f"CASE WHEN u >= {x!r}::DOUBLE THEN 1 ELSE 0 END" for x in _poisson_steps())
+
+
+@query("a12_resampled_means", f"WITH {SQL_TRADES}, drawn AS (SELECT run, pnl_r, CAST('0x' || substr(md5('7/' || run || '/' || seq), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM trades, (SELECT unnest(generate_series(1, 50))::INTEGER AS run) r),"
+       f" c AS (SELECT run, pnl_r, {_TIMES} AS times FROM drawn) SELECT run, round(sum(pnl_r * times) / sum(times), 6) AS mean_value FROM c GROUP BY run")
 def a12(spark, d):
     return rounded(metrics.resampled(v.trades(spark, d), 50))
 
@@ -911,3 +938,32 @@ def st01(spark, d):
     raw = spark.readStream.schema(schema).parquet(f"{os.path.dirname(d + '/x')}/events.parquet*")
     ticks = raw.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("price"))
     return _shown(run_available(spark, ticks, 4 * HOUR), "open", "high", "low", "close", "volume")
+
+
+def _streamed(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """``df`` as a stream of the files of a table in the shared folder."""
+    path = store.shared_path(spark, "feed")
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+@query("st02_streamed_gaps", f"SELECT * FROM ({ORACLE_SQL['i02_gap_evolution']}) WHERE ts_s <= (WITH {SQL_WALK_TICKS} SELECT time_bucket(INTERVAL 1 HOUR, max(ts)).epoch() - 3600 FROM walk_ticks)")
+def st02(spark, d):
+    from ..streaming import ordered
+
+    return _shown(ordered.run(spark, ordered.stream_gaps(_streamed(spark, v.walk(spark, d)), HOUR)), "gap_id", "edge", "alive")
+
+
+@query("st03_streamed_funding", f"SELECT * FROM ({ORACLE_SQL['j02_asof_backward']}) WHERE ts_s + 1 <= (SELECT least(time_bucket(INTERVAL 1 HOUR, max(ts)).epoch(), max(ts) FILTER (event_type = 'error').epoch()) - 3600 FROM events)")
+def st03(spark, d):
+    from ..streaming import ordered
+
+    walked, paid = _streamed(spark, v.walk(spark, d).select("symbol", "ts")), _streamed(spark, v.rates(spark, d))
+    return _shown(ordered.run(spark, ordered.stream_asof(walked, paid, ["funding"], "30 DAYS")), "funding")
+
+
+@query("st04_streamed_pivots", _bars(_PIVOT_SQL) + f" SELECT {OUT}, pivot_high, pivot_low FROM (SELECT *, lead(ts, 3) OVER (PARTITION BY symbol ORDER BY ts) AS known FROM piv) WHERE epoch(known) <= (SELECT epoch(max(ts)) - 3600 FROM bars)")
+def st04(spark, d):
+    from ..streaming import ordered
+
+    return _shown(ordered.run(spark, ordered.stream_pivots(_streamed(spark, v.bars(spark, d)))), "pivot_high", "pivot_low")
