@@ -4,7 +4,9 @@ bounded batches, lineage cuts, hot-key joins and connected components."""
 from __future__ import annotations
 
 import sys
+import tempfile
 import uuid
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +27,15 @@ SLICE_BYTES = 1 << 20
 def work_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors share.
 
-    A session on one machine (tests) may leave it unset and gets one under
-    ``/tmp``; on a cluster its absence is an error.
+    Its absence is an error on a cluster.  A session on one machine may leave it
+    unset: its driver is its only executor, whose own folder then serves.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "/tmp/checkpoints"
+        warnings.warn("spark.checkpoint.dir is not set: a folder of this machine is used", stacklevel=2)
+        base = f"{tempfile.gettempdir()}/checkpoints"
     return f"{base.rstrip('/')}/tapeweave-{uuid.uuid4().hex}"
 
 
@@ -118,6 +121,11 @@ class Words:
         return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
 
+def quoted(name: str) -> str:
+    """A column's name as it may stand in an expression, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def entry_bytes(key: str, value: bytes) -> int:
     """What a remembered pair takes: both objects as Python holds them, and
     their place in a dictionary that may just have grown."""

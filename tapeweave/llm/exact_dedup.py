@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ASCII_LOWER, ASCII_UPPER, cut, join_by_key
+from .common import ASCII_LOWER, ASCII_UPPER, cut, join_by_key, quoted
 
 #: Bytes of a key: SHA-256, length, second hash.
 KEY = 48
@@ -180,10 +180,10 @@ def merge_round(runs: DataFrame, fan: int, tasks: int, bits: int, keep: str = "l
     return dealt.drop("group").mapInArrow(merge, RUNS)
 
 
-def merge_runs(rows: DataFrame, total: int, keep: str = "largest", fan: int = 16) -> DataFrame:
+def merge_runs(rows: DataFrame, total: int, keep: str = "largest", fan: int = 2, rounds: list[int] | None = None) -> DataFrame:
     """Sort ``rows`` (``doc_id, key``; ``total`` of them, written to storage)
     into runs and merge these, ``fan`` at a time, down to one entry a text:
-    ``key, keep_id, group_size``.
+    ``key, keep_id, group_size``.  ``rounds`` is given the number of rounds.
 
     Equal keys of any number of rows are one entry from their own partition on.
     A null identifier loses to any other; a text with none has a null
@@ -196,7 +196,9 @@ def merge_runs(rows: DataFrame, total: int, keep: str = "largest", fan: int = 16
     # the written runs say how many there are, whatever plan made them
     left = (runs.agg(F.max("run")).first()[0] or 0) + 1
     sliced = _bits(total, partitions, fan)
+    n = 0
     while True:
+        n += 1
         entries, chunks = runs.agg(F.sum("n"), F.count("*")).first()
         groups = -(-left // fan)
         after = _bits(entries or 0, groups, fan)
@@ -204,6 +206,8 @@ def merge_runs(rows: DataFrame, total: int, keep: str = "largest", fan: int = 16
         left, sliced = groups, after
         if left == 1:
             break
+    if rounds is not None:
+        rounds.append(n)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,11 +219,13 @@ def merge_runs(rows: DataFrame, total: int, keep: str = "largest", fan: int = 16
     return runs.mapInArrow(unpack, "key binary, keep_id long, group_size long")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", fan: int = 16) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", fan: int = 2) -> DataFrame:
     """Group documents of equal text and name the one that stays.
 
     Returns one row per input row: ``doc_id, keep_id, group_size, kept,
-    text_sha256``.  ``keep`` is ``largest`` or ``smallest`` identifier.
+    text_sha256``.  ``keep`` is ``largest`` or ``smallest`` identifier.  Runs are
+    merged ``fan`` at a time; with two the rounds are binomial, as many as the
+    logarithm of the runs to base two.
 
     Null or empty text: one group, like any other text.  Null identifier: loses
     to any other; a group with null identifiers only has a null ``keep_id`` and
@@ -244,9 +250,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     key = lambda ident, digest: F.unhex(F.sha2(F.concat_ws("|", digest, F.coalesce(ident.cast("string"), F.lit("null"))), 256))
     kept = exact_dedup(docs, id_col, text_col, keep).where("kept").select(key(F.col("keep_id"), F.col("text_sha256")).alias("__key")).distinct()
-    hashed = F.xxhash64(*[docs[f.name] for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
-    marked = docs.select("*", key(F.col(id_col).cast("long"), F.sha2(normalised(F.col(text_col)), 256)).alias("__key"), hashed.alias("__hash"))
+    hashed = F.xxhash64(*[docs[quoted(f.name)] for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    marked = docs.select("*", key(F.col(quoted(id_col)).cast("long"), F.sha2(normalised(F.col(quoted(text_col))), 256)).alias("__key"), hashed.alias("__hash"))
     # the join and the choice among repeated rows share one exchange of the texts;
     # each task passes on one row a key at most
     first = F.row_number().over(Window.partitionBy("__key").orderBy("__hash"))
-    return marked.join(kept, "__key", "left_semi").withColumn("__n", first).where("__n = 1").select(*docs.columns)
+    return marked.join(kept, "__key", "left_semi").withColumn("__n", first).where("__n = 1").select(*map(quoted, docs.columns))

@@ -352,10 +352,12 @@ def accepted(docs: DataFrame, model: LangModel, min_score: float = 0.4, text_col
 
     Null, empty and letterless texts go; a null identifier is nothing special;
     repeated rows stay or go together; an empty table gives an empty result."""
-    schema = docs.schema
+    # Spark hands columns to Python by unquoted name: those with dots get others on the way
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text = f"c{docs.columns.index(text_col)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
-            yield batch.filter(pa.array(learned(batch.column(text_col), model, min_score)))
+        for batch in slices(batches, text):
+            yield batch.filter(pa.array(learned(batch.column(text), model, min_score)))
 
-    return docs.mapInArrow(run, schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, quoted
 
 DIMS = ("source", "lang", "topic")
 
@@ -66,7 +66,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     characters after a blank or line break, an empty text has none.  Null
     levels are the level ``unknown``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    level = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
+    level = lambda c: F.coalesce(F.col(quoted(c)).cast("string"), F.lit("unknown"))
     blanks = F.char_length(text) - F.char_length(F.translate(text, " \n", ""))
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), level(source_col).alias("source"), level(lang_col).alias("lang"), topic_of(text).alias("topic"),
@@ -170,6 +170,6 @@ def sampled(docs: DataFrame, params: MixParams | None = None, id_col: str = "doc
     p = params or MixParams()
     levels = [f"__{d}" for d in DIMS]
     cells = cut(mix(docs, p, id_col, text_col, source_col, lang_col).select(*[F.col(d).alias(f"__{d}") for d in DIMS], F.col("probability").alias("__p")).distinct())
-    level = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
-    marked = docs.withColumns(dict(zip(levels, (level(source_col), level(lang_col), topic_of(F.coalesce(F.col(text_col), F.lit("")))))))
-    return marked.join(cells, levels).where(uniform(F.col(id_col), p.seed) < F.col("__p")).select(*[docs[c] for c in docs.columns])
+    level = lambda c: F.coalesce(F.col(quoted(c)).cast("string"), F.lit("unknown"))
+    marked = docs.withColumns(dict(zip(levels, (level(source_col), level(lang_col), topic_of(F.coalesce(F.col(quoted(text_col)), F.lit("")))))))
+    return marked.join(cells, levels).where(uniform(F.col(quoted(id_col)), p.seed) < F.col("__p")).select(*[docs[quoted(c)] for c in docs.columns])

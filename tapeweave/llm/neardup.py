@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, components, cut, join_by_key, mix, slices
+from .common import Words, components, cut, join_by_key, mix, quoted, slices
 
 
 @dataclass(frozen=True)
@@ -289,5 +289,5 @@ def without_near_duplicates(docs: DataFrame, params: NearDupParams | None = None
     digest = lambda text: f"unhex(sha2(coalesce({text}, ''), 256))"
     answers = _answers(docs, params or NearDupParams(), id_col, text_col, digest("text"))
     gone = answers.where("NOT kept").select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__gone_text")).distinct()
-    marked = docs.withColumns({"__id": F.col(id_col).cast("long"), "__text": F.expr(digest(f"cast(`{text_col}` AS string)"))})
-    return marked.join(gone, marked["__id"].eqNullSafe(gone["__gone"]) & (marked["__text"] == gone["__gone_text"]), "left_anti").select(*docs.columns)
+    marked = docs.withColumns({"__id": F.col(quoted(id_col)).cast("long"), "__text": F.expr(digest(f"cast(`{text_col}` AS string)"))})
+    return marked.join(gone, marked["__id"].eqNullSafe(gone["__gone"]) & (marked["__text"] == gone["__gone_text"]), "left_anti").select(*map(quoted, docs.columns))

@@ -6,6 +6,7 @@ import glob
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -48,7 +49,7 @@ def test_stages_take_an_empty_table(spark):
 
 def test_stages_take_odd_rows_and_clashing_columns(spark):
     rows = [(1, None, "en", "a"), (2, "", "en", "a"), (3, "hello there my friend", None, None), (3, "hello there my friend", None, None), (None, "hello there my friend", "en", "b"), (4, "word " * 30_000, "en", "a")]
-    docs = spark.createDataFrame([(i, t, lang, src, len(t or ""), 1.0, True, "x", 2, 3) for i, t, lang, src in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, class string, tokens int, n_tokens int")
+    docs = spark.createDataFrame([(i, t, lang, src, len(t or ""), 1.0, True, "x", 2, 3) for i, t, lang, src in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, class string, tokens int, n_tokens int").withColumn("meta.x", F.lit("y"))
     for name, stage in corpus_pipeline.STAGES[:4]:
         out = cut(stage(spark, docs, SF))
         assert out.columns == docs.columns and out.count() <= 6, name
