@@ -954,12 +954,13 @@ def st02(spark, d):
     return _shown(ordered.run(spark, ordered.stream_gaps(_streamed(spark, v.walk(spark, d)), HOUR)), "gap_id", "edge", "alive")
 
 
-@query("st03_streamed_funding", f"SELECT * FROM ({ORACLE_SQL['j02_asof_backward']}) WHERE ts_s + 1 <= (SELECT least(time_bucket(INTERVAL 1 HOUR, max(ts)).epoch(), max(ts) FILTER (event_type = 'error').epoch()) - 3600 FROM events)")
+@query("st03_streamed_funding", _walk(SQL_RATES) + """, closed AS (SELECT least((SELECT max(ts) FROM walk), (SELECT max(ts) FROM rates)) - INTERVAL 1 HOUR - INTERVAL 2 DAY AS t)
+  SELECT w.symbol, epoch(w.ts)::BIGINT AS ts_s, CASE WHEN r.ts > w.ts - INTERVAL 2 DAY THEN round(r.funding, 6) END AS funding FROM walk w ASOF LEFT JOIN rates r ON w.symbol = r.symbol AND w.ts >= r.ts WHERE w.ts + INTERVAL 1 SECOND <= (SELECT t FROM closed)""")
 def st03(spark, d):
     from ..streaming import ordered
 
     walked, paid = _streamed(spark, v.walk(spark, d).select("symbol", "ts")), _streamed(spark, v.rates(spark, d))
-    return _shown(ordered.run(spark, ordered.stream_asof(walked, paid, ["funding"], "30 DAYS")), "funding")
+    return _shown(ordered.run(spark, ordered.stream_asof(walked, paid, ["funding"], "2 DAYS")), "funding")
 
 
 @query("st04_streamed_pivots", _bars(_PIVOT_SQL) + f" SELECT {OUT}, pivot_high, pivot_low FROM (SELECT *, lead(ts, 3) OVER (PARTITION BY symbol ORDER BY ts) AS known FROM piv) WHERE epoch(known) <= (SELECT epoch(max(ts)) - 3600 FROM bars)")

@@ -80,7 +80,7 @@ class GapLives(InOrder):
                 self.alive.removeKey((gap_id,))
             else:
                 self.alive.updateValue((gap_id,), (kind, top, bottom, confirmed, worn))
-            yield Row(symbol, gap_id, kind, top, bottom, _time(confirmed), _time(ms), edge, not dead)
+            yield Row(symbol=symbol, gap_id=gap_id, kind=kind, top=top, bottom=bottom, confirmed_at=_time(confirmed), ts=_time(ms), edge=edge, alive=not dead)
         past = list(self.past.get())
         if len(past) == 2:
             h1, l1 = past[0]
@@ -107,7 +107,7 @@ class PivotMarks(InOrder):
             at = len(near) - 1 - n
             sides = [x for k, (_, x) in enumerate(near) if k != at]
             own, whole = near[at][1], len(near) == 2 * n + 1
-            yield Row(symbol, _time(near[at][0]), own, whole and own > max(sides), whole and own < min(sides))
+            yield Row(symbol=symbol, ts=_time(near[at][0]), close=own, pivot_high=whole and own > max(sides), pivot_low=whole and own < min(sides))
         self.near.put(near[-2 * n :])
 
 
@@ -134,8 +134,9 @@ def stream_asof(bars: DataFrame, rates: DataFrame, values: list[str], within: st
 
     Both sides have watermarks (``late_rates`` if the rates' differs), and a bar
     meets the rates of a bounded time, so the state of the join is bounded too.
-    A bar comes out when no rate for it can come any more; a rate that is later
-    than its watermark is left out.
+    A bar comes out when no rate for it can come any more and ``within`` has
+    passed too (Spark gives out what a join made that late); a rate that is
+    later than its watermark is left out.
     """
     left = bars.withWatermark("ts", lateness)
     right = rates.select(F.col("symbol").alias("r_symbol"), F.col("ts").alias("r_ts"), F.struct(*values).alias("r_values")).withWatermark("r_ts", late_rates or lateness)
