@@ -95,6 +95,37 @@ def s05_landed(spark, d):
     return _shown(src.landed(raw.crossJoin(now), HOUR, F.col("now")), "open", "high", "low", "close", "volume")
 
 
+def _landing(spark: SparkSession, d: str) -> str:
+    """Two downloads as pages of 100: the bars, and some of them again with
+    other prices."""
+    from ..sources import paged
+
+    path, bars = store.shared_path(spark, "pages"), v.bars(spark, d)
+    again = bars.where("volume > 3").withColumns({c: F.col(c) + 1 for c in ("open", "high", "low", "close")})
+    for run, df in enumerate((bars, again)):
+        paged.land_pages(df, path, 100, run)
+    return path
+
+
+@query("s05_paged_download", ORACLE_SQL["s05_landed_candles"])
+def s05_paged(spark, d):
+    from ..sources import paged
+
+    raw = paged.read_pages(spark, _landing(spark, d), 100)
+    now = F.broadcast(raw.where("run = 0").agg(F.max("ts").alias("now")))  # one row
+    return _shown(src.landed(raw.crossJoin(now), HOUR, F.col("now")), "open", "high", "low", "close", "volume")
+
+
+@query("st05_streamed_pages", ORACLE_SQL["s05_landed_candles"])
+def st05(spark, d):
+    from ..sources import paged
+    from ..streaming import ordered
+
+    came = ordered.run(spark, paged.read_pages(spark, _landing(spark, d), 100, stream=True, pages=1_000_000).drop("arrival")).withColumn("arrival", F.struct("run", "page", "place"))
+    now = F.broadcast(came.where("run = 0").agg(F.max("ts").alias("now")))  # one row
+    return _shown(src.landed(came.crossJoin(now), HOUR, F.col("now")), "open", "high", "low", "close", "volume")
+
+
 @query("s06_partitioned_store", _bars() + "SELECT symbol, '1h' AS tf, epoch(ts)::BIGINT AS ts_s, open, close FROM bars WHERE symbol IN ('click', 'error', 'view')")
 def s06_store(spark, d):
     path = store.shared_path(spark, "store")
