@@ -219,7 +219,7 @@ class WordTokenizer:
     a whole text.  Files with any other normaliser or splitter (``BY_WORD``)
     have their texts encoded whole."""
 
-    MOST = 48 << 20
+    MOST = 96 << 20
     WIDEST = 256
 
     def __init__(self, path: str):
