@@ -50,30 +50,34 @@ def summary(trades: DataFrame, capital: float, by: tuple[str, ...] = (), hours_p
     """One row (per group of ``by``): count, win rate, total return, mean, median
     and total R, profit factor (infinite without losses), deepest drawdown of
     the capital in closing order (``seq``), mean adverse and favourable move,
-    median duration.  Without ``by``, no trades give the defaults and medians
-    are spread (see ``quantiles``); with it, a group's values meet for them."""
+    median duration.  Without ``by``, no trades give the defaults.  Both medians
+    come from one pass over value counts (see ``quantiles``)."""
     # the running peak in two levels: inside blocks of trades, and over blocks
     rows = trades.withColumn("__b", F.floor(F.col("seq") / BLOCK))
     inner = Window.partitionBy(*by, "__b").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*(by or (F.lit(1),))).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    heads = rows.groupBy(*by, "__b").agg(F.max("capital_after").alias("__top")).select(*by, "__b", F.max("__top").over(before).alias("__before"))
-    peak = F.greatest(F.lit(capital), F.max("capital_after").over(inner), F.col("__before"))
-    rows = rows.join(heads, [*by, "__b"]).withColumn("__dd", F.least(F.lit(0.0), (F.col("capital_after") - peak) / peak))
+    block = F.struct(F.lit(0).alias("__0"), *by, "__b")  # as a struct, null groups meet
+    heads = rows.groupBy(*by, "__b").agg(F.max("capital_after").alias("__top")).select(block.alias("__block"), F.max("__top").over(before).alias("__before"))
+    rows = rows.withColumn("__inner", F.max("capital_after").over(inner)).withColumn("__block", block).join(heads, "__block")
+    peak = F.greatest(F.lit(capital), "__inner", "__before")
+    rows = rows.withColumn("__dd", F.least(F.lit(0.0), (F.col("capital_after") - peak) / peak))
     gain, loss = F.sum(F.when(F.col("pnl_pct") > 0, F.col("pnl_pct"))), F.sum(F.when(F.col("pnl_pct") < 0, -F.col("pnl_pct")))
     n = F.count("*")
     out = rows.groupBy(*by).agg(
         n.alias("n_trades"), F.avg((F.col("pnl_pct") > 0).cast("double")).alias("win_rate"),
-        F.coalesce(F.max_by("capital_after", "seq") / capital - 1, F.lit(0.0)).alias("total_return"), F.avg("pnl_r").alias("mean_r"), *([F.median("pnl_r").alias("median_r")] if by else []),
+        F.coalesce(F.max_by("capital_after", "seq") / capital - 1, F.lit(0.0)).alias("total_return"), F.avg("pnl_r").alias("mean_r"),
         F.coalesce(F.sum("pnl_r"), F.lit(0.0)).alias("total_r"),
         F.when(n > 0, F.when(loss > 0, F.coalesce(gain, F.lit(0.0)) / loss).otherwise(F.lit(float("inf")))).alias("profit_factor"),
         F.coalesce(F.min("__dd"), F.lit(0.0)).alias("max_drawdown"), F.avg("mae_pct").alias("mean_mae"), F.avg("mfe_pct").alias("mean_mfe"),
-        *([(F.median("bars") * hours_per_bar).alias("median_hours")] if by else []),
     )
-    if by:
-        return out
-    middle = quantiles(trades, {"median_r": ("pnl_r", 0.5), "__bars": ("bars", 0.5)})  # one row
-    out = out.join(F.broadcast(middle)).withColumn("median_hours", F.col("__bars") * hours_per_bar)
-    return out.select("n_trades", "win_rate", "total_return", "mean_r", "median_r", "total_r", "profit_factor", "max_drawdown", "mean_mae", "mean_mfe", "median_hours")
+    middle = quantiles(trades, {"median_r": ("pnl_r", 0.5), "__bars": ("bars", 0.5)}, by)
+    if by:  # as structs, null groups meet
+        group = F.struct(F.lit(0).alias("__0"), *by)
+        out = out.withColumn("__group", group).join(middle.withColumn("__group", group).drop(*by), "__group")
+    else:
+        out = out.join(F.broadcast(middle))  # one row
+    out = out.withColumn("median_hours", F.col("__bars") * hours_per_bar)
+    return out.select(*by, "n_trades", "win_rate", "total_return", "mean_r", "median_r", "total_r", "profit_factor", "max_drawdown", "mean_mae", "mean_mfe", "median_hours")
 
 
 def breakdown(trades: DataFrame, *by: str) -> DataFrame:

@@ -173,6 +173,35 @@ def pick_targets(entry: Column, direction: Column, grid: Column, apart: float, m
     return F.aggregate(nearest, start, take, lambda s: s["taken"])
 
 
+def picked_targets(entries: DataFrame, levels: DataFrame, apart: float, most: int, first_apart: float | None = None) -> DataFrame:
+    """``entries`` (``symbol, price, direction``) with ``targets``: what
+    ``pick_targets`` takes from all prices of ``levels``.
+
+    The different prices of each symbol and side stand in order in a tree of
+    extremes, and each target is a search for the first that is far enough: no
+    entry meets a list of prices.
+    """
+    side = F.explode(F.array(F.lit(1), F.lit(-1))).alias("direction")
+    prices = levels.where("price IS NOT NULL AND NOT isnan(price)").select("symbol", F.col("price").cast("double").alias("target")).distinct().select("*", side)
+    key = lambda: F.concat_ws("/", F.col("direction").cast("string"), "symbol").alias("__side")
+    order = Window.partitionBy("__side").orderBy(F.col("target") * F.col("direction"))
+    placed = prices.select(key(), "target", "direction").withColumn("pos", (F.row_number().over(order) - 1).cast("long")).withColumn("ahead", F.col("target") * F.col("direction"))
+    tree = passage.build(placed.select("__side", "pos", "ahead", "target"), {"ahead": "max"}, ["target"], key="__side")
+    state = entries.withColumns({"__side": key(), "__ref": F.col("price").cast("double"), "targets": F.array().cast("array<double>"), "__pos": F.lit(0).cast("long")})
+    for _ in range(most):
+        share = F.when(F.size("targets") == 0, F.lit(apart if first_apart is None else first_apart)).otherwise(F.lit(apart))
+        state = state.withColumn("__need", F.abs("__ref") * share)
+        far = lambda x, leaf: (x["ahead"] - F.col("__ref") * F.col("direction") >= F.col("__need")) & (x["ahead"] > F.col("price") * F.col("direction"))
+        found = passage.first_passage(state, tree, F.col("__pos"), far, "__at")
+        # one row of the tree more says which price that is
+        met = tree.levels[0].select(F.col("__side").alias("__own"), F.col("node").alias("__node"), F.col("kids"))
+        found = found.join(met, (F.col("__side") == F.col("__own")) & (F.expr(f"__at div {tree.fan}") == F.col("__node")), "left")
+        got = F.get("kids", F.pmod(F.col("__at"), F.lit(tree.fan)).cast("int"))["target"]
+        found = found.withColumn("__got", got)
+        state = found.select(*entries.columns, "__side", F.coalesce("__got", "__ref").alias("__ref"), F.coalesce("__at", "__pos").alias("__pos"), F.when(F.col("__got").isNull(), F.col("targets")).otherwise(F.array_append("targets", F.col("__got"))).alias("targets"))
+    return state.select(*entries.columns, "targets")
+
+
 def touches(candles: DataFrame, levels: DataFrame) -> DataFrame:
     """Every touch of a level: a decision bar after ``valid_from`` whose next
     bar spans the price, unless the close lies on it.

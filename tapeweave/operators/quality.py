@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schema import OHLCV, require_columns
+from ..sources.store import write_candles
 
 
 def duplicates(candles: DataFrame) -> DataFrame:
@@ -38,15 +39,22 @@ def report(candles: DataFrame, seconds: int) -> DataFrame:
     """One row per symbol: rows, first and last time, bars expected, missing,
     coverage in percent of the expected bars, duplicates, impossible rows."""
     require_columns(candles, "symbol", "ts", *OHLCV)
-    bad = (
-        F.col("open").isNull() | F.col("high").isNull() | F.col("low").isNull() | F.col("close").isNull()
-        | F.coalesce(F.col("high") < F.col("low"), F.lit(False)) | F.coalesce(F.col("volume") < 0, F.lit(False))
-    )
-    per_time = candles.groupBy("symbol", "ts").agg(F.count("*").alias("n"), F.sum(bad.cast("int")).alias("bad"))
+    per_time = candles.groupBy("symbol", "ts").agg(F.count("*").alias("n"), F.sum(_faulty().cast("int")).alias("bad"))
     s = F.unix_seconds("ts")
     rows = per_time.groupBy("symbol").agg(
         F.sum("n").alias("n_rows"), F.min(s).alias("first_s"), F.max(s).alias("last_s"), F.count("*").alias("present"), F.sum("bad").alias("n_impossible")
     )
+    return _reported(rows, seconds)
+
+
+def _faulty() -> Column:
+    return (
+        F.col("open").isNull() | F.col("high").isNull() | F.col("low").isNull() | F.col("close").isNull()
+        | F.coalesce(F.col("high") < F.col("low"), F.lit(False)) | F.coalesce(F.col("volume") < 0, F.lit(False))
+    )
+
+
+def _reported(rows: DataFrame, seconds: int) -> DataFrame:
     expected = F.expr(f"(last_s - first_s) div {seconds} + 1")
     return rows.withColumn("expected", expected).select(
         "symbol", "n_rows", "first_s", "last_s", "expected", (F.col("expected") - F.col("present")).alias("n_missing"),
@@ -54,6 +62,35 @@ def report(candles: DataFrame, seconds: int) -> DataFrame:
     )
 
 
+def land_audited(candles: DataFrame, path: str, timeframe: str, symbols: list[str], seconds: int) -> DataFrame:
+    """Writes ``candles`` to the table at ``path``, the first row of each symbol
+    and time by its values, and gives the ``report`` of what came in.
+
+    The figures are observed on the rows as they pass to the files, so there is
+    one scan and no second plan.  Observed figures can't be grouped: each symbol
+    of the watchlist has its own five, and a symbol outside it raises
+    ``ValueError``, as does a table without rows.
+    """
+    require_columns(candles, "symbol", "ts", *OHLCV)
+    spark, own = candles.sparkSession, list(dict.fromkeys(symbols))
+    first = Window.partitionBy("symbol", "ts").orderBy(*OHLCV)
+    s, of = F.unix_seconds("ts"), lambda name, value: F.when(F.col("symbol") == name, value)
+    figures = [F.count("*").alias("all")]
+    for k, name in enumerate(own):
+        figures += [
+            F.count(of(name, F.lit(1))).alias(f"n_{k}"), F.min(of(name, s)).alias(f"first_{k}"), F.max(of(name, s)).alias(f"last_{k}"),
+            F.count(of(name, F.when(F.col("__n") == 1, 1))).alias(f"present_{k}"), F.count(of(name, F.when(_faulty(), 1))).alias(f"bad_{k}"),
+        ]
+    audit = Observation("audit")
+    watched = candles.withColumn("__n", F.row_number().over(first)).observe(audit, *figures)
+    write_candles(watched.where("__n = 1").drop("__n"), path, timeframe)
+    got = audit.get
+    rows = [(name, *(got[f"{what}_{k}"] for what in ("n", "first", "last", "present", "bad"))) for k, name in enumerate(own) if got[f"n_{k}"]]
+    if not rows or sum(r[1] for r in rows) != got["all"]:
+        raise ValueError(f"{got['all'] - sum(r[1] for r in rows)} of {got['all']} rows are of symbols outside the watchlist, or there are none")
+    return _reported(spark.createDataFrame(rows, "symbol string, n_rows long, first_s long, last_s long, present long, n_impossible long"), seconds)
+
+
 def funding_faults(funding: DataFrame, most: float = 0.1) -> DataFrame:
     """Per symbol: rows, duplicates, nulls and rates beyond ``most``."""
     per_time = funding.groupBy("symbol", "ts").agg(

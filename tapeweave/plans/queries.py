@@ -202,6 +202,13 @@ def q04(spark, d):
     return rounded(quality.report(_dirty(spark, d), HOUR))
 
 
+@query("q04_report_while_writing", ORACLE_SQL["q04_quality_report"])
+def q04_observed(spark, d):
+    dirty = _dirty(spark, d)
+    symbols = [r.symbol for r in v.table(spark, d, "events").select(F.col("event_type").alias("symbol")).distinct().collect()]  # the watchlist
+    return rounded(quality.land_audited(dirty, store.shared_path(spark, "audited"), "1h", symbols, HOUR))
+
+
 @query("q05_funding_faults", "WITH " + SQL_RATES + """, bad AS (SELECT symbol, ts, CASE WHEN funding > 0.02 THEN funding * 10 WHEN funding < -0.0045 THEN NULL ELSE funding END AS funding FROM rates)
   SELECT symbol, count(*) AS n_rows, count(*) - count(DISTINCT ts) AS n_duplicates, CAST(sum(CASE WHEN funding IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_nulls,
   CAST(sum(CASE WHEN abs(funding) > 0.1 THEN 1 ELSE 0 END) AS BIGINT) AS n_extreme FROM bad GROUP BY symbol""")
@@ -519,12 +526,9 @@ def b21(spark, d):
   SELECT g.symbol, g.ts_s, g.range_id, g.level, array_to_string(list_transform(coalesce(arg_max(s.taken, s.i), []), lambda x: round(x, 2)::VARCHAR), ';') AS targets FROM grid g LEFT JOIN step s USING (rid) GROUP BY g.rid, g.symbol, g.ts_s, g.range_id, g.level""")
 def v08(spark, d):
     w = _walked(spark, d)
-    levels = _weekly_levels(spark, d, lambda: w)
-    touched = profile.touches(w, levels)
-    grid = levels.groupBy("symbol").agg(F.collect_list("price").alias("grid"))  # three prices a week
-    picked = profile.pick_targets(F.col("price"), F.col("direction"), F.col("grid"), 0.005, 3, F.lit(0.01))
-    df = touched.join(grid, "symbol").withColumn("targets", F.array_join(F.transform(picked, lambda p: F.round(p, 2).cast("string")), ";"))
-    return _shown(df, "range_id", "level", "targets")
+    levels = store.written(_weekly_levels(spark, d, lambda: w))
+    picked = profile.picked_targets(profile.touches(w, levels), levels, 0.005, 3, 0.01)
+    return _shown(picked.withColumn("targets", F.array_join(F.transform("targets", lambda p: F.round(p, 2).cast("string")), ";")), "range_id", "level", "targets")
 
 
 # ranges and simulation
@@ -649,9 +653,30 @@ def range_levels(spark: SparkSession, d: str, causal: bool = False) -> DataFrame
     return profile.level_grid(chosen, levels, SIMULATION.kinds)
 
 
-@query("v06_level_grid")
+def _grid_sql() -> str:
+    """The level grid of the chosen ranges: bars by grade, then the profile of
+    ``v04`` over them."""
+    profiled = ORACLE_SQL["v04_profile_levels"]
+    profiled = profiled[profiled.index("lim AS (") :]
+    return sql_ranges_with({"fine": "15 MINUTE", "coarse": "4 HOUR"}) + _chosen_sql("ranges", "kind").split("\n  SELECT ")[0] + f""",
+  chosen AS (SELECT o.*, o.symbol || '/' || o."window" || '/' || o.declared_at_s AS range_id FROM ord o JOIN fold USING (kind, rn) WHERE fold.ok),
+  graded AS (SELECT range_id, start_s, end_s, CASE WHEN count(*) < 60 THEN 'fine' WHEN count(*) <= 200 THEN 'middle' ELSE 'coarse' END AS grade
+    FROM chosen JOIN walk w ON epoch(w.ts) BETWEEN start_s AND end_s GROUP BY ALL),
+  met AS ({" UNION ALL ".join(f"SELECT range_id, high, low, volume FROM graded JOIN {t} w ON grade = '{g}' AND epoch(w.ts) BETWEEN start_s AND end_s" for t, g in (("fine", "fine"), ("walk", "middle"), ("coarse", "coarse")))}),
+  lv AS (WITH RECURSIVE inside AS (SELECT * FROM met), {profiled})
+  SELECT symbol, range_id, "window", kind, u.level, round(CASE u.level WHEN 'val' THEN val WHEN 'poc' THEN poc ELSE vah END, 6) AS price, round(quality, 6) AS quality,
+    confirmed_at_s::BIGINT AS valid_from_s, start_s, end_s FROM chosen JOIN lv USING (range_id), (VALUES ('val'), ('poc'), ('vah')) u(level) WHERE confirmed_at_s IS NOT NULL"""
+
+
+def sql_ranges_with(walks: dict[str, str]) -> str:
+    """``_RANGE_SQL`` with walks of other steps beside its own."""
+    more = ", ".join(sql_walk(step, name) for name, step in walks.items())
+    return _RANGE_SQL[:-1].replace(sql_walk() + ",", sql_walk() + ", " + more + ",", 1)
+
+
+@query("v06_level_grid", _grid_sql())
 def v06(spark, d):
-    return rounded(range_levels(spark, d))
+    return v.seconds(rounded(range_levels(spark, d)), "valid_from", "start", "end")
 
 
 _DRAW = "CAST('0x' || substr(md5('%s20260902/' || run || '/' || symbol || '/' || range_id || '/' || level), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"

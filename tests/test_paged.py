@@ -67,3 +67,41 @@ def test_the_stream_goes_on_from_its_page(spark):
     paged.land_pages(table.where(F.col("ts") >= F.lit(at(60))), path, 10, run=1)
     run()
     assert _rows(run()) == _rows(table)
+
+
+def test_the_audit_comes_from_the_pass_that_writes(spark):
+    import pytest
+
+    from tapeweave.operators import quality
+    from tapeweave.sources.store import read_candles
+
+    source, path = shared_path(spark, "raw"), shared_path(spark, "audited")
+    table = _table(spark, 40).where(~F.col("ts").isin(at(7), at(8)))
+    dirty = table.unionByName(table.where(F.col("ts") < F.lit(at(3))).withColumn("high", F.col("low") - 1)).withColumn("close", F.when(F.col("ts") == F.lit(at(9)), None).otherwise(F.col("close")))
+    dirty.write.parquet(source)
+    raw = spark.read.parquet(source)
+    got = quality.land_audited(raw, path, "4h", ["AA", "B/B:X", "none"], 4 * 3600)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, quality.report(raw, 4 * 3600).collect()))
+    kept = read_candles(spark, path)
+    assert kept.count() == raw.select("symbol", "ts").distinct().count() == 76
+    # figures and files come from one scan
+    store = spark._jsparkSession.sharedState().statusStore()
+    plans = [store.execution(k).get().physicalPlanDescription() for k in range(store.executionsCount()) if store.execution(k).isDefined()]
+    writes = [p for p in plans if "CollectMetrics" in p]
+    assert writes and all(p.count("FileScan parquet") + p.count("Scan parquet ") >= 1 and p.count("+- Scan parquet") <= 2 for p in writes[-1:])
+    with pytest.raises(ValueError, match="watchlist"):
+        quality.land_audited(raw, shared_path(spark, "audited"), "4h", ["AA"], 4 * 3600)
+
+
+def test_summary_by_group_holds_no_group(spark):
+    from tapeweave.operators import metrics
+
+    rows = [(k, ["a", "b", None][k % 3], (k * 37 % 101) / 10 - 4, k % 17) for k in range(300)]
+    trades = spark.createDataFrame(rows, "seq long, g string, pnl_r double, bars long").selectExpr("*", "pnl_r / 100 AS pnl_pct", "10000.0 + pnl_r AS capital_after", "0.0 AS mae_pct", "0.0 AS mfe_pct")
+    got = metrics.summary(trades, 10_000.0, ("g",))
+    assert "median(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    import statistics
+
+    want = {g: (statistics.median(r[2] for r in rows if r[1] == g), statistics.median(r[3] for r in rows if r[1] == g) * 0.25) for g in ("a", "b", None)}
+    have = {r.g: (r.median_r, r.median_hours) for r in got.collect()}
+    assert have.keys() == want.keys() and all(abs(a - b) < 1e-12 for g in want for a, b in zip(have[g], want[g]))
