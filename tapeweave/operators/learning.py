@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -126,19 +128,67 @@ def coefficients(model: PipelineModel, spark) -> DataFrame:
     return spark.createDataFrame(list(zip(FEATURES, weights)), "feature string, weight double").orderBy(F.abs("weight").desc())
 
 
-def walk_forward(rows: DataFrame, start: int = 40, step: int = 10, pipeline=None) -> DataFrame:
-    """``rows`` with ``multiplier``: trade ``k`` is sized by a model fitted on
-    all trades before its block of ``step``, relative to that model's mean
-    training probability; the first ``start`` trades, and blocks whose past has
-    one class only, get 1."""
+#: Rows of one fold that meet in a task, and the most Newton steps.
+CHUNK, STEPS = 20_000, 50
+
+
+def walk_forward(rows: DataFrame, start: int = 40, step: int = 10, c: float = 0.1, steps: list[int] | None = None) -> DataFrame:
+    """``rows`` with ``multiplier``: trade ``k`` is sized by a logistic model
+    (``logistic``) of all trades before its block of ``step``, relative to that
+    model's mean training probability; the first ``start`` trades, and blocks
+    whose past has one class only, get 1.
+
+    All blocks' models are fitted at once: each Newton step is one aggregate of
+    gradients and curvatures, keyed by block and chunk of rows.  Steps go on
+    until no model moves; ``steps`` is given their number.
+    """
+    given = [F.when(~F.isnan(n), F.col(n)).alias(n) if t == "double" else F.col(n).cast("double").alias(n) for n, t in rows.select(*FEATURES).dtypes]
     numbered = written(_numbered(rows))
-    total, parts = numbered.count(), [numbered.where(F.col("__n") < start).withColumn("multiplier", F.lit(1.0))]
-    for at in range(start, total, step):
-        past, block = numbered.where(F.col("__n") < at), numbered.where(F.col("__n").between(at, at + step - 1))
-        if past.select("wins").distinct().count() < 2:
-            parts.append(block.withColumn("multiplier", F.lit(1.0)))
-            continue
-        model = (pipeline or logistic(at)).fit(past)
-        reference = model.transform(past).agg(F.avg(vector_to_array("probability")[1])).first()[0]
-        parts.append(probabilities(model, block).withColumn("multiplier", learned_multiplier("probability", reference)).drop("probability"))
-    return reduce(DataFrame.unionByName, parts).drop("__n")
+    total = numbered.count()
+    last = (total - start - 1) // step
+    if last < 0:
+        return numbered.withColumn("multiplier", F.lit(1.0)).drop("__n")
+    own = F.greatest(F.lit(0), F.expr(f"(__n - {start}) div {step}"))  # the block of a row behind the start
+    first = F.when(F.col("__n") < start, F.lit(0).cast("long")).otherwise(own + 1)
+    past = numbered.select("__n", F.col("wins").cast("double").alias("wins"), *given, F.explode(F.sequence(first, F.greatest(first, F.lit(last)))).alias("fold")).where(f"fold <= {last}")
+    marks = past.groupBy("fold").agg(F.count("*").alias("n"), F.avg("wins").alias("share"), *[F.percentile_approx(n, 0.5, 10_000).alias(f"m_{n}") for n in FEATURES]).where("share > 0 AND share < 1")
+    filled = past.join(marks, "fold").select("fold", "__n", "wins", *[F.coalesce(n, f"m_{n}").alias(n) for n in FEATURES])
+    scale = written(marks.join(filled.groupBy("fold").agg(*[F.avg(n).alias(f"a_{n}") for n in FEATURES], *[F.stddev_samp(n).alias(f"s_{n}") for n in FEATURES]), "fold"))
+
+    def shaped(df: DataFrame, *keep: str) -> DataFrame:
+        """Features as ``x``: filled, standardised by their fold, then a one."""
+        one = lambda n: F.coalesce(F.try_divide(F.coalesce(n, f"m_{n}") - F.col(f"a_{n}"), F.nullif(f"s_{n}", F.lit(0.0))), F.lit(0.0))
+        return df.join(scale, "fold").select("fold", *keep, F.array(*[one(n) for n in FEATURES], F.lit(1.0)).alias("x"))
+
+    known = shaped(past, "__n", "wins").withColumn("chunk", F.expr(f"__n div {CHUNK}"))
+    size = len(FEATURES) + 1
+    weights = scale.select("fold", "n", F.array_repeat(F.lit(0.0), size).alias("w"))
+
+    def curve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, w = np.stack(pdf["x"].to_numpy()), pdf["wins"].to_numpy(), np.asarray(pdf["w"].iloc[0])
+        p = 1 / (1 + np.exp(-(x @ w)))
+        return pd.DataFrame({"fold": [key[0]], "n": [pdf["n"].iloc[0]], "w": [w.tolist()], "g": [(x.T @ (p - y)).tolist()], "h": [((x.T * (p * (1 - p))) @ x).ravel().tolist()]})
+
+    def move(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n, w = float(pdf["n"].iloc[0]), np.asarray(pdf["w"].iloc[0])
+        ridge = np.full(size, 1 / (c * n))
+        ridge[-1] = 0.0  # the level is free
+        g = np.sum(np.stack(pdf["g"].to_numpy()), axis=0) / n + ridge * w
+        h = np.sum(np.stack(pdf["h"].to_numpy()), axis=0).reshape(size, size) / n + np.diag(ridge)
+        by = np.linalg.lstsq(h, g, rcond=None)[0]
+        return pd.DataFrame({"fold": [key[0]], "n": [int(n)], "w": [(w - by).tolist()], "moved": [float(np.abs(by).max())]})
+
+    kind = "fold long, n long, w array<double>"
+    for k in range(STEPS):
+        parts = known.join(weights, "fold").groupBy("fold", "chunk").applyInPandas(curve, f"{kind}, g array<double>, h array<double>")
+        moved = written(parts.groupBy("fold").applyInPandas(move, f"{kind}, moved double"))
+        weights = moved.drop("moved")
+        if steps is not None:
+            steps.append(k + 1)
+        if moved.where("moved > 1e-9").isEmpty():
+            break
+    chance = 1 / (1 + F.exp(-F.aggregate(F.zip_with("x", "w", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)))
+    reference = known.join(weights, "fold").groupBy("fold").agg(F.avg(chance).alias("reference"))
+    blocks = numbered.where(F.col("__n") >= start).select("__n", *given, own.alias("fold"))
+    sized = shaped(blocks, "__n").join(weights, "fold").join(reference, "fold").select("__n", learned_multiplier(chance, F.col("reference")).alias("multiplier"))
+    return numbered.join(sized, "__n", "left").withColumn("multiplier", F.coalesce("multiplier", F.lit(1.0))).drop("__n")
