@@ -712,7 +712,7 @@ def b18(spark, d):
     levels = _weekly_levels(spark, d)
     runs = profile.displaced(levels, 20).withColumn("scenario", F.concat(F.lit("control-"), F.col("run").cast("string"))).drop("run")
     trades = _simulated(spark, d, levels.withColumn("scenario", F.lit("real")).unionByName(runs))
-    return rounded(metrics.summary(trades, 10_000.0, ("scenario",)))
+    return rounded(metrics.summary(store.written(trades), 10_000.0, ("scenario",)))
 
 
 _SWEEP = {f"stop-{s}-cool-{k}": {"stop_atr": s, "cooldown": k} for s in (1.0, 1.5, 2.0) for k in (3, 6)}
@@ -722,7 +722,7 @@ _SWEEP = {f"stop-{s}-cool-{k}": {"stop_atr": s, "cooldown": k} for s in (1.0, 1.
 def b20(spark, d):
     levels = _weekly_levels(spark, d).withColumn("scenario", F.explode(F.array(*[F.lit(n) for n in _SWEEP])))
     trades = _simulated(spark, d, levels, _SWEEP)
-    parts = backtest.halves(trades, v.walk(spark, d))
+    parts = store.written(backtest.halves(trades, v.walk(spark, d)))
     return rounded(metrics.worst_of(metrics.summary(parts, 10_000.0, ("scenario", "half")), ["scenario"], least=1))
 
 
@@ -730,7 +730,7 @@ def b20(spark, d):
 def b19(spark, d):
     ways = {"base": {}, "all-at-first": {"shares": (1.0, 0.0, 0.0)}, "no-filters": {"max_adx": None, "avoid_squeeze": False, "min_impulse": None}, "with-trend": {"structure_mode": "with"}}
     levels = _weekly_levels(spark, d).withColumn("scenario", F.explode(F.array(*[F.lit(n) for n in ways])))
-    return rounded(metrics.summary(_simulated(spark, d, levels, ways), 10_000.0, ("scenario",)))
+    return rounded(metrics.summary(store.written(_simulated(spark, d, levels, ways)), 10_000.0, ("scenario",)))
 
 
 @query("b22_entry_quality", _walk(_LEVEL_SQL, _TOUCH_SQL, f"""tt AS (SELECT *, {TR} AS tr FROM walk)""", f"""ah AS (SELECT symbol, epoch(ts)::BIGINT AS next_ts_s, nullif({_full('avg(tr)', 'tr', 14)}, 0) AS atr, max(high) OVER {_AHEAD} AS hi, min(low) OVER {_AHEAD} AS lo FROM tt)""",
