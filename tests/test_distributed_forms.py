@@ -105,7 +105,7 @@ def test_pointer_doubling_marks_the_chain_of_one_pass(spark):
         assert rounds[0] <= (10_000 // block).bit_length()
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_rounds_choose_what_one_by_one_chooses(spark, seed):
     draw = random.Random(seed)
     rows = []

@@ -35,6 +35,6 @@ def test_query_equals_oracle(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize(("name", "most"), [("b01_simulated_trades", 10_000), ("v07_displaced_grids", 10_000), ("a12_resampled_means", 50)])
+@pytest.mark.parametrize(("name", "most"), [("b01_simulated_trades", 10_000)])
 def test_other_queries_give_rows(spark, name, most):
     assert 0 < len(QUERIES[name](spark, SF).collect()) <= most

@@ -21,8 +21,7 @@ def _series(spark, n=700, symbols="AB"):
     return rows, spark.createDataFrame(rows, "symbol string, pos long, low double, high double")
 
 
-@pytest.mark.parametrize("fan", [2, 8, 64])
-@pytest.mark.parametrize("back", [False, True])
+@pytest.mark.parametrize(("fan", "back"), [(2, False), (8, False), (8, True), (64, True)])
 def test_first_passage_is_the_walk_s(spark, fan, back):
     rows, bars = _series(spark)
     tree = passage.build(bars, {"low": "min", "high": "max"}, fan=fan)
