@@ -284,9 +284,8 @@ def test_quantiles_equal_numpy_with_ties_nulls_and_a_null_group(spark):
     assert [r.mid for r in metrics.quantiles(df.limit(0), {"mid": ("x", 0.5)}).collect()] == [None]
 
 
-def test_gaps_over_many_spans_equal_a_bar_by_bar_version(spark, monkeypatch):
+def test_gaps_over_many_blocks_equal_a_bar_by_bar_version(spark, monkeypatch):
     monkeypatch.setattr(gaps, "BLOCK", 3)
-    monkeypatch.setattr(gaps, "SPAN", 4)
     rng = np.random.default_rng(2)
     c = bars(spark, list(100 + np.cumsum(rng.normal(size=150))), wick=0.3)
     g = gaps.detect(c, 4 * 3600)
