@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -128,22 +128,46 @@ def stream_pivots(bars: DataFrame, n: int = 3, lateness: str = "1 hour") -> Data
     return _processed(bars, PivotMarks(n), PIVOTS, lateness)
 
 
-def stream_asof(bars: DataFrame, rates: DataFrame, values: list[str], within: str, lateness: str = "1 hour", late_rates: str | None = None) -> DataFrame:
+def _width(span: str) -> Column:
+    """The length of ``span`` in microseconds."""
+    return F.expr(f"unix_micros(timestamp_micros(0) + INTERVAL {span})")
+
+
+def _start(ts: str, span: str) -> Column:
+    """Where the stretch of length ``span`` that ``ts`` lies in begins."""
+    return F.unix_micros(ts) - F.pmod(F.unix_micros(ts), _width(span))
+
+
+def stream_asof(bars: DataFrame, rates: DataFrame, values: list[str], within: str, lateness: str = "1 hour", late_rates: str | None = None, slot: str = "1 hour") -> DataFrame:
     """Bars with the ``values`` of the last row of ``rates`` at or before them
     and less than ``within`` old, as streams.
 
+    Of the rates of a ``slot`` of time only the last counts for bars of later
+    slots, so these meet one row a slot; only bars and rates of one slot meet
+    one by one.  ``slot`` should be about the time between two bars.  Keys are
+    a symbol and a stretch of time, so a symbol's state is spread as well.
+
     Both sides have watermarks (``late_rates`` if the rates' differs), and a bar
     meets the rates of a bounded time, so the state of the join is bounded too.
     A bar comes out when no rate for it can come any more and ``within`` has
-    passed too (Spark gives out what a join made that late); a rate that is
-    later than its watermark is left out.
+    passed too (Spark gives out what a join made that late); a rate whose slot
+    has passed its watermark is left out.
     """
-    left = bars.withWatermark("ts", lateness)
-    right = rates.select(F.col("symbol").alias("r_symbol"), F.col("ts").alias("r_ts"), F.struct(*values).alias("r_values")).withWatermark("r_ts", late_rates or lateness)
-    near = F.expr(f"symbol = r_symbol AND r_ts <= ts AND r_ts > ts - INTERVAL {within}")
-    met = left.join(right, near, "leftOuter")
+    key = lambda fine, start: F.struct(F.lit(fine).alias("fine"), start.alias("start"))
+    near, before = _start("ts", slot), _start("ts", within)
+    left = bars.withWatermark("ts", lateness).withColumn("__place", F.explode(F.array(key(True, near), key(False, before), key(False, before - _width(within)))))
+    paid = rates.select(F.col("symbol").alias("r_symbol"), F.col("ts").alias("r_ts"), F.struct(*values).alias("r_values")).withWatermark("r_ts", late_rates or lateness)
+    # r_at is the time that watermarks go by: a rate's own, or the end of its slot
+    each = paid.select("r_symbol", F.col("r_ts").alias("r_at"), F.unix_micros("r_ts").alias("r_us"), "r_values").withColumn("r_place", key(True, _start("r_at", slot)))
+    ends = paid.groupBy("r_symbol", F.window("r_ts", slot).alias("w")).agg(F.max(F.unix_micros("r_ts")).alias("r_us"), F.max_by("r_values", "r_ts").alias("r_values"))
+    ends = ends.select("r_symbol", F.window_time("w").alias("r_at"), "r_us", "r_values").withColumn("r_place", key(False, _start("r_at", within)))
+    met = left.join(
+        each.unionByName(ends),
+        F.expr(f"symbol = r_symbol AND __place = r_place AND r_at <= ts AND r_at > ts - INTERVAL {within}") & (F.col("r_us") > F.unix_micros("ts") - _width(within)),
+        "leftOuter",
+    )
     own = [c for c in bars.columns if c not in ("symbol", "ts")]
-    last = met.groupBy("symbol", F.window("ts", "1 second").alias("w")).agg(*[F.first(c).alias(c) for c in own], F.max("ts").alias("ts"), F.max_by("r_values", "r_ts").alias("r"))
+    last = met.groupBy("symbol", F.window("ts", "1 second").alias("w"), F.unix_micros("ts").alias("__us")).agg(*[F.first(c).alias(c) for c in own], F.max("ts").alias("ts"), F.max_by("r_values", "r_us").alias("r"))
     return last.select("symbol", "ts", *own, *[F.col(f"r.{v}").alias(v) for v in values])
 
 

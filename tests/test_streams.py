@@ -92,3 +92,46 @@ def test_funding_as_a_stream_join(spark):
     want = asof.asof(spark.createDataFrame(bars, schemas[0]), spark.createDataFrame(rates, schemas[1]), ["funding"]).collect()
     closed = min(bars[-1][1], rates[-1][1]) - dt.timedelta(hours=13)
     assert have == {r.ts: r.funding for r in want if r.ts + dt.timedelta(seconds=1) <= closed} and len(have) > 80 and 99.0 not in have.values()
+
+
+def test_funding_of_bars_anywhere_in_a_slot(spark):
+    draw = random.Random(6)
+    when = lambda hours: BASE + dt.timedelta(microseconds=draw.randrange(int(hours * 3.6e9)))
+    bars = [(s, when(90), float(k)) for s in "XY" for k in range(150)]
+    bars += [(s, t + dt.timedelta(microseconds=-1 if t.microsecond else 1), -c) for s, t, c in bars[::10]]  # two in one second
+    # few enough that some bars have none, many in some hours, and one at a bar's own time
+    rates = [(s, t, float(k)) for s in "XY" for k, t in enumerate([when(90) for _ in range(20)] + [when(2) for _ in range(80)] + [bars[7][1]])]
+    feeds, folder = [shared_path(spark, "feed") for _ in "ab"], shared_path(spark, "stream")
+    schemas = ["symbol string, ts timestamp, close double", "symbol string, ts timestamp, funding double"]
+    for first in (True, False):
+        for feed, schema, rows in zip(feeds, schemas, (bars, rates), strict=True):
+            spark.createDataFrame([r for r in rows if (r[1] < BASE + dt.timedelta(hours=40)) == first], schema).write.mode("append").parquet(feed)
+        streams = [spark.readStream.schema(schema).parquet(feed) for feed, schema in zip(feeds, schemas, strict=True)]
+        got = ordered.run(spark, ordered.stream_asof(*streams, ["funding"], "5 HOURS"), folder)
+    have = sorted(map(tuple, got.select("symbol", "ts", "close", "funding").collect()), key=str)
+    closed = min(max(r[1] for r in rows) for rows in (bars, rates)) - dt.timedelta(hours=1 + 5)
+    last = lambda s, t: max(((u, f) for z, u, f in rates if z == s and t - dt.timedelta(hours=5) < u <= t), default=(None, None))[1]
+    want = sorted(((s, t, c, last(s, t)) for s, t, c in bars if t.replace(microsecond=0) + dt.timedelta(seconds=1) <= closed), key=str)
+    assert have == want and len(have) > 200 and any(r[3] is None for r in have) and len({r[3] for r in have}) > 20
+
+
+def _met(node):
+    """Rows that the joins of an executed plan gave out."""
+    below = node.children()
+    own = node.metrics().apply("numOutputRows").value() if "Join" in node.nodeName() else 0
+    return own + sum(_met(below.apply(k)) for k in range(below.size()))
+
+
+def test_bars_do_not_meet_every_rate_of_their_past(spark):
+    bars = spark.range(240).selectExpr("'X' AS symbol", f"timestamp'{BASE}' + make_dt_interval(0, id) AS ts")
+    rates = spark.range(240 * 200).selectExpr("'X' AS symbol", f"timestamp'{BASE}' + make_dt_interval(0, 0, 0, 18 * id + 1) AS ts", "double(id) AS funding")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the plan that ran is hidden
+    try:
+        got = ordered.stream_asof(bars, rates, ["funding"], "2 DAYS")
+        have = {r.ts: r.funding for r in got.collect()}
+        met = _met(got._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert have == {BASE + dt.timedelta(hours=k): 200.0 * k - 1 if k else None for k in range(240)}
+    assert 240 < met < 240 * 60  # a bar meets the slots of two days, not 9,600 rates
