@@ -20,8 +20,11 @@ from ..sources.store import shared_path
 
 EVOLUTION = "symbol string, gap_id string, kind string, top double, bottom double, confirmed_at timestamp, ts timestamp, edge double, alive boolean"
 PIVOTS = "symbol string, ts timestamp, close double, pivot_high boolean, pivot_low boolean"
-#: The state store that holds timers and maps.
-STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state store that holds timers and maps; a join has one of them a partition instead of four.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.join.stateFormatVersion": "3",
+}
 
 
 def _time(ms: int) -> datetime:
@@ -171,17 +174,25 @@ def stream_asof(bars: DataFrame, rates: DataFrame, values: list[str], within: st
     return last.select("symbol", "ts", *own, *[F.col(f"r.{v}").alias(v) for v in values])
 
 
-def run(spark: SparkSession, stream: DataFrame, folder: str | None = None) -> DataFrame:
+def run(spark: SparkSession, stream: DataFrame, folder: str | None = None, partitions: int | None = None) -> DataFrame:
     """Everything ``stream`` has now, as a Parquet table in ``folder`` (one below
     ``spark.checkpoint.dir`` by default), which also has its checkpoint: run
-    again on the same folder, it goes on from there."""
+    again on the same folder, it goes on from there.
+
+    State is dealt in ``partitions`` when a folder is first used, and stays so.
+    Each costs files in every batch, rows or none, so by default they are twice
+    the cores, 16 at least, but no more than ``spark.sql.shuffle.partitions``.
+    """
     folder = folder or shared_path(spark, "stream")
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, STORE)
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = STATE | {"spark.sql.shuffle.partitions": str(partitions or min(most, max(16, 2 * spark.sparkContext.defaultParallelism)))}
+    before = {name: spark.conf.get(name) for name in wanted}
     try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
         sink = stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state")
         sink.trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")

@@ -135,3 +135,19 @@ def test_bars_do_not_meet_every_rate_of_their_past(spark):
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     assert have == {BASE + dt.timedelta(hours=k): 200.0 * k - 1 if k else None for k in range(240)}
     assert 240 < met < 240 * 60  # a bar meets the slots of two days, not 9,600 rates
+
+
+def test_state_is_dealt_by_cores_and_stays_so(spark):
+    rows, (feed, folder) = _walk(7, 60, "XYZ"), [shared_path(spark, name) for name in ("feed", "stream")]
+    name, cores = "spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism
+    before = spark.conf.get(name)
+    try:
+        for most, part in (("64", rows[::2]), ("3", [])):
+            spark.conf.set(name, most)
+            spark.createDataFrame(part, CANDLES).write.mode("append").parquet(feed)
+            got = ordered.run(spark, ordered.stream_pivots(spark.readStream.schema(CANDLES).parquet(feed)), folder)
+            state = spark.read.format("state-metadata").load(f"{folder}/state").collect()
+            assert {r.numPartitions for r in state} == {max(16, 2 * cores)} and spark.conf.get(name) == most
+    finally:
+        spark.conf.set(name, before)
+    assert got.count() > 60
